@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, media, url_rules
+from assayer.llm import bpe, media, quality, toxicity, url_rules
 from assayer.llm.tables import table
 
 #: The vocabulary file of the registered queries; operators take any path.
@@ -28,6 +28,21 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Labels train the toxicity classifier only where crc32 of the id's digits mod 5 is not 0.
+def held_out(key: str) -> Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    clf = toxicity.train_classifier(docs, table(spark, sf_dir, "labels"), ~held_out("_id"))
+    return toxicity.score_documents(docs, clf).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.RULES)
 
@@ -35,6 +50,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_media": op4_media,
+    "op7_quality": op7_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
 
