@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, media, quality, toxicity, url_rules
+from assayer.llm import bpe, media, near_dups, packing, quality, toxicity, url_rules
 from assayer.llm.tables import table
 
 #: The vocabulary file of the registered queries; operators take any path.
@@ -28,6 +28,14 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_media": op4_media,
     "op7_quality": op7_quality,
+    "op5_packing": op5_packing,
+    "op8_near_dups": op8_near_dups,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
