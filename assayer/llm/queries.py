@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, media, near_dups, packing, quality, repeats, toxicity, url_rules
+from assayer.llm import bpe, media, near_dups, packing, pitman_yor, quality, repeats, toxicity, url_rules
 from assayer.llm.tables import table
 
 #: The vocabulary file of the registered queries; operators take any path.
@@ -28,6 +28,10 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_repeats": op2_repeats,
+    "op3_pitman_yor": op3_pitman_yor,
     "op4_media": op4_media,
     "op7_quality": op7_quality,
     "op5_packing": op5_packing,
