@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import kernels as K
+from assayer.llm.ranges import blobs, cuts, pack, part_of, sum_by_code, unpack
 from assayer.llm.tables import discard, pieces, volume, written
 
 CHUNK_BYTES = 8 << 20
@@ -99,65 +100,32 @@ def _read(group: pa.Table, key: str, mod: int, rest: int, pairs: bool = True) ->
     return Chunk(group.column(key), held, total, doc, words, token, train, left, right, pair, pair_train)
 
 
-def _part(codes: np.ndarray, n: int) -> np.ndarray:
-    """The range of 48-bit codes: n even parts."""
-    return ((codes >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def _cuts(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    return at, np.append(at[1:], len(part))
-
-
-def _pack(codes: np.ndarray) -> bytes:
-    step = np.diff(codes, prepend=codes[:1])
-    if len(step) and int(step.max()) >= 1 << 32:
-        return b"\1" + codes.astype("<u8").tobytes()
-    return b"\0" + codes[:1].astype("<u8").tobytes() + step.astype("<u4").tobytes()
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    if blob[:1] == b"\1":
-        return np.frombuffer(blob, "<u8", offset=1)
-    return np.frombuffer(blob, "<u8", 1, 1) + np.cumsum(np.frombuffer(blob, "<u4", offset=9), dtype=np.uint64)
-
-
-def _blobs(group: pa.Table, column: str, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), kind) for x in group.column(column)]
-
-
 def _send_words(key: str, n: int, mod: int, rest: int):
     def run(group: pa.Table) -> pa.Table:
         chunk = group.column("_chunk")[0].as_py()
         c = _read(group, key, mod, rest, pairs=False)
-        part = _part(c.words, n)
-        at, ends = _cuts(part)
+        part = part_of(c.words, n)
+        at, ends = cuts(part)
         return pa.table({
             "_range": pa.array(part[at], pa.int64()), "_chunk": pa.array([chunk] * len(at), pa.int64()),
-            "codes": pa.array([_pack(c.words[x:y]) for x, y in zip(at, ends, strict=True)], pa.binary()),
+            "codes": pa.array([pack(c.words[x:y]) for x, y in zip(at, ends, strict=True)], pa.binary()),
             "counts": pa.array([c.train[x:y].astype("<u4").tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()),
         })
 
     return run
 
 
-def _sum_by_code(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct codes, the sums of their values, and each entry's place among the distinct."""
-    distinct, place = np.unique(codes, return_inverse=True)
-    return distinct, np.bincount(place, weights=values, minlength=len(distinct)), place
-
-
 def _answer_words(group: pa.Table) -> pa.Table:
-    codes = [_unpack(x.as_py()) for x in group.column("codes")]
-    distinct, total, place = _sum_by_code(np.concatenate(codes), np.concatenate(_blobs(group, "counts", "<u4")))
+    codes = [unpack(x.as_py()) for x in group.column("codes")]
+    distinct, total, place = sum_by_code(np.concatenate(codes), np.concatenate(blobs(group, "counts", "<u4")))
     answer = total[place].astype("<u8")
-    cuts = np.cumsum([0, *map(len, codes)])
+    ends = np.cumsum([0, *map(len, codes)])
     rows = len(codes)
     hot = np.flatnonzero(total * 64 > total.sum())
     first = lambda v, rest: pa.array([v, *[rest] * (rows - 1)])
     return pa.table({
         "_chunk": group.column("_chunk"), "_range": group.column("_range"),
-        "counts": pa.array([answer[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+        "counts": pa.array([answer[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)], pa.binary()),
         "tokens": first(int(total.sum()), 0), "types": first(int((total > 0).sum()), 0),
         "hot": pa.array([[{"code": int(distinct[i]), "n": int(total[i])} for i in hot], *[[]] * (rows - 1)], pa.list_(pa.struct([("code", pa.int64()), ("n", pa.int64())]))),
     })
@@ -166,15 +134,15 @@ def _answer_words(group: pa.Table) -> pa.Table:
 def _totals(c: Chunk, answers: pa.Table) -> np.ndarray:
     """The corpus counts of the chunk's words: the answers of all ranges in order."""
     answers = answers.sort_by("_range")
-    return np.concatenate(_blobs(answers, "counts", "<u8")).astype(np.float64) if answers.num_rows else np.zeros(0)
+    return np.concatenate(blobs(answers, "counts", "<u8")).astype(np.float64) if answers.num_rows else np.zeros(0)
 
 
 def _pair_order(c: Chunk, n: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the chunk's pairs by range, context and word, and their ranges in that order."""
     u, w = c.words[c.left], c.words[c.right]
-    part = _part(u, n)
+    part = part_of(u, n)
     wide = np.isin(u, hot)
-    part[wide] = _part(K.mix(u[wide] * K.MULT + w[wide]) >> np.uint64(16), n)
+    part[wide] = part_of(K.mix(u[wide] * K.MULT + w[wide]) >> np.uint64(16), n)
     order = np.lexsort((w, u, part))
     return order, part[order]
 
@@ -188,12 +156,12 @@ def _send_pairs(key: str, n: int, mod: int, rest: int, hot_codes, tokens: int):
         order, part = _pair_order(c, n, hot_codes.value[0])
         u, w, count = c.words[c.left[order]], c.words[c.right[order]], c.pair_train[order]
         entry = w << np.uint64(16) | np.minimum(count, 255).astype(np.uint64) << np.uint64(8) | step[c.right[order]]
-        at, ends = _cuts(part)
+        at, ends = cuts(part)
         rows = []
         for x, y in zip(at, ends, strict=True):
-            first, last = _cuts(u[x:y])
+            first, last = cuts(u[x:y])
             big = count[x:y]
-            rows.append((int(part[x]), chunk, _pack(u[x:y][first]), (last - first).astype("<u4").tobytes(), entry[x:y].astype("<u8").tobytes(), big[big >= 255].astype("<u4").tobytes()))
+            rows.append((int(part[x]), chunk, pack(u[x:y][first]), (last - first).astype("<u4").tobytes(), entry[x:y].astype("<u8").tobytes(), big[big >= 255].astype("<u4").tobytes()))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
         return pa.table([pa.array(v, k) for v, k in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["_range", "_chunk", "contexts", "sizes", "entries", "big"])
 
@@ -221,8 +189,8 @@ def _answer_pairs(n: int, hot_codes):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("_chunk")
         here = group.column("_range")[0].as_py()
-        contexts = [_unpack(x.as_py()) for x in group.column("contexts")]
-        sizes, entries, big = _blobs(group, "sizes", "<u4"), _blobs(group, "entries", "<u8"), _blobs(group, "big", "<u4")
+        contexts = [unpack(x.as_py()) for x in group.column("contexts")]
+        sizes, entries, big = blobs(group, "sizes", "<u4"), blobs(group, "entries", "<u8"), blobs(group, "big", "<u4")
         u = np.repeat(np.concatenate(contexts), np.concatenate(sizes))
         e = np.concatenate(entries)
         w, count = e >> np.uint64(16), (e >> np.uint64(8) & np.uint64(255)).astype(np.int64)
@@ -237,7 +205,7 @@ def _answer_pairs(n: int, hot_codes):
         c = np.add.reduceat(count[order], head)
         parent = 2.0 ** (-(e[order][head] & np.uint64(255)).astype(np.float64) / _STEPS)
         du = su[head]
-        first, last = _cuts(du)
+        first, last = cuts(du)
         context = np.repeat(np.arange(len(first)), last - first)
         names = du[first]
         # A context dealt over all ranges: its tables here stand for its share of customers here.
@@ -263,10 +231,10 @@ def _answer_pairs(n: int, hot_codes):
             rows.append((group.column("_chunk")[i].as_py(), here, code[p].tobytes(), weight[p][code[p] == 255].astype("<f4").tobytes(), kept[ctx[base : base + len(k)]].astype("<f4").tobytes(), None, None, None))
             at, base = at + len(m), base + len(k)
         seen = c > 0
-        words, tabled, _ = _sum_by_code(sw[head][seen], mean[seen])
-        part = _part(words, n)
-        for x, y in zip(*_cuts(part), strict=True):
-            rows.append((None, int(part[x]), None, None, None, _pack(words[x:y]), tabled[x:y].astype("<f4").tobytes(), None))
+        words, tabled, _ = sum_by_code(sw[head][seen], mean[seen])
+        part = part_of(words, n)
+        for x, y in zip(*cuts(part), strict=True):
+            rows.append((None, int(part[x]), None, None, None, pack(words[x:y]), tabled[x:y].astype("<f4").tobytes(), None))
         if wide.any():
             rows.append((None, None, None, None, None, None, None, [{"code": int(a), "tables": float(b)} for a, b in zip(names[wide], kept[wide], strict=True)]))
         kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.struct([("code", pa.int64()), ("tables", pa.float64())])))
@@ -281,7 +249,7 @@ def _answer_parent(types: int):
             return pa.table({"_chunk": pa.array([], pa.int64()), "_range": pa.array([], pa.int64()), "parent": pa.array([], pa.binary()), "customers": pa.array([], pa.float64()), "seated": pa.array([], pa.float64())})
         here = lists.column("_range")[0].as_py()
         if tabled.num_rows:
-            words, customers, _ = _sum_by_code(np.concatenate([_unpack(x.as_py()) for x in tabled.column("words")]), np.concatenate(_blobs(tabled, "tabled", "<f4")).astype(np.float64))
+            words, customers, _ = sum_by_code(np.concatenate([unpack(x.as_py()) for x in tabled.column("words")]), np.concatenate(blobs(tabled, "tabled", "<f4")).astype(np.float64))
         else:
             words, customers = np.zeros(0, np.uint64), np.zeros(0)
         rate = np.full(len(words), (PARENT_STRENGTH + PARENT_DISCOUNT * types) / (types + 1))
@@ -289,7 +257,7 @@ def _answer_parent(types: int):
         weight = np.append(np.maximum(customers - PARENT_DISCOUNT * tables, 0.0), 0.0)
         rows = []
         for i, blob in enumerate(lists.column("codes")):
-            codes = _unpack(blob.as_py())
+            codes = unpack(blob.as_py())
             at = np.searchsorted(words, codes)
             at[(at == len(words)) | (words[np.minimum(at, len(words) - 1)] != codes if len(words) else True)] = len(words)
             rows.append((lists.column("_chunk")[i].as_py(), here, weight[at].astype("<f8").tobytes(), float(customers.sum()) if not i else 0.0, float(tables.sum()) if not i else 0.0))
@@ -307,16 +275,16 @@ def _score(key: str, n: int, mod: int, rest: int, hot_codes, hot_tables, tokens:
         c = _read(group, key, mod, rest)
         kind = lambda name: answers.filter(answers.column(name).is_valid()).sort_by("_range")
         total = _totals(c, kind("counts"))
-        parent = np.concatenate(_blobs(kind("parent"), "parent", "<f8"))
+        parent = np.concatenate(blobs(kind("parent"), "parent", "<f8"))
         parent = parent / (PARENT_STRENGTH + customers) + (PARENT_STRENGTH + PARENT_DISCOUNT * seated) / (PARENT_STRENGTH + customers) / (types + 1)
         found = kind("code")
         order, part = _pair_order(c, n, hot_codes.value[0])
-        code = np.concatenate(_blobs(found, "code", "u1"))
+        code = np.concatenate(blobs(found, "code", "u1"))
         weight = np.where(code == 1, 1 - DISCOUNT, 0.0)
-        weight[code == 255] = np.concatenate(_blobs(found, "weight", "<f4"))
+        weight[code == 255] = np.concatenate(blobs(found, "weight", "<f4"))
         u = c.left[order]
-        first, last = _cuts(part * len(c.words) + u)
-        tables = np.repeat(np.concatenate(_blobs(found, "tables", "<f4")).astype(np.float64), last - first)
+        first, last = cuts(part * len(c.words) + u)
+        tables = np.repeat(np.concatenate(blobs(found, "tables", "<f4")).astype(np.float64), last - first)
         wide = np.isin(c.words[u], hot_codes.value[0])
         tables[wide] = hot_tables.value[np.searchsorted(hot_codes.value[0], c.words[u[wide]])]
         p = np.empty(len(order))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, media, near_dups, packing, pitman_yor, quality, repeats, toxicity, url_rules
+from assayer.llm import bpe, media, near_dups, packing, pitman_yor, quality, repeats, top_k, toxicity, url_rules
 from assayer.llm.tables import table
 
 #: The vocabulary file of the registered queries; operators take any path.
@@ -44,6 +44,10 @@ def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repeats": op2_repeats,
     "op3_pitman_yor": op3_pitman_yor,
     "op4_media": op4_media,
+    "op6_top_k": op6_top_k,
     "op7_quality": op7_quality,
     "op5_packing": op5_packing,
     "op8_near_dups": op8_near_dups,
