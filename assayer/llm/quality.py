@@ -102,7 +102,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, key: str, text: str, keep: t
                 out[part.first : part.first + len(part)] = np.bincount(at, weights=shared.value[bucket], minlength=len(part))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out)], names=[key, *keep, "log_weight"])
 
-    fields = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in (key, *keep))
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (key, *keep))
     return source.mapInArrow(run, f"{fields}log_weight double")
 
 
@@ -144,21 +144,20 @@ def best_level(rows) -> float:
     return float((w[i - 1] + w[i]) / 2) if i < len(w) else float(np.nextafter(w[-1], np.inf))
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", seed: int = 777, train: Column | None = None) -> DataFrame:
-    """key, log_weight, sample_key, kept: every document with its weight, its Gumbel key, and whether it is among the top k."""
+def importance_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", seed: int = 777, train: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns in keep, log_weight, sample_key, kept: every document with its weight, its Gumbel key, and
+    whether it is among the top k."""
     train = F.lit(True) if train is None else train
     sample = written(labelled_texts(docs, labels, label, key, text, train, MAX_LABELLED), "quality-labelled")
     good = sample.where(F.col("_label") == 1)
     target, raw = _counts(good, "_text"), _counts(docs, text)
     n_good = target.sum()
     if not n_good:
-        return docs.select(key, F.lit(0.0).alias("log_weight"), gumbel(key, seed).alias("sample_key"), F.lit(True).alias("kept"))
+        return docs.select(key, *keep, F.lit(0.0).alias("log_weight"), gumbel(key, seed).alias("sample_key"), F.lit(True).alias("kept"))
     ratio = np.log((target + SMOOTHING) / (n_good + SMOOTHING * BUCKETS)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS))
-    weighed = log_weights(docs, ratio, key, text)
+    weighed = written(log_weights(docs, ratio, key, text), "quality-weights")
     level = best_level(log_weights(sample, ratio, "_id", "_text", ("_label",)).select("_label", "log_weight").toPandas())
     k = weighed.where(F.col("log_weight") >= level).count()
-    keyed = weighed.withColumn("sample_key", F.col("log_weight") + gumbel(key, seed))
-    if not k:
-        return keyed.withColumn("kept", F.lit(False))
-    bound = kth_largest(keyed, "sample_key", k)
-    return keyed.withColumn("kept", F.col("sample_key") >= bound)
+    keyed = lambda df: df.withColumn("sample_key", F.col("log_weight") + gumbel(key, seed))
+    bound = kth_largest(keyed(weighed), "sample_key", k) if k else float("inf")
+    return keyed(log_weights(docs, ratio, key, text, keep)).withColumn("kept", F.col("sample_key") >= bound)
