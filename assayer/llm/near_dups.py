@@ -4,10 +4,11 @@ A text's set is its distinct shingles of five words (A-Z lower-cased). The
 sketch places the shingles in bins by rounds of hashing until each bin holds
 one; the last rounds name their bin, so every bin fills. Equal sets collapse to
 one class first. Classes that share a band of the sketch meet in that band's
-group; in a group each class is compared only with a lead (the class with the
+group; in a group each class is compared only with leads (the classes with the
 smallest hash of the round), on full sets, and only while the two are not yet
-connected. Rounds with new leads go on until none finds a link. So a group of m
-near copies costs m comparisons, not m squared, and no group is cut short.
+connected. Rounds with new leads go on until one finds no link. So a group of m
+near copies costs a multiple of m comparisons, not m squared, and no group is
+cut short.
 
 Defined results: null or blank texts have no shingles and stand alone; a text
 of fewer than five words has one, its whole sequence; a null id stands alone
@@ -31,8 +32,9 @@ from assayer.llm.tables import discard, written
 
 WORDS = 5
 BINS, ROWS = 128, 4
-#: Rounds in which each class meets one lead only, before all its leads are compared.
+#: Rounds in which each class meets one lead only; after them it meets LEADS leads of each of its groups a round.
 SINGLE_ROUNDS = 2
+LEADS = 8
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -136,11 +138,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     open_ = written(entries.join(crowded, "key"), "neardup-entries")
     ids = open_.select(F.col("rep").alias("id")).distinct()
     sets = written(full_sets(docs.where(F.col(key).isNotNull()), ids, key, text), "neardup-sets")
-    labels, tried, idle, turn = written(ids.select(F.col("id").alias("rep"), F.col("id").alias("comp")), "neardup-labels"), None, 0, 0
+    labels, tried, turn = written(ids.select(F.col("id").alias("rep"), F.col("id").alias("comp")), "neardup-labels"), None, 0
     while True:
         placed = open_.join(labels, "rep")
-        lead = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lead")
-        met = placed.join(lead, "key").where("comp <> lead.comp and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
+        leads = [F.min(F.struct(F.xxhash64(F.lit(turn * LEADS + j), "rep").alias("h"), "rep", "n", "comp")) for j in range(1 if turn < SINGLE_ROUNDS else LEADS)]
+        lead = placed.groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("leads"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "leads")
+        met = placed.join(lead, "key").select("rep", "n", "comp", F.explode("leads").alias("lead")).where("comp <> lead.comp and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
         pairs = met.select(F.col("rep").alias("x"), F.col("lead.rep").alias("lead"))
         if turn < SINGLE_ROUNDS:
             pairs = pairs.groupBy("x").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "lead").alias("h"), "lead")).alias("l")).select("x", F.col("l.lead").alias("lead"))
@@ -152,11 +155,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = written(verified(pairs, sets, percent), "neardup-links")
         if links.isEmpty():
-            idle += 1
-            if idle == 2 or (pairs.isEmpty() and turn >= SINGLE_ROUNDS):
+            if turn >= SINGLE_ROUNDS:
                 break
         else:
-            idle = 0
             comp = labels.select(F.col("rep").alias("node"), F.col("comp").alias("c"))
             edges = links.join(comp.withColumnsRenamed({"node": "u", "c": "cu"}), "u").join(comp.withColumnsRenamed({"node": "v", "c": "cv"}), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
             moved = components(edges).withColumnsRenamed({"node": "comp", "component": "to"})
