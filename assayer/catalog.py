@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from assayer.plans import agreement_queries
+
+_PARTS = (agreement_queries,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.Q.items()}
+ORACLES: dict[str, str] = {name: text for part in _PARTS for name, text in part.SQL.items()}
