@@ -133,7 +133,7 @@ p AS (SELECT corpus, judge, n, n_unlabelled, lam, ym - lam*fm AS rectifier, lam*
 e AS (SELECT *, sqrt(var_gold/n + var_unlabelled) AS se FROM p)
 """
 _TUNED = "CASE WHEN fv > 0 THEN greatest(0, least(1, cv/fv)) ELSE 0 END"
-_PPI_SELECT = "SELECT corpus, judge, n, n_unlabelled, round(lam,6) AS lam, round(rectifier,6) AS rectifier, round(value,6) AS value, round(value - 1.959963984540054*se,6) AS lo, round(value + 1.959963984540054*se,6) AS hi FROM e"
+_PPI_SELECT = "SELECT corpus, judge, n, n_unlabelled, round(lam,6) AS lam, round(rectifier,6) + 0::DOUBLE AS rectifier, round(value,6) AS value, round(value - 1.959963984540054*se,6) AS lo, round(value + 1.959963984540054*se,6) AS hi FROM e"
 
 
 def estimates(spark, d, tuned=True):
@@ -143,7 +143,7 @@ def estimates(spark, d, tuned=True):
 
 
 def _ppi_columns(e):
-    return e.select("corpus", "judge", "n", "n_unlabelled", *[R(c) for c in ("lam", "rectifier", "value", "lo", "hi")])
+    return e.select("corpus", "judge", "n", "n_unlabelled", *[(R(c) + F.lit(0.0)).alias(c) for c in ("lam", "rectifier", "value", "lo", "hi")])
 
 
 @query("prevalence_ppi_plus", sql("WITH " + _PPI.format(lam=_TUNED) + _PPI_SELECT))
