@@ -73,8 +73,6 @@ class MergeAutomaton:
             owners[after] += 1
             self._target[iab], self._left[iab], self._born[iab] = after, ia, rank
         self._byte = {ord(c): b for b, c in enumerate(byte_symbols())}
-        self._bytes = np.zeros(512, np.int64)
-        self._bytes[list(self._byte)] = list(self._byte.values())
         base = set(byte_symbols())
         base |= {c + end for c in base}
         self._trie: dict = {}
@@ -96,14 +94,15 @@ class MergeAutomaton:
 
     def _has(self, state: int, label: int) -> bool:
         """Does the state have the arc? Each label of its left spine must have lived until the next was born."""
-        until = _LATEST
+        until, lost, split_at, parent = _LATEST, self._lost, self._split_at, self._parent
         while label >= 0:
             limit, at = until, state
             while at >= 0:
-                if self._lost[at].get(label, _NEVER) <= limit:
+                if lost[at].get(label, _NEVER) <= limit:
                     return False
-                limit = min(limit, self._split_at[at] - 1)
-                at = self._parent[at]
+                if split_at[at] <= limit:
+                    limit = split_at[at] - 1
+                at = parent[at]
             until, label = self._born[label], self._left[label]
         return True
 
@@ -136,30 +135,27 @@ class MergeAutomaton:
         new = found < 0
         if new.any():
             keys_new = np.unique(keys[new])
-            values = [self._has(int(k) >> 16, int(k) & 0xFFFF) for k in keys_new]
-            self._known.add(keys_new, np.array(values, np.int32))
+            self._known.add(keys_new, np.array([self._has(k >> 16, k & 0xFFFF) for k in keys_new.tolist()], np.int32))
             found[new] = self._known.get(keys[new])
         return found > 0
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of pre-split words given as byte symbols, many words at a time."""
-        out: list = [None] * len(words)
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Token ids (little-endian uint16) of pre-split words, many words at a time."""
+        out: list = [b""] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
         lo = int(np.searchsorted(sizes[order], 1))
-        for i in order[:lo]:
-            out[i] = []
         while lo < len(order):
             hi = min(len(order), lo + max(64, 600_000 // int(sizes[order[min(len(order) - 1, lo + 20_000)]])))
-            some = order[lo:hi]
-            for i, ids in zip(some, self._encode([words[i] for i in some], sizes[some]), strict=True):
+            some = order[lo:hi].tolist()
+            for i, ids in zip(some, self._encode([words[i] for i in some], sizes[order[lo:hi]]), strict=True):
                 out[i] = ids
             lo = hi
         return out
 
-    def _encode(self, words: list[str], sizes: np.ndarray) -> list[list[int]]:
+    def _encode(self, words: list[bytes], sizes: np.ndarray) -> list[bytes]:
         n, width = len(words), int(sizes.max())
-        flat = self._bytes[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         ends = np.cumsum(sizes)
         if self.end:
             flat[ends - 1] += 256
@@ -198,8 +194,8 @@ class MergeAutomaton:
             at[live] -= self._size[t]
             live = live[at[live] > 0]
         who = np.concatenate([w for w, _ in steps[::-1]])
-        ids = np.concatenate([t for _, t in steps[::-1]])[np.argsort(who, kind="stable")].tolist()
-        cuts = np.cumsum(np.bincount(who, minlength=n)).tolist()
+        ids = np.concatenate([t for _, t in steps[::-1]])[np.argsort(who, kind="stable")].astype("<u2").tobytes()
+        cuts = (2 * np.cumsum(np.bincount(who, minlength=n))).tolist()
         return [ids[x:y] for x, y in zip([0, *cuts], cuts, strict=False)]
 
 
@@ -256,42 +252,51 @@ class Encoder:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or spec["decoder"]:
             raise ValueError("this vocabulary file's steps are not the ones built here")
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
-        self.symbol = byte_symbols()
+        self._words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}") + "|\n").findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self.labels = {**self.automaton.labels, **{i: t for t, i in self.special.items()}}
+        if max(self.labels) >= 1 << 16:
+            raise ValueError("ids of this vocabulary do not fit 16 bits")
+        self._seen: dict[str, bytes] = {}
+
+    def encode(self, chunks: list[bytes]) -> list[list[bytes]]:
+        """For each run of text without ASCII white space the ids (little-endian uint16) of its words; texts split
+        there encode alike."""
+        marked = {i for i, c in enumerate(chunks) if b"<|" in c}
+        if marked:
+            whole = iter(self.encode([c for i, c in enumerate(chunks) if i not in marked]))
+            return [self._with_special(c) if i in marked else next(whole) for i, c in enumerate(chunks)]
+        text = b"\n".join(chunks).decode("utf-8", "replace")
+        if not text.isascii():
+            # Letter by letter: a capital sigma does not depend on its place in the word.
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        items = self._words(text.lower())
+        new = [w for w in dict.fromkeys(items) if w not in self._seen and w != "\n"]
+        if len(self._seen) + len(new) > 2 * CACHED_WORDS:
+            self._seen.clear()
+            new = [w for w in dict.fromkeys(items) if w != "\n"]
+        self._seen.update(zip(new, self.automaton.encode_words([w.encode() for w in new]), strict=True))
+        ids, out, at = list(map(self._seen.get, items)), [], 0
+        for end in [i for i, w in enumerate(items) if w == "\n"]:
+            out.append(ids[at:end])
+            at = end + 1
+        if chunks:
+            out.append(ids[at:])
+        return out
 
-    def split(self, chunk: bytes) -> list:
-        """A run of text without ASCII white space as words of byte symbols and ids of special tokens;
-        texts split there encode alike."""
-        text, out = chunk.decode("utf-8", "replace"), []
-        for part in self._cut(text) if "<|" in text else (text,):
+    def _with_special(self, chunk: bytes) -> list[bytes]:
+        out: list[bytes] = []
+        for part in self._cut(chunk.decode("utf-8", "replace")):
             if part in self.special:
-                out.append(self.special[part])
-                continue
-            if part.isascii():
-                part = part.lower()
-                if part.isalpha():
-                    out.append(part)
-                    continue
-            else:
-                # Letter by letter: a capital sigma does not depend on its place in the word.
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self.words(part):
-                out.append(word if word.isascii() and word.isprintable() and " " not in word else "".join(map(self.symbol.__getitem__, word.encode())))
+                out.append(self.special[part].to_bytes(2, "little"))
+            elif part:
+                out += self._plain(part)
         return out
 
-    def encode(self, chunks: list[bytes]) -> list[list[int]]:
-        parts = list(map(self.split, chunks))
-        words = [w for p in parts for w in p if isinstance(w, str)]
-        ids, out = iter(self.automaton.encode_words(words)), []
-        for p in parts:
-            if len(p) == 1 and isinstance(p[0], str):
-                out.append(next(ids))
-            else:
-                out.append([i for w in p for i in (next(ids) if isinstance(w, str) else (w,))])
-        return out
+    def _plain(self, text: str) -> list[bytes]:
+        words = [w for w in self._words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()) if w != "\n"]
+        return self.automaton.encode_words([w.encode() for w in words])
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
@@ -316,7 +321,7 @@ def encoder(text: str) -> Encoder:
 
 
 class WordCache(dict):
-    """chunk of text -> make(ids), kept while there is room."""
+    """chunk of text -> make(the ids of its words), kept while there is room."""
 
     def __init__(self, enc: Encoder, make):
         super().__init__()
@@ -348,10 +353,8 @@ def runs(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
 
 
 def id_arrays(enc: Encoder) -> WordCache:
-    """chunk -> its ids as little-endian uint16 bytes (vocabularies of fewer than 65,536 ids)."""
-    if max(enc.labels) >= 1 << 16:
-        raise ValueError("ids of this vocabulary do not fit 16 bits")
-    return WordCache(enc, lambda ids: np.array(ids, "<u2").tobytes())
+    """chunk -> its ids as little-endian uint16 bytes."""
+    return WordCache(enc, b"".join)
 
 
 def packed_ids(cache: WordCache, texts: list[bytes]) -> list[bytes]:
@@ -395,7 +398,12 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab.value)
-        cache = WordCache(enc, lambda ids: (" ".join(map(str, ids)), enc.decode(ids)))
+
+        def both(words: list[bytes]) -> tuple[str, str]:
+            ids = np.frombuffer(b"".join(words), "<u2").tolist()
+            return " ".join(map(str, ids)), enc.decode(ids)
+
+        cache = WordCache(enc, both)
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             count, ids, decoded = [], [], []
