@@ -19,7 +19,7 @@ def part_of(codes: np.ndarray, n: int) -> np.ndarray:
 def cuts(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Firsts and ends of the runs of equal values."""
     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    return at, np.append(at[1:], len(part))
+    return at, np.append(at[1:], len(part))[: len(at)]
 
 
 def pack(codes: np.ndarray) -> bytes:

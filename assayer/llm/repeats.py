@@ -42,8 +42,9 @@ from assayer.llm.tables import discard, pieces, volume, written
 
 LENGTH = 50
 TRIGGER = 16
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 _SLICE = 1 << 19
+_PHRASES = 1 << 14
 _PLACE = np.uint64((1 << 20) - 1)
 _LAST = np.iinfo(np.int64).max
 
@@ -146,7 +147,7 @@ def _send_triggers(key: str, n: int, length: int):
         codes, many = _distinct_triggers(phrases(texts, ids, length))
         part = _ranges(codes << np.uint64(16), n)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(codes) else np.zeros(0, np.int64)
-        ends = np.append(at[1:], len(codes))
+        ends = np.append(at[1:], len(codes))[: len(at)]
         return pa.table({
             "_range": pa.array(part[at], pa.int64()), "_chunk": pa.array([chunk] * len(at), pa.int64()),
             "codes": pa.array([_deltas(codes[x:y]) for x, y in zip(at, ends, strict=True)], pa.binary()),
@@ -179,23 +180,26 @@ def _answer_triggers(group: pa.Table) -> pa.Table:
 def _same_phrase_order(texts: K.Texts, p: Phrases, some: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the phrases in some that puts equal ones (trigger, place in it, bytes) together, smallest document
     first, and which of them (in that order) differ from the one before."""
-    size = p.windows[some] + length - 1
-    flat = texts.data[K.ranges(p.start[some], size)]
-    at = np.concatenate([[0], np.cumsum(size)])[:-1]
-    k = np.arange(len(flat)) - np.repeat(at, size)
-    finger = np.add.reduceat((flat.astype(np.uint64) + np.uint64(1)) * K.powers(2 * length)[k], at) if len(flat) else np.zeros(0, np.uint64)
-    finger = K.mix(finger + (p.place[some] - p.start[some]).astype(np.uint64) * K.MULT + size.astype(np.uint64))
+    finger = np.zeros(len(some), np.uint64)
+    for x in range(0, len(some), _PHRASES):
+        q = some[x : x + _PHRASES]
+        size = p.windows[q] + length - 1
+        at = np.cumsum(size) - size
+        k = np.arange(int(size.sum())) - np.repeat(at, size)
+        v = (texts.data[K.ranges(p.start[q], size)].astype(np.uint64) + np.uint64(1)) * K.powers(2 * length)[k]
+        finger[x : x + _PHRASES] = K.mix(np.add.reduceat(v, at) + (p.place[q] - p.start[q]).astype(np.uint64) * K.MULT + size.astype(np.uint64))
     order = np.lexsort((some, p.doc[some], finger, p.trigger[some]))
     s = some[order]
     new = np.ones(len(s), bool)
     if len(s) > 1:
         f, t = finger[order], p.trigger[s]
         new[1:] = (f[1:] != f[:-1]) | (t[1:] != t[:-1])
-        pair = np.flatnonzero(~new)
-        n = p.windows[s[pair]] + length - 1
-        unequal = texts.data[K.ranges(p.start[s[pair]], n)] != texts.data[K.ranges(p.start[s[pair - 1]], n)]
-        if unequal.any():
-            raise ArithmeticError("two phrases have one fingerprint")  # 1 in 2**64 for each pair of one trigger
+        pairs = np.flatnonzero(~new)
+        for x in range(0, len(pairs), _PHRASES):
+            pair = pairs[x : x + _PHRASES]
+            n = p.windows[s[pair]] + length - 1
+            if (texts.data[K.ranges(p.start[s[pair]], n)] != texts.data[K.ranges(p.start[s[pair - 1]], n)]).any():
+                raise ArithmeticError("two phrases have one fingerprint")  # 1 in 2**64 for each pair of one trigger
     return order, new
 
 
@@ -216,7 +220,7 @@ def _send_phrases(key: str, n: int, length: int):
         part = _ranges(p.trigger[one], n)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(one) else np.zeros(0, np.int64)
         rows = []
-        for x, y in zip(at, np.append(at[1:], len(one)), strict=True):
+        for x, y in zip(at, np.append(at[1:], len(one))[: len(at)], strict=True):
             q = one[x:y]
             size = p.windows[q] + length - 1
             rows.append((int(part[x]), chunk, q.astype("<u4").tobytes(), p.trigger[q].astype("<u8").tobytes(), p.doc[q].astype("<i8").tobytes(), np.column_stack([p.windows[q], p.place[q] - p.start[q]]).astype("u1").tobytes(), texts.data[K.ranges(p.start[q], size)].tobytes()))
@@ -273,7 +277,7 @@ def _answer_phrases(length: int):
         hit = hit[np.argsort(chunk[hit], kind="stable")]
         c = chunk[hit]
         at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-        ends = np.append(at[1:], len(c))
+        ends = np.append(at[1:], len(c))[: len(at)]
         cut = lambda v, kind: pa.array([v[hit[x:y]].astype(kind).tobytes() for x, y in zip(at, ends, strict=True)], pa.binary())
         return pa.table({"_chunk": pa.array(c[at], pa.int64()), "ordinal": cut(ordinal, "<u4"), "windows": cut(answer, "<u8")})
 

@@ -57,7 +57,7 @@ def cuts_of_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    return at, np.append(at[1:], len(a))
+    return at, np.append(at[1:], len(a))[: len(at)]
 
 
 def _send_terms(n: int):
