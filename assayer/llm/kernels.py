@@ -130,7 +130,7 @@ def grams(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, n
     if not total:
         return np.zeros(0, np.uint64), out_counts
     g = np.zeros(total, np.uint64)
-    for j in range(n):
+    for j in range(min(n, total)):
         g[: total - j] = g[: total - j] * MULT + hashes[j:] if j else hashes
     ends = np.cumsum(counts)
     starts = ends - counts
