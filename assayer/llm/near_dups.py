@@ -4,11 +4,16 @@ A text's set is its distinct shingles of five words (A-Z lower-cased). The
 sketch places the shingles in bins by rounds of hashing until each bin holds
 one; the last rounds name their bin, so every bin fills. Equal sets collapse to
 one class first. Classes that share a band of the sketch meet in that band's
-group; in a group each class is compared only with leads (the classes with the
-smallest hash of the round), on full sets, and only while the two are not yet
-connected. Rounds with new leads go on until one finds no link. So a group of m
-near copies costs a multiple of m comparisons, not m squared, and no group is
-cut short.
+group. In the first rounds each class is compared, on full sets, with the one
+lead that most of its groups name. Then the members of each group take turns as
+leads, in the order of a hash and four times as many a round, until all have
+had one; a pair is only formed while its classes are not yet connected and the
+exact bounds below leave it open. So a group of m near copies costs a multiple
+of m comparisons, not m squared, and no group is cut short.
+
+Bounds that lose no link: the sizes of two sets, and the parity of the number of
+elements in each of PARITY hash cells. Cells of different parity hold at least
+one element that only one of the sets has.
 
 Defined results: null or blank texts have no shingles and stand alone; a text
 of fewer than five words has one, its whole sequence; a null id stands alone
@@ -32,9 +37,10 @@ from assayer.llm.tables import discard, written
 
 WORDS = 5
 BINS, ROWS = 128, 4
-#: Rounds in which each class meets one lead only; after them it meets LEADS leads of each of its groups a round.
+#: Rounds in which each class meets one lead only; after them LEADS leads of each group take their turn, and GROWTH times as many each round.
 SINGLE_ROUNDS = 2
-LEADS = 8
+LEADS, GROWTH = 16, 4
+PARITY = 512
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -73,8 +79,20 @@ def shingle_sets(part: K.Texts) -> tuple[np.ndarray, np.ndarray]:
     return K.distinct_per_text(*K.grams(*K.word_hashes(part), WORDS))
 
 
+def parities(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(texts, PARITY / 64) words: bit i is the parity of the number of elements in cell i."""
+    cell = (K.mix(values + np.uint64(37)) % np.uint64(PARITY)).astype(np.int64)
+    full = np.bincount(np.repeat(np.arange(len(counts)), counts) * PARITY + cell, minlength=len(counts) * PARITY)
+    return np.packbits((full & 1).astype(np.uint8).reshape(len(counts), PARITY), axis=1).view(np.int64)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
 def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n_shingles, set_a, set_b (a fingerprint of the set), bands."""
+    """key, n_shingles, set_a, set_b (a fingerprint of the set), bands, parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,11 +105,10 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
                 ends = np.cumsum(counts)
                 total = [np.concatenate([[np.uint64(0)], np.cumsum(K.mix(values + np.uint64(x)), dtype=np.uint64)]) for x in (11, 23)]
                 a, c = ((t[ends] - t[ends - counts]).view(np.int64) for t in total)
-                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * (BINS // ROWS), pa.int32()), pa.array(band.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(part.first, len(part)), pa.array(counts.astype(np.int64)), pa.array(a), pa.array(c), rows], names=[key, "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(part.first, len(part)), pa.array(counts.astype(np.int64)), pa.array(a), pa.array(c), _lists(band.view(np.int64)), _lists(parities(values, counts))], names=[key, "n_shingles", "set_a", "set_b", "bands", "parity"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(text, key).mapInArrow(run, f"`{key}` {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(text, key).mapInArrow(run, f"`{key}` {kind}, n_shingles long, set_a long, set_b long, bands array<long>, parity array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -131,33 +148,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     table = written(sketched(docs, key, text), "neardup-sketches")
     named = table.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
     classes = named.groupBy("set_a", "set_b", "n_shingles").agg(F.min(key).alias("rep"))
-    member = written(named.join(classes, ["set_a", "set_b", "n_shingles"]).select(F.col(key).alias("id"), "rep", "n_shingles", F.when(F.col(key) == F.col("rep"), F.col("bands")).alias("bands")), "neardup-classes")
+    member = written(named.join(classes, ["set_a", "set_b", "n_shingles"]).select(F.col(key).alias("id"), "rep", "n_shingles", *[F.when(F.col(key) == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "parity")]), "neardup-classes")
     reps = member.where("bands is not null").select("rep", "n_shingles", F.posexplode("bands").alias("band", "value"))
     entries = reps.select(F.xxhash64("band", "value").alias("key"), "rep", F.col("n_shingles").alias("n"))
-    crowded = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    open_ = written(entries.join(crowded, "key"), "neardup-entries")
+    crowded = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    place = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / float(1 << 40)
+    open_ = written(entries.join(crowded, "key").withColumn("u", place), "neardup-entries")
     ids = open_.select(F.col("rep").alias("id")).distinct()
     sets = written(full_sets(docs.where(F.col(key).isNotNull()), ids, key, text), "neardup-sets")
-    labels, tried, turn = written(ids.select(F.col("id").alias("rep"), F.col("id").alias("comp")), "neardup-labels"), None, 0
+    parity = member.where("bands is not null").select("rep", "parity").dropDuplicates(["rep"])
+    labels, turn = written(ids.select(F.col("id").alias("rep"), F.col("id").alias("comp")), "neardup-labels"), 0
     while True:
         placed = open_.join(labels, "rep")
-        leads = [F.min(F.struct(F.xxhash64(F.lit(turn * LEADS + j), "rep").alias("h"), "rep", "n", "comp")) for j in range(1 if turn < SINGLE_ROUNDS else LEADS)]
-        lead = placed.groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("leads"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "leads")
-        met = placed.join(lead, "key").select("rep", "n", "comp", F.explode("leads").alias("lead")).where("comp <> lead.comp and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
-        pairs = met.select(F.col("rep").alias("x"), F.col("lead.rep").alias("lead"))
+        groups = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep")).alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         if turn < SINGLE_ROUNDS:
-            pairs = pairs.groupBy("x").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "lead").alias("h"), "lead")).alias("l")).select("x", F.col("l.lead").alias("lead"))
+            lead = groups.join(labels.select(F.col("rep").alias("lead"), F.col("comp").alias("lead_comp")), F.col("first.rep") == F.col("lead")).select("key", "lead", "lead_comp")
+            pairs = placed.join(lead, "key").where("comp <> lead_comp").groupBy(F.col("rep").alias("x")).agg(F.mode("lead").alias("lead"))
         else:
-            pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "lead"], "left_anti")
+            begin, end = (GROWTH ** (turn - SINGLE_ROUNDS + i) - 1 for i in (0, 1))
+            left = placed.where(F.col("c") > LEADS * begin).join(groups.select("key"), "key").join(parity, "rep")
+            lead = left.where(F.floor(F.col("u") * F.col("c") / LEADS).between(begin, end - 1)).select("key", *[F.col(c).alias(f"lead_{c}") for c in ("rep", "n", "comp", "u", "parity")])
+            differ = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("lead_parity")[i])) for i in range(PARITY // 64)), F.lit(0))
+            both = F.col("n") + F.col("lead_n")
+            # 100 * common >= percent * union: common >= percent * both / (100 + percent), so both - 2 * common <= (100 - percent) * both / (100 + percent)
+            near = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) & (differ * (100 + percent) <= (100 - percent) * both)
+            later = (F.col("u") > F.col("lead_u")) | ((F.col("u") == F.col("lead_u")) & (F.col("rep") > F.col("lead_rep")))
+            pairs = left.join(lead, "key").where((F.col("comp") != F.col("lead_comp")) & later & near).select(F.col("rep").alias("x"), F.col("lead_rep").alias("lead")).distinct()
+            if left.isEmpty():
+                break
         pairs = written(pairs, "neardup-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
         links = written(verified(pairs, sets, percent), "neardup-links")
-        if links.isEmpty():
-            if turn >= SINGLE_ROUNDS:
-                break
-        else:
+        if not links.isEmpty():
             comp = labels.select(F.col("rep").alias("node"), F.col("comp").alias("c"))
             edges = links.join(comp.withColumnsRenamed({"node": "u", "c": "cu"}), "u").join(comp.withColumnsRenamed({"node": "v", "c": "cv"}), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
             moved = components(edges).withColumnsRenamed({"node": "comp", "component": "to"})
