@@ -41,21 +41,25 @@ def shared_tags(declared: Column, referenced: Column) -> tuple[Column, Column]:
 
 def coalesce_spans(offsets: DataFrame, group: str, offset: str, width: int = 100) -> DataFrame:
     """group, start, length: sorted offsets joined greedily into spans of at most `width` from the span's start.
-    Offsets are cut where a gap of width or more parts them, which is exact, so a task holds one run of near offsets."""
-    w = Window.partitionBy(group).orderBy(offset)
-    gap = F.when(F.col(offset) - F.lag(offset).over(w) < width, 0).otherwise(1)
-    runs = offsets.select(group, offset).distinct().withColumn("_new", gap).withColumn("_run", F.sum("_new").over(w))
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[int]] = []
-        for x in sorted(rows[offset]):
-            if not out or x - out[-1][0] >= width:
-                out.append([x, 0])
-            out[-1][1] = x - out[-1][0] + 1
-        return pd.DataFrame({group: [rows[group].iloc[0]] * len(out), "start": [s for s, _ in out], "length": [n for _, n in out]})
+    One pass over sorted partitions that carries the open span only, so no group is held in memory."""
+
+    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        span: tuple | None = None
+        for batch in batches:
+            out = []
+            for g, x in zip(batch[group], batch[offset], strict=True):
+                if span and g == span[0] and x - span[1] < width:
+                    span = (g, span[1], x - span[1] + 1)
+                else:
+                    out += [span] if span else []
+                    span = (g, x, 1)
+            yield pd.DataFrame(out, columns=[group, "start", "length"])
+        if span:
+            yield pd.DataFrame([span], columns=[group, "start", "length"])
 
     kind = offsets.schema[group].dataType.simpleString()
-    return runs.groupBy(group, "_run").applyInPandas(greedy, f"`{group}` {kind}, start long, length long")
+    known = offsets.where(F.col(group).isNotNull() & F.col(offset).isNotNull()).select(group, offset).distinct()
+    return known.repartition(group).sortWithinPartitions(group, offset).mapInPandas(greedy, f"`{group}` {kind}, start long, length long")
 
 
 def base_offsets(files: DataFrame, order: str, rows: str) -> DataFrame:
