@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,9 +113,24 @@ def _coded(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(16)
 
 
-def _ranges(h: np.ndarray, n: int) -> np.ndarray:
-    """The range of each hash: n even parts of the hash space."""
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+@lru_cache(4)
+def _bounds(n: int, span: int) -> np.ndarray:
+    """The n - 1 hashes that cut the phrases' triggers into n even parts.
+
+    A trigger is the smallest of span hashes, so small ones are far more frequent: a place with hash x (of 0 to 1) is
+    the trigger of some window with probability (1-x)^(span-1) * (1 + (span-1) x). This is the inverse of its integral.
+    """
+    x = np.linspace(0, 1, (1 << 16) + 1) ** 2
+    power = np.ones_like(x)
+    for _ in range(span):
+        power = power * (1 - x)
+    below = ((span + 1) * (1 - power) + (span - 1) * (1 - power * (1 + span * x))) / (2 * span)
+    return np.minimum(np.interp(np.arange(1, n) / n, below, x) * 2.0**64, np.nextafter(2.0**64, 0)).astype(np.uint64)
+
+
+def _ranges(h: np.ndarray, n: int, length: int) -> np.ndarray:
+    """The range of each trigger: n even parts of their distribution."""
+    return np.searchsorted(_bounds(n, length - TRIGGER + 1), h, side="right")
 
 
 def _distinct_triggers(p: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +161,7 @@ def _send_triggers(key: str, n: int, length: int):
         chunk = group.column("_chunk")[0].as_py()
         _, texts, ids = _chunk(group, key)
         codes, many = _distinct_triggers(phrases(texts, ids, length))
-        part = _ranges(codes << np.uint64(16), n)
+        part = _ranges(codes << np.uint64(16), n, length)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(codes) else np.zeros(0, np.int64)
         ends = np.append(at[1:], len(codes))[: len(at)]
         return pa.table({
@@ -210,14 +226,14 @@ def _send_phrases(key: str, n: int, length: int):
         p = phrases(texts, ids, length)
         codes, _ = _distinct_triggers(p)
         answers = answers.sort_by("_range")
-        part = _ranges(codes << np.uint64(16), n)
+        part = _ranges(codes << np.uint64(16), n, length)
         counts = np.bincount(part, minlength=n)[answers.column("_range").to_numpy()] if len(codes) else []
         bits = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=int(c)) for x, c in zip(answers.column("repeated"), counts, strict=True)]
         repeated = np.concatenate(bits) > 0 if bits else np.zeros(len(codes), bool)
         some = np.flatnonzero(repeated[np.searchsorted(codes, _coded(p.trigger))]) if len(codes) else np.zeros(0, np.int64)
         order, new = _same_phrase_order(texts, p, some, length)
         one = some[order][new]
-        part = _ranges(p.trigger[one], n)
+        part = _ranges(p.trigger[one], n, length)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(one) else np.zeros(0, np.int64)
         rows = []
         for x, y in zip(at, np.append(at[1:], len(one))[: len(at)], strict=True):

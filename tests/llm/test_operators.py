@@ -84,6 +84,13 @@ def test_repeats(spark, docs, bad, empty, chunk, monkeypatch):
     assert rep.remove_repeats(empty).count() == 0
 
 
+def test_trigger_ranges_are_even():
+    text = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
+    found = rep.phrases(rep.K.Texts(0, text, np.array([0, len(text)])), np.array([1]))
+    share = np.bincount(rep._ranges(np.unique(found.trigger), 20, rep.LENGTH), minlength=20)
+    assert share.max() < 1.3 * share.mean()
+
+
 def test_repeats_in_one_document_stay(spark):
     t = "this passage of more than fifty bytes comes twice in one text; " * 2
     got = rep.remove_repeats(spark.createDataFrame([(1, t), (1, t), (2, t[:70])], "doc_id long, text string")).collect()
