@@ -1,24 +1,33 @@
-"""Packing: windows filled with lexical neighbours from a sharded BM25 index.
+"""Packing: windows filled with lexical neighbours found by BM25 over the whole corpus.
 
 Documents are tokenised once into a written table, from which the document
 frequency of every token id is counted (a vector as long as the vocabulary).
-Rows are dealt by a hash of their id into shards of about SHARD_BYTES of ids.
-Each shard is an inverted index with BM25 weights under the corpus statistics:
-a seed document opens a window, its heaviest terms are looked up, and unused
-neighbours fill the window best first; the neighbour that no longer fits is cut
-and its rest seeds the next window. So every window is full but a shard's last,
-which is cut at powers of two, where no padding is due.
+Rows are numbered by (hash of the id, id, tokens) and cut by that order into
+shards of about SHARD_BYTES of ids; each shard is written as an inverted index
+with BM25 weights under the corpus statistics. Windows are filled in rounds by
+lanes. A lane's seed document opens a window; all its terms are looked up in
+every shard, the shards' best unused documents are merged, and lanes take turns:
+each fills its window with its best neighbours that are still unused, best
+first. The neighbour that no longer fits is cut and its rest seeds the lane's
+next window. A lane whose list ran out because others took from it asks again.
+There are a quarter as many lanes as windows left, MAX_LANES at most; what the
+last lanes leave unfilled is laid end to end and cut at powers of two. So every
+window is full but the last ones, where no padding is due, and the size of the
+shards does not alter the result.
+
+The driver keeps 9 bytes a document (length, tokens done, unused) and one
+round's lanes and lists; pieces are written as they come.
 
 Defined results: null counts as empty and is one end token; longer documents
-run over several windows; equal scores go by place in the shard (ascending id);
-repeated ids are packed each; an empty table gives an empty result; other
-columns are ignored.
+run over several windows; equal scores go by number; repeated ids are packed
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.bpe import encoder, id_arrays, packed_ids, raw, vocabulary
-from assayer.llm.tables import written
+from assayer.llm.tables import discard, written
 
 SHARD_BYTES = 8 << 20
-TERMS = 24
+MAX_LANES = 1 << 12
+LIST = 16
+_BLOCK = 256
+_FLUSH = 1 << 20
 K1, B = 1.2, 0.75
 END = 2
 
@@ -65,75 +77,147 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-class Shard:
-    """BM25 inverted index over one shard's documents."""
-
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        self.n = n = len(ids)
-        length = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids).astype(np.int64)
-        key, tf = np.unique(flat * n + np.repeat(np.arange(n), length), return_counts=True)
-        term, self.doc = key // n, (key % n).astype(np.int32)
-        tf = tf.astype(np.float32)
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / mean_length))).astype(np.float32)
-        self.start = np.searchsorted(term, np.arange((1 << 16) + 1))
-        order = np.lexsort((term, -self.weight, self.doc))
-        cut = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.query = [term[order[x : min(y, x + TERMS)]] for x, y in zip(cut, cut[1:], strict=False)]
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first."""
-        score = np.zeros(self.n, np.float32)
-        for t in self.query[seed]:
-            x, y = self.start[t], self.start[t + 1]
-            score[self.doc[x:y]] += self.weight[x:y]
-        score[~unused] = 0
-        some = np.flatnonzero(score)
-        return some[np.lexsort((some, -score[some]))]
-
-
-def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece; every sequence but the last ones is full."""
-    index, n = Shard(ids, idf, mean_length), len(ids)
-    unused, done = np.ones(n, bool), np.zeros(n, np.int64)
-    pieces, sequence, room, following = [], 0, window, 0
-
-    def put(d: int) -> bool:
-        """Put as much of the document as the window holds; True if a rest is left over."""
-        nonlocal sequence, room
-        unused[d] = False
-        size = min(room, len(ids[d]) - int(done[d]))
-        pieces.append((d, int(done[d]), size, sequence, window - room))
-        done[d] += size
-        room -= size
-        if not room:
-            sequence, room = sequence + 1, window
-        return done[d] < len(ids[d])
-
-    seed = 0
-    while following < n or seed >= 0:
-        if seed < 0:
-            while following < n and not unused[following]:
-                following += 1
-            if following == n:
-                break
-            seed = following
-        at = sequence
-        rest = put(seed)
-        while rest and sequence > at:
-            at = sequence
-            rest = put(seed)
-        if room == window and not rest:
-            seed = -1
-            continue
-        cut = -1
-        for d in index.neighbours(seed, unused):
-            if put(int(d)):
-                cut = int(d)
-            if room == window or cut >= 0:
+def shard_index(ids: list[np.ndarray], idf: np.ndarray, mean_length: float) -> dict[str, np.ndarray]:
+    """Postings by term (docs, weights, and where each term's start) and the terms of each document (terms, cuts)."""
+    n, length = len(ids), np.array([len(x) for x in ids], np.int64)
+    key, tf = np.unique(np.concatenate(ids).astype(np.int64) * n + np.repeat(np.arange(n), length), return_counts=True)
+    term, doc = key // n, (key % n).astype(np.int32)
+    tf = tf.astype(np.float32)
+    weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean_length))).astype(np.float32)
+    order = np.argsort(doc, kind="stable")
+    return {
+        "lengths": length.astype("<i4"), "docs": doc, "weights": weight, "starts": np.searchsorted(term, np.arange((1 << 16) + 1)).astype("<i4"),
+        "terms": term[order].astype("<u2"), "cuts": np.searchsorted(doc[order], np.arange(n + 1)).astype("<i4"),
+    }
+
+
+class Searcher:
+    """The unused documents of one shard; terms that many of them have are kept as whole rows."""
+
+    def __init__(self, lengths: np.ndarray, docs: np.ndarray, weights: np.ndarray, starts: np.ndarray, unused: np.ndarray):
+        self.at = np.flatnonzero(unused)
+        self.lengths, n = lengths[self.at].astype(np.int64), len(self.at)
+        place = np.cumsum(unused) - 1
+        some = unused[docs]
+        self.start = np.concatenate([[0], np.cumsum(some)])[starts]
+        self.doc, self.weight = place[docs[some]], weights[some]
+        self.rows: dict[int, np.ndarray] = {}
+        for t in np.flatnonzero(np.diff(self.start) > n // 16):
+            self.rows[int(t)] = row = np.zeros(n, np.float32)
+            row[self.doc[self.start[t] : self.start[t + 1]]] = self.weight[self.start[t] : self.start[t + 1]]
+
+    def best(self, terms: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores), best first, of as many documents that share a term as have `need` tokens together."""
+        score = np.zeros(len(self.at), np.float32)
+        for t in terms.tolist():
+            row = self.rows.get(t)
+            if row is not None:
+                score += row
+            elif self.start[t] < self.start[t + 1]:
+                x, y = self.start[t], self.start[t + 1]
+                score[self.doc[x:y]] += self.weight[x:y]
+        some, k = np.flatnonzero(score), 64
+        while k < len(some):
+            least = np.partition(score[some], len(some) - k)[len(some) - k]
+            top = some[score[some] >= least]
+            if int(self.lengths[top].sum()) >= need:
+                some = top
                 break
-        seed = cut
-    return pieces
+            k *= 4
+        some = some[np.lexsort((some, -score[some]))]
+        some = some[: np.searchsorted(np.cumsum(self.lengths[some]), need) + 1]
+        return self.at[some], score[some]
+
+
+@dataclass
+class Lane:
+    """A window being filled: its pieces (document, start, length), the room left, and the seed."""
+
+    seed: int
+    room: int
+    pieces: list[tuple[int, int, int]] = field(default_factory=list)
+
+
+class Packer:
+    """What the driver knows: lengths and unused documents by number, lanes, and the pieces of full windows."""
+
+    def __init__(self, lengths: np.ndarray, window: int):
+        self.lengths, self.window = lengths, window
+        self.done, self.unused = np.zeros(len(lengths), np.int32), np.ones(len(lengths), bool)
+        self.left = int(lengths.sum(dtype=np.int64))
+        self.following = self.sequence = 0
+        self.lanes: list[Lane] = []
+        self.pieces: list[tuple[int, int, int, int, int]] = []
+
+    def put(self, lane: Lane, d: int) -> bool:
+        """Put as much of the document as the window holds; True if a rest is left over."""
+        if self.unused[d]:
+            self.unused[d] = False
+            self.left -= int(self.lengths[d])
+        size = min(lane.room, int(self.lengths[d] - self.done[d]))
+        lane.pieces.append((d, int(self.done[d]), size))
+        self.done[d] += size
+        lane.room -= size
+        if not lane.room:
+            self.emit(lane.pieces)
+            lane.pieces, lane.room = [], self.window
+        return bool(self.done[d] < self.lengths[d])
+
+    def emit(self, pieces: list[tuple[int, int, int]]) -> None:
+        at = 0
+        for d, start, size in pieces:
+            self.pieces.append((d, start, size, self.sequence, at))
+            at += size
+        self.sequence += 1
+
+    def sow(self, lane: Lane, d: int) -> None:
+        """Put the document, or the rest of it, and make it the seed; none if its end fills a window."""
+        while self.put(lane, d):
+            pass
+        lane.seed = d if lane.pieces else -1
+
+    def next_unused(self) -> int:
+        while self.following < len(self.unused) and not self.unused[self.following]:
+            self.following += 1
+        return self.following if self.following < len(self.unused) else -1
+
+    def open_lanes(self) -> None:
+        """As many lanes as a quarter of the windows left."""
+        self.lanes = [x for x in self.lanes if x.seed >= 0]
+        while len(self.lanes) < min(MAX_LANES, max(1, self.left // self.window // 4)) and (d := self.next_unused()) >= 0:
+            lane = Lane(-1, self.window)
+            self.sow(lane, d)
+            if lane.seed >= 0:
+                self.lanes.append(lane)
+
+    def fill(self, lane: Lane, found: np.ndarray, whole: bool) -> None:
+        """Fill the lane's window from its seed's neighbours; whole if no other unused document shares a term."""
+        for d in found.tolist():
+            if self.unused[d]:
+                if self.put(lane, d):
+                    return self.sow(lane, d)
+                if not lane.pieces:
+                    lane.seed = -1
+                    return None
+        if whole and (d := self.next_unused()) >= 0:
+            self.sow(lane, d)
+        return None
+
+    def end(self) -> None:
+        """Lay what is in unfilled windows end to end."""
+        last, pieces = Lane(-1, self.window), [p for lane in self.lanes for p in lane.pieces]
+        for d, start, size in pieces:
+            while size:
+                k = min(size, last.room)
+                last.pieces.append((d, start, k))
+                start, size, last.room = start + k, size - k, last.room - k
+                if not last.room:
+                    self.emit(last.pieces)
+                    last.pieces, last.room = [], self.window
+        at = len(self.pieces)
+        if last.pieces:
+            self.emit(last.pieces)
+            self.pieces[at:] = at_powers_of_two(self.pieces[at:], self.window)
 
 
 def at_powers_of_two(pieces: list[tuple[int, int, int, int, int]], window: int) -> list[tuple[int, int, int, int, int]]:
@@ -157,6 +241,111 @@ def at_powers_of_two(pieces: list[tuple[int, int, int, int, int]], window: int)
     return out
 
 
+def _lists(index: DataFrame, base: np.ndarray, unused: np.ndarray, queries: list[tuple[bytes, int]]) -> list[tuple[np.ndarray, bool]]:
+    """For each query (terms, tokens needed) the numbers of its best unused documents in all shards, and whether these are all."""
+    context = index.sparkSession.sparkContext
+    sent = context.broadcast((base, np.packbits(unused), queries))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, bits, queries = sent.value
+        for b in batches:
+            for i in range(b.num_rows):
+                shard, lengths, docs, weights, starts = (c[i].as_py() for c in b.columns)
+                x, y = int(base[shard]), int(base[shard + 1])
+                free = np.unpackbits(bits[x // 8 : -(-y // 8)])[x % 8 : x % 8 + y - x] > 0
+                if not free.any():
+                    continue
+                s = Searcher(np.frombuffer(lengths, "<i4"), np.frombuffer(docs, "<i4"), np.frombuffer(weights, "<f4"), np.frombuffer(starts, "<i4"), free)
+                for at in range(0, len(queries), _BLOCK):
+                    found = [s.best(np.frombuffer(t, "<u2"), need) for t, need in queries[at : at + _BLOCK]]
+                    place = np.concatenate([f[0] for f in found])
+                    blobs = [np.array([len(f[0]) for f in found], "<i4"), (place + x).astype("<i8"), np.concatenate([f[1] for f in found]).astype("<f4"), np.frombuffer(lengths, "<i4")[place]]
+                    yield pa.RecordBatch.from_arrays([pa.array([at // _BLOCK], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in blobs)], names=["block", "counts", "numbers", "scores", "sizes"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        queries = sent.value[2]
+        block = group.column("block")[0].as_py()
+        blob = lambda c, kind: np.concatenate([np.frombuffer(v.as_py(), kind) for v in group.column(c)])
+        here = queries[block * _BLOCK : (block + 1) * _BLOCK]
+        query = np.repeat(np.tile(np.arange(len(here)), group.num_rows), blob("counts", "<i4"))
+        number, score, size = blob("numbers", "<i8"), blob("scores", "<f4"), blob("sizes", "<i4").astype(np.int64)
+        order = np.lexsort((number, -score, query))
+        query, number, size = query[order], number[order], size[order]
+        cut = np.searchsorted(query, np.arange(len(here) + 1))
+        before = np.cumsum(size) - size
+        need = np.array([n for _, n in here], np.int64)
+        kept = before - before[cut[query]] < need[query]
+        all_ = np.bincount(query, size, len(here)) < need
+        return pa.table({
+            "block": pa.array([block], pa.int64()), "counts": pa.array([np.bincount(query[kept], minlength=len(here)).astype("<i4").tobytes()], pa.binary()),
+            "numbers": pa.array([number[kept].astype("<i8").tobytes()], pa.binary()), "whole": pa.array([all_.astype("u1").tobytes()], pa.binary()),
+        })
+
+    found = index.select("_shard", "lengths", "docs", "weights", "starts").mapInArrow(search, "block long, counts binary, numbers binary, scores binary, sizes binary")
+    rows = found.groupBy("block").applyInArrow(merge, "block long, counts binary, numbers binary, whole binary").collect()
+    sent.destroy()
+    out: list[tuple[np.ndarray, bool]] = [(np.zeros(0, np.int64), True)] * len(queries)
+    for r in rows:
+        lists = np.split(np.frombuffer(r.numbers, "<i8"), np.cumsum(np.frombuffer(r.counts, "<i4"))[:-1])
+        for i, (x, whole) in enumerate(zip(lists, np.frombuffer(r.whole, "u1"), strict=True)):
+            out[r.block * _BLOCK + i] = (x, bool(whole))
+    return out
+
+
+def _terms(index: DataFrame, base: np.ndarray, seeds: list[int]) -> dict[int, bytes]:
+    """The terms of the documents with these numbers."""
+    sent = index.sparkSession.sparkContext.broadcast((base, np.unique(seeds)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, seeds = sent.value
+        for b in batches:
+            for i in range(b.num_rows):
+                shard, terms, cuts = (c[i].as_py() for c in b.columns)
+                x, c = int(base[shard]), np.frombuffer(cuts, "<i4")
+                here = seeds[np.searchsorted(seeds, x) : np.searchsorted(seeds, int(base[shard + 1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array([terms[2 * c[d] : 2 * c[d + 1]] for d in here - x], pa.binary())], names=["number", "terms"])
+
+    rows = index.select("_shard", "terms", "cuts").mapInArrow(run, "number long, terms binary").collect()
+    sent.destroy()
+    return {r.number: bytes(r.terms) for r in rows}
+
+
+def _windows(index: DataFrame, window: int) -> DataFrame:
+    """_shard, place, start, length, sequence_id, offset of each piece."""
+    spark = index.sparkSession
+    sizes = dict(index.select("_shard", "lengths").rdd.map(lambda r: (r[0], bytes(r[1]))).collect())
+    counts = [len(sizes.get(i, b"")) // 4 for i in range(max(sizes, default=-1) + 1)]
+    base = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    packer = Packer(np.frombuffer(b"".join(sizes[i] for i in sorted(sizes)), "<i4"), window)
+    parts = []
+
+    def flush() -> None:
+        c = np.array(packer.pieces, np.int64).reshape(-1, 5)
+        shard = np.searchsorted(base, c[:, 0], side="right") - 1
+        columns = [shard, c[:, 0] - base[shard], *c.T[1:]] if len(c) else [c[:, 0]] * 6
+        parts.append(written(spark.createDataFrame(pa.table(columns, names=["_shard", "_place", "start", "length", "sequence_id", "offset"])), "packing-pieces"))
+        packer.pieces = []
+
+    packer.open_lanes()
+    while packer.left:
+        terms = _terms(index, base, [x.seed for x in packer.lanes])
+        need: dict[bytes, int] = {}
+        for x in packer.lanes:
+            need[terms[x.seed]] = need.get(terms[x.seed], 0) + LIST * x.room
+        found = dict(zip(need, _lists(index, base, packer.unused, list(need.items())), strict=True))
+        for x in packer.lanes:
+            packer.fill(x, *found[terms[x.seed]])
+        packer.open_lanes()
+        if len(packer.pieces) > _FLUSH:
+            flush()
+    packer.end()
+    flush()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = 4096) -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     tokens = written(tokenised(docs, path, key, text), "packing-ids")
@@ -167,18 +356,27 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(np.log(1 + (n - df + 0.5) / (df + 0.5)))
     mean_length = (total or 1) / max(n, 1)
     shards = max(1, -(-2 * (total or 0) // SHARD_BYTES))
+    order = [("_hash", "ascending"), (key, "ascending"), ("ids", "ascending")]
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(key, "ascending"), ("ids", "ascending")])
+    def build(group: pa.Table) -> pa.Table:
         shard = group.column("_shard")[0].as_py()
+        made = shard_index([np.frombuffer(x.as_py(), "<u2") for x in group.sort_by(order).column("ids")], shared.value, mean_length)
+        return pa.table({"_shard": pa.array([shard], pa.int64())} | {c: pa.array([v.tobytes()], pa.binary()) for c, v in made.items()})
+
+    def run(group: pa.Table, pieces: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
         ids = [np.frombuffer(x.as_py(), "<u2") for x in group.column("ids")]
-        pieces = at_powers_of_two(pack_shard(ids, shared.value, mean_length, window), window)
-        doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
-        crc = [zlib.crc32(ids[d][s : s + k].astype("<u4").tobytes()) for d, s, k, _, _ in pieces]
+        doc, start, length = (pieces.column(c).to_numpy() for c in ("_place", "start", "length"))
+        crc = [zlib.crc32(ids[d][s : s + k].astype("<u4").tobytes()) for d, s, k in zip(doc, start, length, strict=True)]
         return pa.table({
-            key: group.column(key).take(pa.array(doc)), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()),
-            "doc_tokens": np.array([len(x) for x in ids], np.int64)[doc], "sequence_id": sequence + (shard << 32), "offset": offset,
+            key: group.column(key).take(pa.array(doc, pa.int64())), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()),
+            "doc_tokens": np.array([len(x) for x in ids], np.int64)[doc], "sequence_id": pieces.column("sequence_id"), "offset": pieces.column("offset"),
         })
 
-    dealt = tokens.select(key, "ids", F.pmod(F.xxhash64(F.col(key)), F.lit(shards)).cast("long").alias("_shard"))
-    return dealt.groupBy("_shard").applyInArrow(run, out)
+    half = F.shiftrightunsigned(F.xxhash64(F.col(key)), 33)
+    dealt = tokens.select(key, "ids", half.alias("_hash"), F.shiftright(half * F.lit(shards), 31).cast("long").alias("_shard"))
+    kinds = ", ".join(f"{c} binary" for c in ("lengths", "docs", "weights", "starts", "terms", "cuts"))
+    index = written(dealt.groupBy("_shard").applyInArrow(build, f"_shard long, {kinds}"), "packing-index")
+    pieces = _windows(index, window)
+    discard(index)
+    return dealt.groupBy("_shard").cogroup(pieces.groupBy("_shard")).applyInArrow(run, out)

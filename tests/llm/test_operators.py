@@ -184,6 +184,24 @@ def test_packing(docs, bad, empty, library, shard, monkeypatch):
     assert packing.pack_documents(empty, vocabulary_path()).count() == 0
 
 
+def test_packing_finds_neighbours_in_all_shards(spark, docs, monkeypatch):
+    rnd = np.random.default_rng(5)
+    own = lambda: " ".join("".join(rnd.choice(list("bcdfghjkz"), 9)) for _ in range(30))
+    table = spark.createDataFrame([(i, f"{('walking under the trees', 'buying shares of banks')[i % 2]} {own()}") for i in range(40)], "doc_id long, text string")
+    shown = lambda t: sorted((r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in packing.pack_documents(t, vocabulary_path(), window=1024).collect())
+    whole = [shown(table), shown(docs)]
+    monkeypatch.setattr(packing, "SHARD_BYTES", 20_000)
+    assert [shown(table), shown(docs)] == whole
+
+
+def test_packing_uses_all_terms():
+    ids = [np.arange(100, 130), np.array([129, 5]), np.array([6, 7])]
+    s = packing.shard_index(ids, np.linspace(9, 1, 1 << 16), 10.0)
+    free = np.array([False, True, True])
+    found, score = packing.Searcher(s["lengths"], s["docs"], s["weights"], s["starts"], free).best(s["terms"][: s["cuts"][1]], 100)
+    assert found.tolist() == [1] and score[0] > 0
+
+
 @pytest.mark.parametrize("shard", [24 << 20, 20_000])
 def test_top_k(docs, bad, empty, shard, monkeypatch):
     monkeypatch.setattr(search, "SHARD_BYTES", shard)
