@@ -18,8 +18,11 @@ Work is dealt by chunks of documents and by ranges of trigger hashes:
      document; ranges sort suffixes and answer, for each phrase, which of its
      windows occur in a smaller document still;
   3. chunks mark and remove bytes.
-A passage in very many documents is one phrase a chunk, so no range grows with
-its copies.
+A passage in very many documents is one phrase a chunk where its context is
+the same. Phrases at its edges hold bytes of each document's own, so a trigger
+with more than HOT phrases (each counted once a chunk) is dealt by windows instead: a chunk sends each
+distinct window of those phrases once, with its smallest document, to a range
+by the hash of its bytes. So no range grows with a passage's copies.
 
 Defined results: null counts as empty; texts of fewer than `length` bytes keep
 all; rows with one id are one document, whose own repeats stay; a null id is
@@ -44,6 +47,7 @@ from assayer.llm.tables import discard, pieces, volume, written
 LENGTH = 50
 TRIGGER = 16
 CHUNK_BYTES = 6 << 20
+HOT = 1 << 12
 _SLICE = 1 << 19
 _PHRASES = 1 << 14
 _PLACE = np.uint64((1 << 20) - 1)
@@ -160,7 +164,11 @@ def _send_triggers(key: str, n: int, length: int):
     def run(group: pa.Table) -> pa.Table:
         chunk = group.column("_chunk")[0].as_py()
         _, texts, ids = _chunk(group, key)
-        codes, many = _distinct_triggers(phrases(texts, ids, length))
+        p = phrases(texts, ids, length)
+        codes, many = _distinct_triggers(p)
+        several = np.flatnonzero(_in_several(p))
+        order, new = _same_phrase_order(texts, p, several, length)
+        times = np.maximum(1, np.bincount(np.searchsorted(codes, _coded(p.trigger[several[order][new]])), minlength=len(codes)))
         part = _ranges(codes << np.uint64(16), n, length)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(codes) else np.zeros(0, np.int64)
         ends = np.append(at[1:], len(codes))[: len(at)]
@@ -168,6 +176,7 @@ def _send_triggers(key: str, n: int, length: int):
             "_range": pa.array(part[at], pa.int64()), "_chunk": pa.array([chunk] * len(at), pa.int64()),
             "codes": pa.array([_deltas(codes[x:y]) for x, y in zip(at, ends, strict=True)], pa.binary()),
             "many": pa.array([np.packbits(many[x:y]).tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()),
+            "times": pa.array([np.minimum(times[x:y], (1 << 16) - 1).astype("<u2").tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()),
         })
 
     return run
@@ -186,10 +195,15 @@ def _answer_triggers(group: pa.Table) -> pa.Table:
     # A trigger that is in several documents of one chunk only is answered there as well.
     out = np.zeros(len(flat), bool)
     out[order] = repeated
+    times = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in group.column("times")]).astype(np.int64)[order]
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    hot = np.zeros(len(flat), bool)
+    hot[order] = np.repeat(np.add.reduceat(times, head) > HOT, np.diff(np.append(head, len(c)))) & repeated
     cuts = np.cumsum([0, *map(len, codes)])
     return pa.table({
         "_chunk": group.column("_chunk"), "_range": group.column("_range"),
         "repeated": pa.array([np.packbits(out[x:y]).tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+        "hot": pa.array([flat[x:y][hot[x:y]].astype("<u8").tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary()),
     })
 
 
@@ -219,6 +233,25 @@ def _same_phrase_order(texts: K.Texts, p: Phrases, some: np.ndarray, length: int
     return order, new
 
 
+def _hot_codes(answers: pa.Table) -> np.ndarray:
+    """The coded triggers that are dealt by windows."""
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_py(), "<u8") for x in answers.column("hot") if x.is_valid)]))
+
+
+def _hot_windows(texts: K.Texts, p: Phrases, hot: np.ndarray, length: int) -> tuple[Phrases, np.ndarray, np.ndarray]:
+    """The windows at hot triggers as phrases of one window, with hashes of their bytes for triggers; their order that
+    puts equal ones together, smallest document first; and which of them (in that order) differ from the one before."""
+    some = np.flatnonzero(np.isin(_coded(p.trigger), hot)) if len(hot) else np.zeros(0, np.int64)
+    n = p.windows[some]
+    start, ones = K.ranges(p.start[some], n), np.ones(int(n.sum()), np.int64)
+    h = np.zeros(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(length if len(start) else 0):
+            h = (h + texts.data[start + k].astype(np.uint64) + np.uint64(1)) * K.MULT
+    w = Phrases(start, ones, start, K.mix(h), np.repeat(p.doc[some], n))
+    return w, *_same_phrase_order(texts, w, np.arange(len(start)), length)
+
+
 def _send_phrases(key: str, n: int, length: int):
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = group.column("_chunk")[0].as_py() if group.num_rows else -1
@@ -231,15 +264,22 @@ def _send_phrases(key: str, n: int, length: int):
         bits = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=int(c)) for x, c in zip(answers.column("repeated"), counts, strict=True)]
         repeated = np.concatenate(bits) > 0 if bits else np.zeros(len(codes), bool)
         some = np.flatnonzero(repeated[np.searchsorted(codes, _coded(p.trigger))]) if len(codes) else np.zeros(0, np.int64)
+        hot = _hot_codes(answers)
+        some = some[~np.isin(_coded(p.trigger[some]), hot)]
         order, new = _same_phrase_order(texts, p, some, length)
         one = some[order][new]
-        part = _ranges(p.trigger[one], n, length)
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(one) else np.zeros(0, np.int64)
+        w, order, new = _hot_windows(texts, p, hot, length)
+        single = order[new]
+        even = np.linspace(0, 2.0**64, n + 1)[1:-1].astype(np.uint64)
         rows = []
-        for x, y in zip(at, np.append(at[1:], len(one))[: len(at)], strict=True):
-            q = one[x:y]
-            size = p.windows[q] + length - 1
-            rows.append((int(part[x]), chunk, q.astype("<u4").tobytes(), p.trigger[q].astype("<u8").tobytes(), p.doc[q].astype("<i8").tobytes(), np.column_stack([p.windows[q], p.place[q] - p.start[q]]).astype("u1").tobytes(), texts.data[K.ranges(p.start[q], size)].tobytes()))
+        # A window's ordinal is its place, after those of the phrases.
+        for of, one, part, first in ((p, one, _ranges(p.trigger[one], n, length), np.arange(len(p.start))), (w, single, np.searchsorted(even, w.trigger[single], side="right"), len(p.start) + w.start)):
+            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(one) else np.zeros(0, np.int64)
+            for x, y in zip(at, np.append(at[1:], len(one))[: len(at)], strict=True):
+                q = one[x:y]
+                size = of.windows[q] + length - 1
+                shape = np.column_stack([of.windows[q], of.place[q] - of.start[q]]).astype("u1")
+                rows.append((int(part[x]), chunk, first[q].astype("<u4").tobytes(), of.trigger[q].astype("<u8").tobytes(), of.doc[q].astype("<i8").tobytes(), shape.tobytes(), texts.data[K.ranges(of.start[q], size)].tobytes()))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 7
         kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_range", "_chunk", "ordinal", "trigger", "doc", "shape", "bytes"])
@@ -312,7 +352,12 @@ def _covered(texts: K.Texts, ids: np.ndarray, answers: pa.Table, length: int) ->
     flag[K.ranges(p.start[later], p.windows[later])] = 1
     # The answers are for the chunk's smallest document with the phrase.
     for o, w in zip(answers.column("ordinal"), answers.column("windows"), strict=True):
+        if not o.is_valid:
+            continue
         at, bits = np.frombuffer(o.as_py(), "<u4").astype(np.int64), np.frombuffer(w.as_py(), "<u8")
+        single = at >= len(p.start)
+        flag[at[single] - len(p.start)] = 1
+        at, bits = at[~single], bits[~single]
         n = p.windows[at]
         shift = K.ranges(np.zeros(len(at), np.int64), n)
         hit = np.repeat(bits, n) >> shift.astype(np.uint64) & np.uint64(1)
@@ -322,6 +367,11 @@ def _covered(texts: K.Texts, ids: np.ndarray, answers: pa.Table, length: int) ->
     if len(again):
         head = s[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))][(p.doc[s] == least) & ~new]
         flag[K.ranges(p.start[again], p.windows[again])] |= flag[K.ranges(p.start[head], p.windows[head])]
+    # The windows at hot triggers were answered where the chunk has each first.
+    w, order, new = _hot_windows(texts, p, _hot_codes(answers), length)
+    if len(order):
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        flag[w.start[order]] |= flag[w.start[head]] | (w.doc[order] > w.doc[head])
     depth = np.cumsum(flag[:-1], dtype=np.int32)
     depth[length:] -= depth[:-length].copy()
     return depth > 0
@@ -371,11 +421,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     n = pieces(total, CHUNK_BYTES)
     chunk = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).alias("_chunk")
     plain = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"), chunk)
-    sent = plain.groupBy("_chunk").applyInArrow(_send_triggers(key, n, length), "_range long, _chunk long, codes binary, many binary")
-    repeated = written(sent.groupBy("_range").applyInArrow(_answer_triggers, "_chunk long, _range long, repeated binary"), "repeats-triggers")
+    sent = plain.groupBy("_chunk").applyInArrow(_send_triggers(key, n, length), "_range long, _chunk long, codes binary, many binary, times binary")
+    repeated = written(sent.groupBy("_range").applyInArrow(_answer_triggers, "_chunk long, _range long, repeated binary, hot binary"), "repeats-triggers")
+    hot = written(repeated.where(F.octet_length("hot") > 0).select("_chunk", F.lit(None).cast("binary").alias("ordinal"), F.lit(None).cast("binary").alias("windows"), "hot"), "repeats-hot")
     found = plain.groupBy("_chunk").cogroup(repeated.groupBy("_chunk")).applyInArrow(_send_phrases(key, n, length), "_range long, _chunk long, ordinal binary, trigger binary, doc binary, shape binary, bytes binary")
     answers = written(found.groupBy("_range").applyInArrow(_answer_phrases(length), "_chunk long, ordinal binary, windows binary"), "repeats-windows")
     discard(repeated)
+    answers = answers.withColumn("hot", F.lit(None).cast("binary")).unionAll(hot)
     source = docs.select(key, *keep, F.coalesce(F.col(text), F.lit("")).alias("_text"), chunk)
     names = [key, *keep, "n_bytes", "n_removed", "n_spans", "kept_text" if kept_text else "kept_sha256"]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep)] + ["n_bytes long", "n_removed long", "n_spans long", f"{names[-1]} string"]

@@ -91,6 +91,34 @@ def test_trigger_ranges_are_even():
     assert share.max() < 1.3 * share.mean()
 
 
+@pytest.mark.parametrize("chunk", [12 << 20, 3000])
+def test_repeats_of_a_line_in_most_rows(spark, docs, bad, chunk, monkeypatch):
+    monkeypatch.setattr(rep, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(rep, "HOT", 20)
+    rnd, line = np.random.default_rng(7), "this line of some seventy bytes is shared by most of the rows of a table"
+    own = lambda: "".join(rnd.choice(list("abcdefgh "), 60))
+    lines = spark.createDataFrame([(i, own() + (line if i % 3 else "") + own()) for i in range(200)], "doc_id long, text string")
+    for table in (lines, docs, bad):
+        got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rep.remove_repeats(table).collect()]
+        source = rows_of(table)
+        assert sorted(got) == sorted((str(i), *x) for (i, _), x in zip(source, repeats(source)))
+
+
+def test_hot_triggers_are_dealt_by_windows(monkeypatch):
+    monkeypatch.setattr(rep, "HOT", 20)
+    rnd, line, n = np.random.default_rng(7), b"this line of some seventy bytes is shared by most of the rows of a table", 50
+    texts = [rnd.integers(97, 123, 60).astype(np.uint8).tobytes() + line + rnd.integers(97, 123, 60).astype(np.uint8).tobytes() for _ in range(400)]
+    pa = rep.pa
+    chunks = [pa.table({"doc_id": list(range(x, x + 40)), "_text": [t.decode() for t in texts[x : x + 40]], "_chunk": [x // 40] * 40}) for x in range(0, 400, 40)]
+    asked = pa.concat_tables([rep._send_triggers("doc_id", n, rep.LENGTH)(c) for c in chunks])
+    told = pa.concat_tables([rep._answer_triggers(asked.filter(pa.compute.equal(asked["_range"], r))) for r in set(asked["_range"].to_pylist())])
+    sent = pa.concat_tables([rep._send_phrases("doc_id", n, rep.LENGTH)(c, told.filter(pa.compute.equal(told["_chunk"], i))) for i, c in enumerate(chunks)])
+    size = np.zeros(n)
+    for r in sent.to_pylist():
+        size[r["_range"]] += len(r["bytes"])
+    assert size.max() < 0.1 * size.sum()
+
+
 def test_repeats_in_one_document_stay(spark):
     t = "this passage of more than fifty bytes comes twice in one text; " * 2
     got = rep.remove_repeats(spark.createDataFrame([(1, t), (1, t), (2, t[:70])], "doc_id long, text string")).collect()
