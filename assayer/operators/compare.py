@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.operators.sampling import ranked
+
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """n_a, n_b, only_a, only_b, identical: rows counted with their repeats, one pass over both tables."""
@@ -101,6 +103,5 @@ def worker_hours(clips: DataFrame) -> DataFrame:
 
 def thumbnails(frames: DataFrame, order: str, width: int, height: int) -> DataFrame:
     """A square-ish atlas: each row's tile by its rank."""
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1
-    cols = F.ceil(F.sqrt(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))))
-    return frames.withColumn("_i", rank).withColumn("_c", cols).select(*frames.columns, (F.col("_i") % F.col("_c") * width).alias("x"), (F.floor(F.col("_i") / F.col("_c")) * height).alias("y"))
+    cols = frames.agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_c"))
+    return ranked(frames, order, "_r").withColumn("_i", F.col("_r") - 1).crossJoin(F.broadcast(cols)).select(*frames.columns, (F.col("_i") % F.col("_c") * width).alias("x"), (F.floor(F.col("_i") / F.col("_c")) * height).alias("y"))

@@ -18,6 +18,16 @@ def running(df: DataFrame, bucket: Column, order: list[Column], value: Column, n
     return df.join(F.broadcast(totals.select("_bucket", before.alias("_before"))), "_bucket").withColumn(name, F.col("_before") + F.sum(value).over(w)).drop("_bucket", "_before")
 
 
+def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds the rank from 1 in the order of one whole-number or string column, nulls first."""
+    if df.schema[order].dataType.simpleString() == "string":
+        return running(df, F.coalesce(F.substring(order, 1, 3), F.lit("")), [F.col(order)], F.lit(1), name)
+    ends = df.agg(F.min(order).cast("double").alias("_min"), F.max(order).cast("double").alias("_max"))
+    place = F.floor((F.col(order).cast("double") - F.col("_min")) / F.nullif(F.col("_max") - F.col("_min"), F.lit(0.0)) * 4096)
+    bucket = F.when(F.col(order).isNull(), -1).otherwise(F.coalesce(place, F.lit(0)))
+    return running(df.crossJoin(F.broadcast(ends)), bucket, [F.col(order)], F.lit(1), name).drop("_min", "_max")
+
+
 def hash_bucket(name: str, key: Column) -> Column:
     """4,096 buckets by the draw order."""
     return F.substring(hash_order(name, key), 1, 3)
@@ -85,9 +95,8 @@ def split(pool: DataFrame, name: str, sizes: dict[str, int], key: str = "frame_i
 
 def replace_undecodable(members: DataFrame, reserve: DataFrame, bad: Column, key: str = "frame_id", position: str = "position") -> DataFrame:
     """The k-th bad member is replaced by the k-th reserve; running out raises."""
-    k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(position))
-    spare = reserve.select(F.col(key).alias("_spare"), k.alias("_k"))
-    broken = members.where(bad).withColumn("_k", k).join(spare, "_k", "left")
+    spare = ranked(reserve, position, "_k").select(F.col(key).alias("_spare"), "_k")
+    broken = ranked(members.where(bad), position, "_k").join(spare, "_k", "left")
     fixed = broken.where(F.assert_true(F.col("_spare").isNotNull(), "the reserve is used up").isNull()).withColumn(key, F.col("_spare")).drop("_spare", "_k")
     return members.where(~bad).unionByName(fixed.select(*members.columns))
 

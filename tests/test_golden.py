@@ -152,3 +152,20 @@ def test_stream_resumes(spark, tmp_path):
         log.write_once(log.first_answers(log.responses(spark, folder)), out, mark).awaitTermination()
     got = {r.frame_id: r.status for r in spark.read.parquet(out).collect()}
     assert got == {"a": "timeout", "b": "error", "c": "error"}
+
+
+def test_ranks_are_not_made_in_one_task(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        atlas = M.thumbnails(rows, "k", 10, 5)
+        assert max(len(x) for x in atlas.rdd.glom().collect()) < 1000
+        assert sorted(map(tuple, atlas.collect())) == [(i, i % 32 * 10, i // 32 * 5) for i in range(1000)]
+        members = rows.select(F.col("k").alias("frame_id"), (F.col("k") + 1).alias("position"))
+        reserve = members.withColumn("frame_id", F.col("frame_id") + 5000)
+        fixed = sampling.replace_undecodable(members, reserve, F.col("frame_id") % 2 == 0)
+        assert sorted(r.frame_id for r in fixed.where("frame_id >= 5000").collect()) == list(range(5000, 5500))
+        assert [r.k for r in sampling.ranked(spark.createDataFrame([("b",), (None,), ("a",)], "k string"), "k", "r").orderBy("r").collect()] == [None, "a", "b"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
