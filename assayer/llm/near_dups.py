@@ -4,17 +4,20 @@ A text's set is its distinct shingles of five words (A-Z lower-cased). The
 sketch places the shingles in bins by rounds of hashing until each bin holds
 one; the last rounds name their bin, so every bin fills. Equal sets collapse to
 one class first. Classes that share a band of the sketch meet in that band's
-group. In the first rounds each class is compared, on full sets, with the one
-lead that most of its groups name. Then the members of each group take turns as
-leads, in the order of a hash and four times as many a round, until all have
-had one; a pair is only formed while its classes are not yet connected and the
-exact bounds below leave it open. So a group of m near copies costs a multiple
-of m comparisons, not m squared, and no group is cut short.
+group. The lead of a group is its most central member, the one with the most
+band-mates over all its bands. While it pays, each class is compared, on full
+sets, with the one lead that most of its groups name, and what is linked is
+merged: near copies of one text thus cost a comparison each. Then every pair of
+a group that is not merged yet is formed if the exact bounds below leave it
+open, and verified. No group is cut short.
 
 Bounds that lose no link: the sizes of two sets, and the parity of the number of
 elements in each of PARITY hash cells. Cells of different parity hold at least
 one element that only one of the sets has.
 
+Groups of more than GROUP classes are dealt as pairs of parts of that size, so
+that no task holds a whole one.
+
 Defined results: null or blank texts have no shingles and stand alone; a text
 of fewer than five words has one, its whole sequence; a null id stands alone
 with a null component and is kept; equal texts are always together; rows with
@@ -37,10 +40,11 @@ from assayer.llm.tables import discard, written
 
 WORDS = 5
 BINS, ROWS = 128, 4
-#: Rounds in which each class meets one lead only; after them LEADS leads of each group take their turn, and GROWTH times as many each round.
-SINGLE_ROUNDS = 2
-LEADS, GROWTH = 16, 4
-PARITY = 512
+#: Rounds of one comparison a class go on while more than one in PAYS finds a link.
+PAYS = 4
+GROUP = 1024
+PARITY = 2048
+FOLD = PARITY // 64 // 4
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -123,7 +127,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame
                 sets = [values[y - n : y].tobytes() for y, n in zip(ends, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(part.first, len(part)), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return wanted.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    return wanted.mapInArrow(run, "id long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -143,49 +147,78 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("x", "lead", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _one_lead(placed: DataFrame, turn: int) -> DataFrame:
+    """(x, lead): each class with the lead that most of its groups name, where their components differ."""
+    weight = F.col("mates") * (1.0 if turn == 0 else F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(1 << 20)))
+    leads = placed.groupBy("key").agg(F.max(F.struct(weight.alias("w"), "rep", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    named = placed.join(leads.select("key", "lead"), "key").where(F.col("comp") != F.col("lead.comp"))
+    return named.groupBy(F.col("rep").alias("x")).agg(F.mode("lead.rep").alias("lead"))
+
+
+def _open_pairs(placed: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
+    """(x, lead): all pairs of a group in different components that the exact bounds leave open."""
+    groups = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main")).where("lo <> hi")
+    parts = F.ceil(F.col("c") / GROUP).cast("int")
+    folds = [F.col("parity")[k].bitwiseXOR(F.col("parity")[k + FOLD]).bitwiseXOR(F.col("parity")[k + 2 * FOLD]).bitwiseXOR(F.col("parity")[k + 3 * FOLD]).alias(f"f{k}") for k in range(FOLD)]
+    left = placed.join(groups.select("key", "main"), "key").join(parity.select("*", *folds), "rep").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    every, own = F.explode(F.sequence(F.lit(0), parts - 1)), ["rep", "n", "comp", "parity", *(f"f{k}" for k in range(FOLD))]
+    asking = left.where("comp <> main").select("key", F.col("part").alias("i"), every.alias("j"), *own)
+    asked = left.select("key", every.alias("i"), F.col("part").alias("j"), "main", *[F.col(c).alias(f"b_{c}") for c in own])
+    ones = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    # 100 * common >= percent * union: common >= percent * both / (100 + percent), so both - 2 * common <= (100 - percent) * both / (100 + percent)
+    may = lambda differ: sum(differ, F.lit(0)) * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("b_n"))
+    # The parities of a quarter as many cells, which are quicker to compare, come before all.
+    near = (100 * F.least("n", "b_n") >= percent * F.greatest("n", "b_n")) & may(ones(F.col(f"f{k}"), F.col(f"b_f{k}")) for k in range(FOLD)) & may(ones(F.col("parity")[k], F.col("b_parity")[k]) for k in range(4 * FOLD))
+    once = (F.col("b_comp") == F.col("main")) | (F.col("rep") > F.col("b_rep"))
+    pairs = asking.join(asked, ["key", "i", "j"]).where((F.col("comp") != F.col("b_comp")) & once & near)
+    return pairs.select(F.col("rep").alias("x"), F.col("b_rep").alias("lead")).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (rep, comp) after the components that links (u, v) join have become one."""
+    comp = labels.select(F.col("rep").alias("node"), F.col("comp").alias("c"))
+    edges = links.join(comp.withColumnsRenamed({"node": "u", "c": "cu"}), "u").join(comp.withColumnsRenamed({"node": "v", "c": "cv"}), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    moved = components(edges).withColumnsRenamed({"node": "comp", "component": "to"})
+    new = written(labels.join(moved, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "neardup-labels")
+    discard(labels)
+    return new
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """key, n_shingles, component_id (the smallest id reachable over links), kept."""
     table = written(sketched(docs, key, text), "neardup-sketches")
     named = table.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
-    classes = named.groupBy("set_a", "set_b", "n_shingles").agg(F.min(key).alias("rep"))
-    member = written(named.join(classes, ["set_a", "set_b", "n_shingles"]).select(F.col(key).alias("id"), "rep", "n_shingles", *[F.when(F.col(key) == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "parity")]), "neardup-classes")
-    reps = member.where("bands is not null").select("rep", "n_shingles", F.posexplode("bands").alias("band", "value"))
-    entries = reps.select(F.xxhash64("band", "value").alias("key"), "rep", F.col("n_shingles").alias("n"))
+    same = ["set_a", "set_b", "n_shingles"]
+    first = F.min(F.struct(F.col(key).alias("rep"), "bands", "parity")).alias("first")
+    classes = written(named.groupBy(*same).agg(first).select(*same, "first.*"), "neardup-classes")
+    entries = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "rep", "n")
     crowded = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    place = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / float(1 << 40)
-    open_ = written(entries.join(crowded, "key").withColumn("u", place), "neardup-entries")
-    ids = open_.select(F.col("rep").alias("id")).distinct()
-    sets = written(full_sets(docs.where(F.col(key).isNotNull()), ids, key, text), "neardup-sets")
-    parity = member.where("bands is not null").select("rep", "parity").dropDuplicates(["rep"])
-    labels, turn = written(ids.select(F.col("id").alias("rep"), F.col("id").alias("comp")), "neardup-labels"), 0
-    while True:
-        placed = open_.join(labels, "rep")
-        groups = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep")).alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        if turn < SINGLE_ROUNDS:
-            lead = groups.join(labels.select(F.col("rep").alias("lead"), F.col("comp").alias("lead_comp")), F.col("first.rep") == F.col("lead")).select("key", "lead", "lead_comp")
-            pairs = placed.join(lead, "key").where("comp <> lead_comp").groupBy(F.col("rep").alias("x")).agg(F.mode("lead").alias("lead"))
-        else:
-            begin, end = (GROWTH ** (turn - SINGLE_ROUNDS + i) - 1 for i in (0, 1))
-            left = placed.where(F.col("c") > LEADS * begin).join(groups.select("key"), "key").join(parity, "rep")
-            lead = left.where(F.floor(F.col("u") * F.col("c") / LEADS).between(begin, end - 1)).select("key", *[F.col(c).alias(f"lead_{c}") for c in ("rep", "n", "comp", "u", "parity")])
-            differ = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("lead_parity")[i])) for i in range(PARITY // 64)), F.lit(0))
-            both = F.col("n") + F.col("lead_n")
-            # 100 * common >= percent * union: common >= percent * both / (100 + percent), so both - 2 * common <= (100 - percent) * both / (100 + percent)
-            near = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) & (differ * (100 + percent) <= (100 - percent) * both)
-            later = (F.col("u") > F.col("lead_u")) | ((F.col("u") == F.col("lead_u")) & (F.col("rep") > F.col("lead_rep")))
-            pairs = left.join(lead, "key").where((F.col("comp") != F.col("lead_comp")) & later & near).select(F.col("rep").alias("x"), F.col("lead_rep").alias("lead")).distinct()
-            if left.isEmpty():
-                break
-        pairs = written(pairs, "neardup-pairs")
+    met = written(entries.join(crowded, "key"), "neardup-entries")
+    mates = written(met.groupBy("rep").agg(F.sum("c").alias("mates")), "neardup-mates")
+    sets = written(full_sets(docs.where(F.col(key).isNotNull()), mates.select(F.col("rep").alias("id")), key, text), "neardup-sets")
+    labels = written(classes.select("rep", F.col("rep").alias("comp")).distinct(), "neardup-labels")
+    # Rows with one id but different sets are linked by their id.
+    several = named.groupBy(key).agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi")).where("lo <> hi").select(key)
+    named_twice = written(named.select(key, *same).join(several, key).join(classes.select(*same, "rep"), same).select(F.col(key).alias("id"), "rep"), "neardup-ids")
+    if not named_twice.isEmpty():
+        labels = _merged(labels, named_twice.groupBy("id").agg(F.min("rep").alias("u")).join(named_twice, "id").where("u <> rep").select("u", F.col("rep").alias("v")))
+    parity, turn, asked, found = classes.select("rep", "parity"), 0, 0, 1
+    while asked < PAYS * found or turn == 0:
+        placed = met.join(labels, "rep").join(mates, "rep")
+        pairs = written(_one_lead(placed, turn), "neardup-pairs")
         links = written(verified(pairs, sets, percent), "neardup-links")
-        if not links.isEmpty():
-            comp = labels.select(F.col("rep").alias("node"), F.col("comp").alias("c"))
-            edges = links.join(comp.withColumnsRenamed({"node": "u", "c": "cu"}), "u").join(comp.withColumnsRenamed({"node": "v", "c": "cv"}), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-            moved = components(edges).withColumnsRenamed({"node": "comp", "component": "to"})
-            old, labels = labels, written(labels.join(moved, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "neardup-labels")
-            discard(old)
+        asked, found = pairs.count(), links.count()
+        labels = _merged(labels, links) if found else labels
+        discard(pairs, links)
         turn += 1
-    named_as = member.select("id", "rep").distinct().join(labels, "rep", "left").groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("component"))
+        if not found:
+            break
+    pairs = written(_open_pairs(met.join(labels, "rep"), parity, percent), "neardup-pairs")
+    links = written(verified(pairs, sets, percent), "neardup-links")
+    labels = _merged(labels, links)
+    discard(pairs, links, sets, met, mates, named_twice)
+    member = named.select(key, *same).join(classes.select(*same, "rep"), same).join(labels, "rep")
+    named_as = member.groupBy(F.col(key).alias("id")).agg(F.min("comp").alias("component"))
     return table.select(F.col(key), "n_shingles").join(named_as, F.col(key) == F.col("id"), "left").select(
         F.col(key), "n_shingles", F.coalesce("component", F.col(key)).alias("component_id"), (F.col(key).isNull() | (F.col(key) == F.coalesce("component", F.col(key)))).alias("kept")
     )

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Where each table that written() made lies, as long as the DataFrame is held.
+_folders: dict[int, tuple] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -36,16 +39,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by written() once no later step reads it."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[id(out)] = (path, weakref.finalize(out, _folders.pop, id(out), None))
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written() once no later step reads them."""
+    for df in tables:
+        path = _folders.pop(id(df), (None, None))[0]
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def volume(docs: DataFrame, text: str = "text") -> tuple[int, int]:
