@@ -1,14 +1,15 @@
 """BPE encoding and decoding by a deterministic automaton over the vocabulary.
 
 The automaton starts with one state and a loop for every base symbol. Each
-merge (a, b) in order of rank adds a gadget: whatever an a-arc led to is split,
-the new state loses its b-arc, and where a and then b could be read there is
-now an arc ab. After the last merge the automaton accepts exactly the token
-sequences that the merges produce, so a word's tokens are the labels of its
-one accepted path, found by table look-ups from left to right; decoding emits
-the labels. All arcs with one label lead to one state, which is why a state is
-stored once per label, as a parent and the arcs it lost, with the rank at
-which each was lost.
+merge (a, b) in order of rank adds a gadget: the arc b is taken from the state
+that a leads to; where a and then b could be read there is now an arc ab, and
+the state it leads to has the arcs that b's had. After the last merge the
+automaton accepts exactly the token sequences that the merges produce, so a
+word's tokens are the labels of its one accepted path, found by table look-ups
+from left to right; decoding emits the labels. All arcs with one label lead to
+one state, so a state is named by its label, and a gadget is kept as its rank
+and its two labels. Arcs are laid down in the table when a word first asks for
+them, by following an arc back through the gadgets that copied it.
 
 Defined results: null counts as empty and has no tokens; equal texts get equal
 rows; texts of any length are encoded whole; an empty table gives an empty
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +29,14 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A worker forgets its encoded words when it holds so many; it bounds memory, not results.
-CACHED_WORDS = 250_000
+from assayer.llm import kernels as K
+
+#: A worker forgets its encoded words and chunks when it holds so many; it bounds memory, not results.
+CACHED_WORDS, CACHED_CHUNKS = 300_000, 2_000_000
+#: Words of more bytes are read one by one.
+LONG = 256
 _NEVER = 1 << 60
-_LATEST = _NEVER - 1
 
 
 def byte_symbols() -> list[str]:
@@ -52,26 +56,14 @@ class MergeAutomaton:
         """vocab: token to id; end: the suffix of a word's last symbol ('' for none)."""
         self.end, self.labels = end, {i: t for t, i in vocab.items()}
         count = max(self.labels) + 1
-        self._parent, self._split_at, self._lost = [-1], [_NEVER], [{}]
-        self._target = [0] * count
-        owners = [count]
-        self._left, self._born = [-1] * count, [-1] * count
+        self._left, self._right, self._born = [-1] * count, [-1] * count, [-1] * count
+        self._removed: dict[int, int] = {}
         for rank, (a, b) in enumerate(merges):
             ia, ib, iab = vocab[a], vocab[b], vocab[a + b]
-            if self._born[iab] >= 0 or not self._has(self._target[ia], ib):
+            if self._born[iab] >= 0 or not self._has(ia, ib):
                 continue  # nothing reads a and then b any more
-            after, state = self._target[ib], self._target[ia]
-            if owners[state] > 1 or ia == ib:  # the label aa keeps the state in which an a may follow
-                owners[state] -= 1
-                self._parent.append(state)
-                self._split_at.append(rank)
-                self._lost.append({})
-                owners.append(1)
-                self._target[ia] = state = len(owners) - 1
-            self._lost[state][ib] = rank
-            owners[self._target[iab]] -= 1
-            owners[after] += 1
-            self._target[iab], self._left[iab], self._born[iab] = after, ia, rank
+            self._removed[ia << 16 | ib] = rank
+            self._left[iab], self._right[iab], self._born[iab] = ia, ib, rank
         self._byte = {ord(c): b for b, c in enumerate(byte_symbols())}
         base = set(byte_symbols())
         base |= {c + end for c in base}
@@ -92,19 +84,17 @@ class MergeAutomaton:
             return body[:-1] + chr(ord(body[-1]) + 0x1000)
         return token
 
-    def _has(self, state: int, label: int) -> bool:
-        """Does the state have the arc? Each label of its left spine must have lived until the next was born."""
-        until, lost, split_at, parent = _LATEST, self._lost, self._split_at, self._parent
-        while label >= 0:
-            limit, at = until, state
-            while at >= 0:
-                if lost[at].get(label, _NEVER) <= limit:
-                    return False
-                if split_at[at] <= limit:
-                    limit = split_at[at] - 1
-                at = parent[at]
-            until, label = self._born[label], self._left[label]
-        return True
+    def _has(self, a: int, b: int) -> bool:
+        """Has the state that label a leads to an arc b? Followed back to the arc it was copied from: it lasts until its own gadget removes it."""
+        until, removed, born = _NEVER - 1, self._removed.get, self._born
+        while removed(a << 16 | b, _NEVER) > until:
+            if born[a] > born[b]:
+                until, a = born[a] - 1, self._right[a]
+            elif born[b] >= 0:
+                until, b = born[b], self._left[b]
+            else:
+                return True
+        return False
 
     def compile(self) -> None:
         """Lay the trie of labels and the known arcs out as flat tables."""
@@ -122,37 +112,90 @@ class MergeAutomaton:
         self._size = np.zeros(max(self.labels) + 1, np.int32)
         for i, t in self.labels.items():
             self._size[i] = len(self._symbols(t))
-        self._next = np.array(self._target, np.int32)
-        self._known = Table(20)
+        self._known = Table(16)
+        self._ranks = Table(17)
+        self._ranks.add(np.array(list(self._removed), np.int64), np.array(list(self._removed.values()), np.int32))
+        self._arrays = [np.array(v, np.int64) for v in (self._left, self._right, self._born)]
+        self._steps: dict[int, int] | None = None
+
+    def _have(self, keys: np.ndarray) -> np.ndarray:
+        """What _has says of many (a << 16 | b) at once."""
+        left, right, born = self._arrays
+        out, live, a, b = np.ones(len(keys), bool), np.arange(len(keys)), keys >> 16, keys & 0xFFFF
+        until = np.full(len(keys), _NEVER)
+        while len(live):
+            rank = self._ranks.get(a << 16 | b)
+            gone = (rank >= 0) & (rank <= until)
+            out[live[gone]] = False
+            x, y = born[a], born[b]
+            on = ~gone & ((x >= 0) | (y >= 0))
+            live, a, b, x, y = live[on], a[on], b[on], x[on], y[on]
+            of_a = x > y
+            until = np.where(of_a, x - 1, y)
+            a, b = np.where(of_a, right[a], a), np.where(of_a, b, left[b])
+        return out
 
     def _code(self, symbol: str) -> int:
         c = ord(symbol)
         return self._byte[c] if c < 0x1000 else 256 + self._byte[c - 0x1000]
 
-    def _arc(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
-        keys = state.astype(np.int64) << 16 | label
+    def _arc(self, before: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """May each label be read after the label before it (-1: at the start, where all may)?"""
+        keys = before.astype(np.int64) << 16 | label
         found = self._known.get(keys)
-        new = found < 0
+        new = (found < 0) & (before >= 0)
         if new.any():
             keys_new = np.unique(keys[new])
-            self._known.add(keys_new, np.array([self._has(k >> 16, k & 0xFFFF) for k in keys_new.tolist()], np.int32))
+            self._known.add(keys_new, self._have(keys_new).astype(np.int32))
             found[new] = self._known.get(keys[new])
-        return found > 0
+        return (found > 0) | (before < 0)
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Token ids (little-endian uint16) of pre-split words, many words at a time."""
         out: list = [b""] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
-        lo = int(np.searchsorted(sizes[order], 1))
-        while lo < len(order):
-            hi = min(len(order), lo + max(64, 600_000 // int(sizes[order[min(len(order) - 1, lo + 20_000)]])))
+        lo, end = np.searchsorted(sizes[order], [1, LONG + 1]).tolist()
+        for i in order[end:].tolist():
+            out[i] = self._encode_long(words[i])
+        while lo < end:
+            hi = min(end, lo + max(64, 600_000 // int(sizes[order[min(end - 1, lo + 20_000)]])))
             some = order[lo:hi].tolist()
             for i, ids in zip(some, self._encode([words[i] for i in some], sizes[order[lo:hi]]), strict=True):
                 out[i] = ids
             lo = hi
         return out
 
+    def _encode_long(self, word: bytes) -> bytes:
+        """One word of any length: the same transitions, a few steps a byte and 8 bytes of memory."""
+        if self._steps is None:
+            held = self._child.keys >= 0
+            self._steps = dict(zip(self._child.keys[held].tolist(), self._child.values[held].tolist(), strict=True))
+        step, token, n, ends = self._steps.get, self._token.tolist(), len(word), 256 if self.end else 0
+        known: dict[int, bool] = {}
+        label = array("i", [-1]) * (n + 1)
+        for i in range(n):
+            here, node = label[i], 0
+            if here < 0 and i:
+                continue
+            for j in range(i, n):
+                node = step(node << 9 | (word[j] if j < n - 1 else word[j] + ends))
+                if node is None:
+                    break
+                t = token[node]
+                if t >= 0:
+                    key = here << 16 | t
+                    ok = here < 0 or known.get(key)
+                    if ok is None:
+                        ok = known[key] = self._has(here, t)
+                    if ok:
+                        label[j + 1] = t
+        ids, at = [], n
+        while at:
+            ids.append(label[at])
+            at -= int(self._size[label[at]])
+        return np.array(ids[::-1], "<u2").tobytes()
+
     def _encode(self, words: list[bytes], sizes: np.ndarray) -> list[bytes]:
         n, width = len(words), int(sizes.max())
         flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
@@ -162,12 +205,10 @@ class MergeAutomaton:
         symbols = np.zeros((width, n), np.int64)
         row = np.repeat(np.arange(n), sizes)
         symbols[np.arange(len(flat)) - np.repeat(ends - sizes, sizes), row] = flat
-        state = np.full((width + 1, n), -1, np.int32)
-        label = np.zeros((width + 1, n), np.int32)
-        state[0] = 0
+        label = np.full((width + 1, n), -1, np.int32)
         for i in range(width):
-            rows = np.flatnonzero((state[i] >= 0) & (sizes > i))
-            here, node = state[i][rows], np.zeros(len(rows), np.int64)
+            rows = np.flatnonzero(((label[i] >= 0) if i else (sizes > 0)) & (sizes > i))
+            here, node = label[i][rows], np.zeros(len(rows), np.int64)
             for j in range(i, width):
                 node = self._child.get(node << 9 | symbols[j][rows]).astype(np.int64)
                 keep = node >= 0
@@ -180,7 +221,6 @@ class MergeAutomaton:
                     t, r = t[ends_here], rows[ends_here]
                     ok = self._arc(here[ends_here], t)
                     t, r = t[ok], r[ok]
-                    state[j + 1][r] = self._next[t]
                     label[j + 1][r] = t
                 more = sizes[rows] > j + 1
                 if not more.all():
@@ -258,41 +298,56 @@ class Encoder:
         self.labels = {**self.automaton.labels, **{i: t for t, i in self.special.items()}}
         if max(self.labels) >= 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
-        self._seen: dict[str, bytes] = {}
-
-    def encode(self, chunks: list[bytes]) -> list[list[bytes]]:
-        """For each run of text without ASCII white space the ids (little-endian uint16) of its words; texts split
-        there encode alike."""
-        marked = {i for i, c in enumerate(chunks) if b"<|" in c}
-        if marked:
-            whole = iter(self.encode([c for i, c in enumerate(chunks) if i not in marked]))
-            return [self._with_special(c) if i in marked else next(whole) for i, c in enumerate(chunks)]
+        self._seen: dict[str, bytes] = {"\n": b""}
+
+    def encode(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids (little-endian uint16) of each run of text without ASCII white space; texts split there encode alike."""
+        packed, sizes = self.encode_together(chunks)
+        ends = np.cumsum(sizes).tolist()
+        return [packed[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+
+    def encode_together(self, chunks: list[bytes]) -> tuple[bytes, np.ndarray]:
+        """The ids of all chunks one after the other, and how many bytes each has."""
+        marked = [i for i, c in enumerate(chunks) if b"<|" in c]
+        if not marked:
+            return self._encode_plain(chunks)
+        cut = []
+        for x, y in zip([0, *(i + 1 for i in marked)], [*marked, len(chunks)], strict=True):
+            packed, sizes = self._encode_plain(chunks[x:y])
+            cut.append((packed, sizes))
+            if y < len(chunks):
+                one = self._with_special(chunks[y])
+                cut.append((one, np.array([len(one)])))
+        return b"".join(p for p, _ in cut), np.concatenate([n for _, n in cut])
+
+    def _encode_plain(self, chunks: list[bytes]) -> tuple[bytes, np.ndarray]:
+        """The ids of all chunks one after the other, and how many bytes each has; no chunk holds a special token."""
         text = b"\n".join(chunks).decode("utf-8", "replace")
         if not text.isascii():
             # Letter by letter: a capital sigma does not depend on its place in the word.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         items = self._words(text.lower())
-        new = [w for w in dict.fromkeys(items) if w not in self._seen and w != "\n"]
-        if len(self._seen) + len(new) > 2 * CACHED_WORDS:
-            self._seen.clear()
-            new = [w for w in dict.fromkeys(items) if w != "\n"]
+        distinct = set(items)
+        new = list(distinct.difference(self._seen))
+        if len(self._seen) + len(new) > CACHED_WORDS or any(len(w) > 4 * LONG for w in new):
+            self._seen = {w: self._seen[w] for w in distinct.difference(new)} | {"\n": b""}
         self._seen.update(zip(new, self.automaton.encode_words([w.encode() for w in new]), strict=True))
-        ids, out, at = list(map(self._seen.get, items)), [], 0
-        for end in [i for i, w in enumerate(items) if w == "\n"]:
-            out.append(ids[at:end])
-            at = end + 1
-        if chunks:
-            out.append(ids[at:])
-        return out
-
-    def _with_special(self, chunk: bytes) -> list[bytes]:
+        ids = list(map(self._seen.__getitem__, items))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        # A chunk's ids lie together; a line feed between two chunks has none.
+        line = np.flatnonzero(np.fromiter(map("\n".__eq__, items), bool, len(items)))
+        total = np.concatenate([[0], np.cumsum(size)])
+        ends = np.append(total[line], total[-1])
+        return b"".join(ids), np.diff(ends, prepend=0) if chunks else np.zeros(0, np.int64)
+
+    def _with_special(self, chunk: bytes) -> bytes:
         out: list[bytes] = []
         for part in self._cut(chunk.decode("utf-8", "replace")):
             if part in self.special:
                 out.append(self.special[part].to_bytes(2, "little"))
             elif part:
                 out += self._plain(part)
-        return out
+        return b"".join(out)
 
     def _plain(self, text: str) -> list[bytes]:
         words = [w for w in self._words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()) if w != "\n"]
@@ -303,40 +358,64 @@ class Encoder:
 
 
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:
-    """The vocabulary file's text for every executor: a file of fixed size, read once on the driver."""
+    """The compiled automaton for every executor: its size is the vocabulary file's, read once on the driver."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
-
-
-_built: dict[int, Encoder] = {}
-
-
-def encoder(text: str) -> Encoder:
-    """One automaton for each Python worker."""
-    key = hash(text)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Encoder(text)
-    return _built[key]
+        return spark.sparkContext.broadcast(Encoder(f.read()))
 
 
-class WordCache(dict):
-    """chunk of text -> make(the ids of its words), kept while there is room."""
+class ChunkTable:
+    """The ids of the chunks of text (runs without ASCII white space) met so far, by fingerprint; A-Z count as a-z, as they do in the ids."""
 
-    def __init__(self, enc: Encoder, make):
-        super().__init__()
-        self.enc, self.make = enc, make
+    def __init__(self, enc: Encoder):
+        self.enc = enc
+        self._clear()
 
-    def chunked(self, texts: list[bytes]) -> list[list[bytes]]:
-        """The texts' chunks, after which each of them is a key."""
-        chunks = [t.split() for t in texts]
-        wanted = set().union(*chunks)
-        new = list(wanted.difference(self))
-        if len(self) + len(new) > CACHED_WORDS and self:
-            self.clear()
-            new = list(wanted)
-        self.update(zip(new, map(self.make, self.enc.encode(new)), strict=True))
-        return chunks
+    def _clear(self) -> None:
+        self.table, self.ids, self.used = Table(16), np.zeros(1 << 16, "<u2"), 0
+        self.start, self.size, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def _add(self, keys: np.ndarray, packed: bytes, sizes: np.ndarray) -> None:
+        n, more = len(keys), np.frombuffer(packed, "<u2")
+        while self.count + n > len(self.start):
+            self.start, self.size = (np.concatenate([v, np.zeros_like(v)]) for v in (self.start, self.size))
+        while self.used + len(more) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(more)] = more
+        self.start[self.count : self.count + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.count : self.count + n] = sizes
+        self.table.add(keys, np.arange(self.count, self.count + n, dtype=np.int32))
+        self.count, self.used = self.count + n, self.used + len(more)
+
+    def encode(self, texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has."""
+        if self.count > CACHED_CHUNKS or self.used > 8 * CACHED_CHUNKS:
+            self._clear()
+        s, e, counts = K.word_bounds(texts)
+        keys = (K.hashes_of(texts, s, e) >> np.uint64(1)).view(np.int64)
+        d = texts.data
+        marks = np.flatnonzero((d[:-1] == ord("<")) & (d[1:] == ord("|")))
+        marked = np.unique(np.searchsorted(s, marks, side="right") - 1)
+        raw_ = d.tobytes()
+        for w in marked.tolist():  # special tokens are told by case
+            keys[w] = int.from_bytes(hashlib.blake2b(raw_[s[w] : e[w]], digest_size=8).digest(), "little") >> 1
+        distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        entry = self.table.get(distinct)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            packed, sizes = self.enc.encode_together([raw_[x:y] for x, y in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)])
+            entry[new] = np.arange(self.count, self.count + len(new))
+            self._add(distinct[new], packed, sizes // 2)
+        which = entry[place]
+        size = self.size[which]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ends = np.cumsum(counts)
+        return self.ids[K.ranges(self.start[which], size)], total[ends] - total[ends - counts]
+
+
+def packed_ids(cache: ChunkTable, texts: K.Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each block of texts their ids one after the other (uint16), and how many each has."""
+    for part in K.blocks(texts):
+        yield cache.encode(part)
 
 
 def runs(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -352,16 +431,6 @@ def runs(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
         yield run
 
 
-def id_arrays(enc: Encoder) -> WordCache:
-    """chunk -> its ids as little-endian uint16 bytes."""
-    return WordCache(enc, b"".join)
-
-
-def packed_ids(cache: WordCache, texts: list[bytes]) -> list[bytes]:
-    """Each text's ids as little-endian uint16 bytes."""
-    return [b"".join(map(cache.__getitem__, c)) for run in runs(texts) for c in cache.chunked(run)]
-
-
 def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()]
 
@@ -371,11 +440,13 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     vocab = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = id_arrays(encoder(vocab.value))
+        cache = ChunkTable(vocab.value)
         for b in batches:
-            rows = [np.frombuffer(x, "<u2").astype("i4") for x in packed_ids(cache, raw(b.column(1)))]
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, "i4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[key, "ids"])
+            at = 0
+            for ids, counts in packed_ids(cache, K.buffers(b.column(1))):
+                rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype("i4")))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(counts)), rows], names=[key, "ids"])
+                at += len(counts)
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
@@ -385,35 +456,47 @@ def decode_ids(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "i
     vocab = vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab.value)
+        enc = vocab.value
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[key, "decoded"])
 
     return encoded.select(key, ids).mapInArrow(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, decoded string")
 
 
+class Phrases:
+    """Strings by id, laid end to end with a blank before each, to write out many ids at a time."""
+
+    def __init__(self, strings: list[bytes]):
+        self.data = np.frombuffer(b"".join(b" " + x for x in strings), np.uint8)
+        self.size = np.array([len(x) + 1 for x in strings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def join(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
+        """The strings of each text's ids, joined by a blank."""
+        size = self.size[ids]
+        text = self.data[K.ranges(self.start[ids], size)].tobytes()
+        total, ends = np.concatenate([[0], np.cumsum(size)]), np.cumsum(counts)
+        for x, y in zip(total[ends - counts].tolist(), total[ends].tolist(), strict=True):
+            yield text[x + 1 : y]
+
+
 def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256: both directions in one pass over the texts."""
     vocab = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab.value)
-
-        def both(words: list[bytes]) -> tuple[str, str]:
-            ids = np.frombuffer(b"".join(words), "<u2").tolist()
-            return " ".join(map(str, ids)), enc.decode(ids)
-
-        cache = WordCache(enc, both)
-        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        enc = vocab.value
+        cache, n = ChunkTable(enc), max(enc.labels) + 1
+        decimal, decoded = Phrases([b"%d" % i for i in range(n)]), Phrases([enc.labels.get(i, "").encode() for i in range(n)])
+        digest = lambda parts: pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
         for b in batches:
-            count, ids, decoded = [], [], []
-            for chunks in (c for run in runs(raw(b.column(1))) for c in cache.chunked(run)):
-                got = [x for x in map(cache.__getitem__, chunks) if x[0]]
-                line = " ".join([x[0] for x in got])
-                count.append(line.count(" ") + 1 if line else 0)
-                ids.append(digest(line))
-                decoded.append(digest(" ".join([x[1] for x in got])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            at = 0
+            for ids, counts in packed_ids(cache, K.buffers(b.column(1))):
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, len(counts)), pa.array(counts, pa.int64()), digest(decimal.join(ids, counts)), digest(decoded.join(ids, counts))],
+                    names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+                at += len(counts)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

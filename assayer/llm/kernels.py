@@ -104,22 +104,25 @@ def word_bounds(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def word_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """64-bit fingerprints of the lower-cased (A-Z) words in order, and the number of words of each text."""
     s, e, counts = word_bounds(texts)
+    return hashes_of(texts, s, e), counts
+
+
+def hashes_of(texts: Texts, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Fingerprints of the words that word_bounds found."""
     if not len(s):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64)
     d = _LOWER[texts.data]
     length = e - s
-    k = np.arange(len(d), dtype=np.int64)
     gap = np.empty(len(s), np.int64)
     gap[:-1] = s[1:] - s[:-1]
     gap[-1] = len(d) - s[-1]
     if s[0]:
-        k = k[s[0] :]
         d = d[s[0] :]
         s = s - s[0]
     k = np.arange(len(d), dtype=np.int64) - np.repeat(s, gap)
     v = (d.astype(np.uint64) + np.uint64(1)) * powers(int(k.max()) + 1)[k]
     v[k >= np.repeat(length, gap)] = 0
-    return mix(np.add.reduceat(v, s) + length.astype(np.uint64) * MULT), counts
+    return mix(np.add.reduceat(v, s) + length.astype(np.uint64) * MULT)
 
 
 def grams(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

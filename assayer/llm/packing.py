@@ -1,22 +1,23 @@
-"""Packing: windows filled with lexical neighbours found by BM25 over the whole corpus.
+"""Packing: windows filled with lexical neighbours found by a sharded BM25 index.
 
 Documents are tokenised once into a written table, from which the document
 frequency of every token id is counted (a vector as long as the vocabulary).
-Rows are numbered by (hash of the id, id, tokens) and cut by that order into
-shards of about SHARD_BYTES of ids; each shard is written as an inverted index
-with BM25 weights under the corpus statistics. Windows are filled in rounds by
-lanes. A lane's seed document opens a window; all its terms are looked up in
-every shard, the shards' best unused documents are merged, and lanes take turns:
-each fills its window with its best neighbours that are still unused, best
-first. The neighbour that no longer fits is cut and its rest seeds the lane's
-next window. A lane whose list ran out because others took from it asks again.
-There are a quarter as many lanes as windows left, MAX_LANES at most; what the
-last lanes leave unfilled is laid end to end and cut at powers of two. So every
-window is full but the last ones, where no padding is due, and the size of the
-shards does not alter the result.
-
-The driver keeps 9 bytes a document (length, tokens done, unused) and one
-round's lanes and lists; pieces are written as they come.
+Documents are dealt into neighbourhoods of about NEAR_BYTES of ids by their
+lexical content: a document's signs are the two ids that weighted minimum
+hashing picks from it (rare ids more often), so two documents share a sign with
+the probability of their idf-weighted similarity, and those that do lie
+together. A sign with more than a neighbourhood's ids is parted by the second
+sign, and a pair of signs by a hash of the document's id. What is counted for
+that on the driver is at most two rows an id of the vocabulary.
+
+A neighbourhood's inverted index, with BM25 weights under the statistics of the
+whole corpus, is cut into shards of SHARD_BYTES; all terms of a seed document
+are looked up in every shard and the best unused documents are merged. They
+fill the seed's window greedily, best first; the one that no longer fits is cut
+and its rest seeds the next window. What the last window of a neighbourhood
+leaves is cut at powers of two. So no sequence has padding. A seed does not see
+the documents of other neighbourhoods; the README has the measured share of a
+seed's true neighbours that it sees.
 
 Defined results: null counts as empty and is one end token; longer documents
 run over several windows; equal scores go by number; repeated ids are packed
@@ -27,21 +28,20 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.bpe import encoder, id_arrays, packed_ids, raw, vocabulary
-from assayer.llm.tables import discard, written
+from assayer.llm import kernels as K
+from assayer.llm.bpe import ChunkTable, packed_ids, vocabulary
+from assayer.llm.tables import written
 
 SHARD_BYTES = 8 << 20
-MAX_LANES = 1 << 12
-LIST = 16
-_BLOCK = 256
-_FLUSH = 1 << 20
+NEAR_BYTES = 4 << 20
+#: Pairs of signs and signs that the driver counts: one for each possible id.
+IDS = 1 << 16
 K1, B = 1.2, 0.75
 END = 2
 
@@ -49,25 +49,37 @@ END = 2
 def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
     """key, ids (little-endian uint16 with the end token), n."""
     vocab = vocabulary(docs.sparkSession, path)
-    last = np.array([end], "<u2").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = id_arrays(encoder(vocab.value))
+        cache = ChunkTable(vocab.value)
         for b in batches:
-            ids = [x + last for x in packed_ids(cache, raw(b.column(1)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], names=[key, "ids", "n"])
+            at = 0
+            for ids, counts in packed_ids(cache, K.buffers(b.column(1))):
+                flat = np.full(len(ids) + len(counts), end, "<u2")
+                ends = np.cumsum(counts)
+                flat[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+                cuts = pa.array(2 * np.concatenate([[0], ends + np.arange(1, len(counts) + 1)]), pa.int32())
+                packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, cuts.buffers()[1], pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(counts)), packed, pa.array(counts + 1, pa.int64())], names=[key, "ids", "n"])
+                at += len(counts)
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary, n long")
 
 
+def _flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of packed ids, and how many each row has."""
+    texts = K.buffers(ids)
+    return texts.data.view("<u2").astype(np.int64), np.diff(texts.offsets) // 2
+
+
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
     """In how many documents each id occurs: at most 65,536 rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for ids in b.column(0):
-                df[np.unique(np.frombuffer(ids.as_py(), "<u2"))] += 1
+            flat, counts = _flat(b.column(0))
+            pair = np.sort(np.repeat(np.arange(len(counts)), counts) << 16 | flat)
+            df += np.bincount(pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]] & 0xFFFF, minlength=len(df))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], names=["term", "n"])
 
@@ -101,21 +113,23 @@ class Searcher:
         some = unused[docs]
         self.start = np.concatenate([[0], np.cumsum(some)])[starts]
         self.doc, self.weight = place[docs[some]], weights[some]
-        self.rows: dict[int, np.ndarray] = {}
-        for t in np.flatnonzero(np.diff(self.start) > n // 16):
-            self.rows[int(t)] = row = np.zeros(n, np.float32)
-            row[self.doc[self.start[t] : self.start[t + 1]]] = self.weight[self.start[t] : self.start[t + 1]]
-
-    def best(self, terms: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores), best first, of as many documents that share a term as have `need` tokens together."""
-        score = np.zeros(len(self.at), np.float32)
-        for t in terms.tolist():
-            row = self.rows.get(t)
-            if row is not None:
-                score += row
-            elif self.start[t] < self.start[t + 1]:
-                x, y = self.start[t], self.start[t + 1]
-                score[self.doc[x:y]] += self.weight[x:y]
+        often = np.flatnonzero(np.diff(self.start) > n // 16)
+        self.row = np.full(IDS, -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), n), np.float32)
+        for i, t in enumerate(often.tolist()):
+            self.rows[i, self.doc[self.start[t] : self.start[t + 1]]] = self.weight[self.start[t] : self.start[t + 1]]
+
+    def best(self, terms: np.ndarray, need: int, unused: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores), best first, of as many (still unused) documents that share a term as have `need` tokens together."""
+        row = self.row[terms]
+        rare = terms[row < 0]
+        spot = K.ranges(self.start[rare], self.start[rare + 1] - self.start[rare])
+        score = np.bincount(self.doc[spot], self.weight[spot], len(self.at)).astype(np.float32)
+        for i in row[row >= 0].tolist():
+            score += self.rows[i]
+        if unused is not None:
+            score[~unused[self.at]] = 0
         some, k = np.flatnonzero(score), 64
         while k < len(some):
             least = np.partition(score[some], len(some) - k)[len(some) - k]
@@ -129,95 +143,53 @@ class Searcher:
         return self.at[some], score[some]
 
 
-@dataclass
-class Lane:
-    """A window being filled: its pieces (document, start, length), the room left, and the seed."""
-
-    seed: int
-    room: int
-    pieces: list[tuple[int, int, int]] = field(default_factory=list)
-
-
-class Packer:
-    """What the driver knows: lengths and unused documents by number, lanes, and the pieces of full windows."""
-
-    def __init__(self, lengths: np.ndarray, window: int):
-        self.lengths, self.window = lengths, window
-        self.done, self.unused = np.zeros(len(lengths), np.int32), np.ones(len(lengths), bool)
-        self.left = int(lengths.sum(dtype=np.int64))
-        self.following = self.sequence = 0
-        self.lanes: list[Lane] = []
-        self.pieces: list[tuple[int, int, int, int, int]] = []
-
-    def put(self, lane: Lane, d: int) -> bool:
-        """Put as much of the document as the window holds; True if a rest is left over."""
-        if self.unused[d]:
-            self.unused[d] = False
-            self.left -= int(self.lengths[d])
-        size = min(lane.room, int(self.lengths[d] - self.done[d]))
-        lane.pieces.append((d, int(self.done[d]), size))
-        self.done[d] += size
-        lane.room -= size
-        if not lane.room:
-            self.emit(lane.pieces)
-            lane.pieces, lane.room = [], self.window
-        return bool(self.done[d] < self.lengths[d])
-
-    def emit(self, pieces: list[tuple[int, int, int]]) -> None:
-        at = 0
-        for d, start, size in pieces:
-            self.pieces.append((d, start, size, self.sequence, at))
-            at += size
-        self.sequence += 1
-
-    def sow(self, lane: Lane, d: int) -> None:
-        """Put the document, or the rest of it, and make it the seed; none if its end fills a window."""
-        while self.put(lane, d):
-            pass
-        lane.seed = d if lane.pieces else -1
-
-    def next_unused(self) -> int:
-        while self.following < len(self.unused) and not self.unused[self.following]:
-            self.following += 1
-        return self.following if self.following < len(self.unused) else -1
-
-    def open_lanes(self) -> None:
-        """As many lanes as a quarter of the windows left."""
-        self.lanes = [x for x in self.lanes if x.seed >= 0]
-        while len(self.lanes) < min(MAX_LANES, max(1, self.left // self.window // 4)) and (d := self.next_unused()) >= 0:
-            lane = Lane(-1, self.window)
-            self.sow(lane, d)
-            if lane.seed >= 0:
-                self.lanes.append(lane)
-
-    def fill(self, lane: Lane, found: np.ndarray, whole: bool) -> None:
-        """Fill the lane's window from its seed's neighbours; whole if no other unused document shares a term."""
-        for d in found.tolist():
-            if self.unused[d]:
-                if self.put(lane, d):
-                    return self.sow(lane, d)
-                if not lane.pieces:
-                    lane.seed = -1
-                    return None
-        if whole and (d := self.next_unused()) >= 0:
-            self.sow(lane, d)
-        return None
-
-    def end(self) -> None:
-        """Lay what is in unfilled windows end to end."""
-        last, pieces = Lane(-1, self.window), [p for lane in self.lanes for p in lane.pieces]
-        for d, start, size in pieces:
-            while size:
-                k = min(size, last.room)
-                last.pieces.append((d, start, k))
-                start, size, last.room = start + k, size - k, last.room - k
-                if not last.room:
-                    self.emit(last.pieces)
-                    last.pieces, last.room = [], self.window
-        at = len(self.pieces)
-        if last.pieces:
-            self.emit(last.pieces)
-            self.pieces[at:] = at_powers_of_two(self.pieces[at:], self.window)
+def pack_neighbourhood(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of each piece; every sequence but the last is full."""
+    n, length = len(ids), np.array([len(x) for x in ids], np.int64)
+    base = np.unique(np.concatenate([[0], np.searchsorted(np.cumsum(2 * length), np.arange(SHARD_BYTES, int(2 * length.sum()), SHARD_BYTES)), [n]]))
+    shards = [shard_index(ids[x:y], idf, mean_length) for x, y in zip(base, base[1:], strict=False)]
+    unused, done = np.ones(n, bool), np.zeros(n, np.int64)
+    search: list[tuple[int, Searcher]] = []
+    kept = 0
+    pieces, sequence, room, following, seed = [], 0, window, 0, -1
+
+    def put(d: int) -> None:
+        """Put the whole document; what a window cannot hold opens the next."""
+        nonlocal sequence, room
+        unused[d] = False
+        while done[d] < length[d]:
+            size = min(room, int(length[d] - done[d]))
+            pieces.append((d, int(done[d]), size, sequence, window - room))
+            done[d] += size
+            room -= size
+            if not room:
+                sequence, room = sequence + 1, window
+
+    while True:
+        if seed < 0:
+            while following < n and not unused[following]:
+                following += 1
+            if following == n:
+                return pieces
+            seed = following
+            put(seed)
+            if room == window:
+                seed = -1
+                continue
+        left = int(unused.sum())
+        if not search or left < kept // 2:
+            # What is used is left out of the index each time half of it is.
+            search, kept = [(x, Searcher(*(s[c] for c in ("lengths", "docs", "weights", "starts")), unused[x:y])) for x, y, s in zip(base, base[1:], shards, strict=False)], left
+        shard = int(np.searchsorted(base, seed, side="right")) - 1
+        s, d = shards[shard], seed - base[shard]
+        found = [(x + at, score) for x, q in search for at, score in [q.best(s["terms"][s["cuts"][d] : s["cuts"][d + 1]].astype(np.int64), room, unused[x : x + len(unused)])]]
+        number, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        seed, at = -1, sequence
+        for d in number[np.lexsort((number, -score))].tolist():
+            put(d)
+            if sequence > at:
+                seed = d if room < window else -1
+                break
 
 
 def at_powers_of_two(pieces: list[tuple[int, int, int, int, int]], window: int) -> list[tuple[int, int, int, int, int]]:
@@ -241,109 +213,51 @@ def at_powers_of_two(pieces: list[tuple[int, int, int, int, int]], window: int)
     return out
 
 
-def _lists(index: DataFrame, base: np.ndarray, unused: np.ndarray, queries: list[tuple[bytes, int]]) -> list[tuple[np.ndarray, bool]]:
-    """For each query (terms, tokens needed) the numbers of its best unused documents in all shards, and whether these are all."""
-    context = index.sparkSession.sparkContext
-    sent = context.broadcast((base, np.packbits(unused), queries))
+def sign_ranks(idf: np.ndarray) -> np.ndarray:
+    """(2, IDS): for each of the two signs the order in which ids are preferred, an exponential race with idf as the rate."""
+    race = np.random.default_rng(20).exponential(size=(2, len(idf))) / np.maximum(idf, 1e-12)
+    return np.argsort(np.argsort(race, axis=1, kind="stable"), axis=1)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, bits, queries = sent.value
-        for b in batches:
-            for i in range(b.num_rows):
-                shard, lengths, docs, weights, starts = (c[i].as_py() for c in b.columns)
-                x, y = int(base[shard]), int(base[shard + 1])
-                free = np.unpackbits(bits[x // 8 : -(-y // 8)])[x % 8 : x % 8 + y - x] > 0
-                if not free.any():
-                    continue
-                s = Searcher(np.frombuffer(lengths, "<i4"), np.frombuffer(docs, "<i4"), np.frombuffer(weights, "<f4"), np.frombuffer(starts, "<i4"), free)
-                for at in range(0, len(queries), _BLOCK):
-                    found = [s.best(np.frombuffer(t, "<u2"), need) for t, need in queries[at : at + _BLOCK]]
-                    place = np.concatenate([f[0] for f in found])
-                    blobs = [np.array([len(f[0]) for f in found], "<i4"), (place + x).astype("<i8"), np.concatenate([f[1] for f in found]).astype("<f4"), np.frombuffer(lengths, "<i4")[place]]
-                    yield pa.RecordBatch.from_arrays([pa.array([at // _BLOCK], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in blobs)], names=["block", "counts", "numbers", "scores", "sizes"])
-
-    def merge(group: pa.Table) -> pa.Table:
-        queries = sent.value[2]
-        block = group.column("block")[0].as_py()
-        blob = lambda c, kind: np.concatenate([np.frombuffer(v.as_py(), kind) for v in group.column(c)])
-        here = queries[block * _BLOCK : (block + 1) * _BLOCK]
-        query = np.repeat(np.tile(np.arange(len(here)), group.num_rows), blob("counts", "<i4"))
-        number, score, size = blob("numbers", "<i8"), blob("scores", "<f4"), blob("sizes", "<i4").astype(np.int64)
-        order = np.lexsort((number, -score, query))
-        query, number, size = query[order], number[order], size[order]
-        cut = np.searchsorted(query, np.arange(len(here) + 1))
-        before = np.cumsum(size) - size
-        need = np.array([n for _, n in here], np.int64)
-        kept = before - before[cut[query]] < need[query]
-        all_ = np.bincount(query, size, len(here)) < need
-        return pa.table({
-            "block": pa.array([block], pa.int64()), "counts": pa.array([np.bincount(query[kept], minlength=len(here)).astype("<i4").tobytes()], pa.binary()),
-            "numbers": pa.array([number[kept].astype("<i8").tobytes()], pa.binary()), "whole": pa.array([all_.astype("u1").tobytes()], pa.binary()),
-        })
 
-    found = index.select("_shard", "lengths", "docs", "weights", "starts").mapInArrow(search, "block long, counts binary, numbers binary, scores binary, sizes binary")
-    rows = found.groupBy("block").applyInArrow(merge, "block long, counts binary, numbers binary, whole binary").collect()
-    sent.destroy()
-    out: list[tuple[np.ndarray, bool]] = [(np.zeros(0, np.int64), True)] * len(queries)
-    for r in rows:
-        lists = np.split(np.frombuffer(r.numbers, "<i8"), np.cumsum(np.frombuffer(r.counts, "<i4"))[:-1])
-        for i, (x, whole) in enumerate(zip(lists, np.frombuffer(r.whole, "u1"), strict=True)):
-            out[r.block * _BLOCK + i] = (x, bool(whole))
-    return out
+def _signs(ids: pa.Array, ranks: np.ndarray) -> np.ndarray:
+    """(2, rows): the most preferred id's rank; every row has an id, the end."""
+    flat, counts = _flat(ids)
+    starts = np.cumsum(counts) - counts
+    return np.array([np.minimum.reduceat(r[flat], starts) if len(counts) else starts for r in ranks])
 
 
-def _terms(index: DataFrame, base: np.ndarray, seeds: list[int]) -> dict[int, bytes]:
-    """The terms of the documents with these numbers."""
-    sent = index.sparkSession.sparkContext.broadcast((base, np.unique(seeds)))
+def dealt(tokens: DataFrame, idf: np.ndarray, key: str, total: int) -> DataFrame:
+    """key, ids, _hash, _near: the neighbourhood of each document of a table that tokenised() made."""
+    context, each = tokens.sparkSession.sparkContext, max(1, NEAR_BYTES // 2)
+    ranks = context.broadcast(sign_ranks(idf))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, seeds = sent.value
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                shard, terms, cuts = (c[i].as_py() for c in b.columns)
-                x, c = int(base[shard]), np.frombuffer(cuts, "<i4")
-                here = seeds[np.searchsorted(seeds, x) : np.searchsorted(seeds, int(base[shard + 1]))]
-                yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array([terms[2 * c[d] : 2 * c[d + 1]] for d in here - x], pa.binary())], names=["number", "terms"])
-
-    rows = index.select("_shard", "terms", "cuts").mapInArrow(run, "number long, terms binary").collect()
-    sent.destroy()
-    return {r.number: bytes(r.terms) for r in rows}
-
-
-def _windows(index: DataFrame, window: int) -> DataFrame:
-    """_shard, place, start, length, sequence_id, offset of each piece."""
-    spark = index.sparkSession
-    sizes = dict(index.select("_shard", "lengths").rdd.map(lambda r: (r[0], bytes(r[1]))).collect())
-    counts = [len(sizes.get(i, b"")) // 4 for i in range(max(sizes, default=-1) + 1)]
-    base = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    packer = Packer(np.frombuffer(b"".join(sizes[i] for i in sorted(sizes)), "<i4"), window)
-    parts = []
-
-    def flush() -> None:
-        c = np.array(packer.pieces, np.int64).reshape(-1, 5)
-        shard = np.searchsorted(base, c[:, 0], side="right") - 1
-        columns = [shard, c[:, 0] - base[shard], *c.T[1:]] if len(c) else [c[:, 0]] * 6
-        parts.append(written(spark.createDataFrame(pa.table(columns, names=["_shard", "_place", "start", "length", "sequence_id", "offset"])), "packing-pieces"))
-        packer.pieces = []
-
-    packer.open_lanes()
-    while packer.left:
-        terms = _terms(index, base, [x.seed for x in packer.lanes])
-        need: dict[bytes, int] = {}
-        for x in packer.lanes:
-            need[terms[x.seed]] = need.get(terms[x.seed], 0) + LIST * x.room
-        found = dict(zip(need, _lists(index, base, packer.unused, list(need.items())), strict=True))
-        for x in packer.lanes:
-            packer.fill(x, *found[terms[x.seed]])
-        packer.open_lanes()
-        if len(packer.pieces) > _FLUSH:
-            flush()
-    packer.end()
-    flush()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+            cell = _signs(b.column(0), ranks.value)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cell, _flat(b.column(0))[1])], names=["a", "b", "n"])
+
+    cells = written(tokens.select("ids").mapInArrow(sign, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "packing-signs")
+    large = F.col("n") > max(each, total // IDS)
+    hot = cells.where(large).select("a", "b", "n")
+    rest = cells.where(~large).groupBy("a").agg(F.lit(-1).cast("long").alias("b"), F.sum("n").alias("n"))
+    rows = np.array(sorted(map(tuple, hot.unionByName(rest).collect())), np.int64).reshape(-1, 3)
+    code, size = rows[:, 0] << 17 | rows[:, 1] + 1, rows[:, 2]
+    sent = context.broadcast((code, np.cumsum(size) - size, size))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, start, size = sent.value
+        for b in batches:
+            a, c = _signs(b.column(1), ranks.value)
+            at = np.minimum(np.searchsorted(code, a << 17 | c + 1), len(code) - 1)
+            alone = code[at] == a << 17 | c + 1
+            at = np.where(alone, at, np.searchsorted(code, a << 17))
+            share = np.where(alone, K.mix(b.column(2).to_numpy().astype(np.uint64) + np.uint64(5)), K.mix(c.astype(np.uint64) * K.MULT)) / 2.0**64
+            near = ((start[at] + share * size[at]) // each).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near)], names=[key, "ids", "_hash", "_near"])
+
+    half = F.shiftrightunsigned(F.xxhash64(F.col(key), "ids"), 1)
+    kind = tokens.schema[key].dataType.simpleString()
+    return tokens.select(key, "ids", half.alias("_hash")).mapInArrow(deal, f"`{key}` {kind}, ids binary, _hash long, _near long")
 
 
 def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = 4096) -> DataFrame:
@@ -353,30 +267,26 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     kind = docs.schema[key].dataType.simpleString()
     out = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     df = document_frequencies(tokens)
-    shared = docs.sparkSession.sparkContext.broadcast(np.log(1 + (n - df + 0.5) / (df + 0.5)))
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
     mean_length = (total or 1) / max(n, 1)
-    shards = max(1, -(-2 * (total or 0) // SHARD_BYTES))
-    order = [("_hash", "ascending"), (key, "ascending"), ("ids", "ascending")]
-
-    def build(group: pa.Table) -> pa.Table:
-        shard = group.column("_shard")[0].as_py()
-        made = shard_index([np.frombuffer(x.as_py(), "<u2") for x in group.sort_by(order).column("ids")], shared.value, mean_length)
-        return pa.table({"_shard": pa.array([shard], pa.int64())} | {c: pa.array([v.tobytes()], pa.binary()) for c, v in made.items()})
 
-    def run(group: pa.Table, pieces: pa.Table) -> pa.Table:
-        group = group.sort_by(order)
+    def run(group: pa.Table) -> pa.Table:
+        near = group.column("_near")[0].as_py()
+        group = group.sort_by([("_hash", "ascending"), (key, "ascending"), ("ids", "ascending")])
         ids = [np.frombuffer(x.as_py(), "<u2") for x in group.column("ids")]
-        doc, start, length = (pieces.column(c).to_numpy() for c in ("_place", "start", "length"))
+        pieces, sequence, first = [], near << 32, 0
+        # A neighbourhood that came out larger is packed in parts.
+        part = np.cumsum([2 * len(x) for x in ids]) // (4 * NEAR_BYTES)
+        for last in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(ids)]:
+            made = at_powers_of_two(pack_neighbourhood(ids[first:last], shared.value, mean_length, window), window)
+            pieces += [(d + first, start, size, sequence + q, at) for d, start, size, q, at in made]
+            first, sequence = last, pieces[-1][3] + 1
+        doc, start, length, sequences, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
         crc = [zlib.crc32(ids[d][s : s + k].astype("<u4").tobytes()) for d, s, k in zip(doc, start, length, strict=True)]
         return pa.table({
-            key: group.column(key).take(pa.array(doc, pa.int64())), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()),
-            "doc_tokens": np.array([len(x) for x in ids], np.int64)[doc], "sequence_id": pieces.column("sequence_id"), "offset": pieces.column("offset"),
+            key: group.column(key).take(pa.array(doc)), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()),
+            "doc_tokens": np.array([len(x) for x in ids], np.int64)[doc], "sequence_id": sequences, "offset": offset,
         })
 
-    half = F.shiftrightunsigned(F.xxhash64(F.col(key)), 33)
-    dealt = tokens.select(key, "ids", half.alias("_hash"), F.shiftright(half * F.lit(shards), 31).cast("long").alias("_shard"))
-    kinds = ", ".join(f"{c} binary" for c in ("lengths", "docs", "weights", "starts", "terms", "cuts"))
-    index = written(dealt.groupBy("_shard").applyInArrow(build, f"_shard long, {kinds}"), "packing-index")
-    pieces = _windows(index, window)
-    discard(index)
-    return dealt.groupBy("_shard").cogroup(pieces.groupBy("_shard")).applyInArrow(run, out)
+    return dealt(tokens, idf, key, total or 0).groupBy("_near").applyInArrow(run, out)
