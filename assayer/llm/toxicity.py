@@ -1,10 +1,15 @@
 """Toxicity: a noisy channel restores disguised words, then learned weights score the restored text.
 
 A word is disguised if it mixes letters with other signs, repeats a letter three
-times or more, or stands among single characters with gaps. Its lattice has, for
-each sign, the letters the sign may stand for, a dropped separator, and a run of
-equal letters as one or two; Viterbi decoding under a character trigram model,
-counted over all documents, finds the likeliest letters. Plain words stand.
+times or more, or stands as single characters with gaps. Its lattice has, for
+each sign, the letters the sign may stand for, a separator as nothing or as the
+end of a word, a first sign as nothing, and a run of equal letters as one or
+two, each at a cost. Viterbi decoding over all pairs of last letters, under a
+character trigram model counted over all texts, finds the cheapest reading of
+the whole word, whatever its length. Only the reading is scored. Plain words stand.
+
+The trigram model knows LETTERS, the end of a word, and one symbol for all other
+letters; its table has their number to the power of three entries.
 
 Weights are learned from labelled rows only (at most MAX_LABELLED): a feature is
 a restored word or its first 3 to 6 letters, counted once a document, and kept
@@ -12,13 +17,15 @@ if its log-likelihood ratio exceeds MIN_LLR; a logistic curve over a document's
 strongest and summed weight gives the score.
 
 Defined results: null counts as empty and, like any text without a kept feature,
-gets the score of no evidence; equal texts have equal scores; without labelled
-rows of both kinds every score is the share of toxic rows (0.5 without rows, not
-predicted); ids repeat freely; other columns are ignored.
+gets the score of no evidence; equal texts have equal scores; equally cheap
+readings go by the alphabet; without labelled rows of both kinds every score is
+the share of toxic rows (0.5 without rows, not predicted); ids repeat freely;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,16 +36,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.bpe import raw, runs
+from assayer.llm import kernels as K
+from assayer.llm.bpe import Table, raw
 from assayer.llm.quality import labelled_texts
 from assayer.llm.tables import written
 
 MAX_LABELLED = 200_000
-MAX_FEATURES = 50_000
 MIN_LLR = 24.0
 CACHED_WORDS = 200_000
-#: Longest disguised word that gets a lattice; a longer one is scored as it stands.
-LATTICE = 40
+#: Words longer than this are read anew each time.
+KEPT_LENGTH = 64
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 
 # What a sign may stand for in a disguised word.
 SIGNS = {
@@ -51,104 +59,126 @@ _SPACED = re.compile(r"(?<!\S)(?:[^\s][ .\-_*]{1,2}){2,}[^\s](?![^\s.,;:!?])")
 _RUN = re.compile(r"(\w)\1{2,}")
 
 
+#: Costs of the channel: a sign for a letter, two letters for a long run, one separator as the end of a word, a first sign that is no letter, and a bracket there.
+SUBSTITUTE, DOUBLE, SPLIT, DROP, BRACKET = 1.0, 0.5, 1.0, 3.0, 0.0
+_END, _OTHER = 0, len(LETTERS) + 1
+SYMBOLS = len(LETTERS) + 2
+_AT = {c: i + 1 for i, c in enumerate(LETTERS)} | {"$": _END}
+_BREAK = 255
+_SYMBOL = np.full(0x250, _OTHER, np.uint8)
+for _c in range(0xDF):
+    _SYMBOL[_c] = _AT.get(chr(_c), _BREAK if chr(_c) in SIGNS else _END) if chr(_c) != "$" else _BREAK
+_SYMBOL[0xF7] = _END
+for _c, _i in _AT.items():
+    if _c != "$":
+        _SYMBOL[ord(_c)] = _i
+
+
 class CharModel:
-    """Character trigram log probabilities over the letters seen, from a table of counts."""
-
-    def __init__(self, counts: dict[str, int]):
-        letters = sorted({c for g in counts for c in g} | set("abcdefghijklmnopqrstuvwxyz$"))
-        self.at = {c: i for i, c in enumerate(letters)}
-        n = len(letters)
-        tri = np.full((n, n, n), 0.01, np.float32)
-        for g, c in counts.items():
-            tri[self.at[g[0]], self.at[g[1]], self.at[g[2]]] += c
-        self.log = np.log(tri / tri.sum(axis=2, keepdims=True))
-        self.edge = self.at["$"]
+    """Costs (negative log probabilities) of the third symbol after two, from the counts of trigrams."""
+
+    def __init__(self, counts: np.ndarray):
+        n = counts.reshape((SYMBOLS,) * 3) + 0.01
+        self.cost = (np.log(n.sum(axis=2, keepdims=True)) - np.log(n)).tolist()
+
+    def spoken(self, state: tuple[int, int], letters: str) -> tuple[tuple[int, int], float]:
+        """The state after the letters ('$' ends a word), and their cost."""
+        (x, y), total = state, 0.0
+        for c in letters:
+            z = _AT.get(c, _OTHER)
+            total += self.cost[x][y][z]
+            x, y = (y, z) if z else (_END, _END)
+        return (x, y), total
 
     def restore(self, word: str) -> str:
-        """The likeliest letters of a disguised word."""
-        steps: list[list[str]] = []
-        i = 0
-        while i < len(word):
-            c, j = word[i], i
-            while j < len(word) and word[j] == c:
-                j += 1
-            options = list(SIGNS.get(c, "")) if c not in self.at or c in SIGNS else [c]
-            if c in SEPARATORS or (not options and not c.isalnum()):
-                options = options + [""]
+        """The cheapest reading of a disguised word; '$' parts the words of it."""
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(_END, _END): (0.0, None)}
+        for options in lattice(word):
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for state, (cost, said) in best.items():
+                for letters, price in options:
+                    if letters == "$" and state == (_END, _END):
+                        after, more = state, 0.0
+                    else:
+                        after, more = self.spoken(state, letters)
+                    total = cost + price + more
+                    if after not in new or total < new[after][0]:
+                        new[after] = (total, (letters, said) if letters else said)
+            best = new
+        _, said = min(((c + self.spoken(state, "$")[1] if state != (_END, _END) else c, said) for state, (c, said) in best.items()), key=lambda t: t[0])
+        out = []
+        while said:
+            out.append(said[0])
+            said = said[1]
+        return "".join(out[::-1])
+
+
+def lattice(word: str) -> list[list[tuple[str, float]]]:
+    """For each run of one character what it may stand for, and the cost of that."""
+    steps, i = [], 0
+    while i < len(word):
+        c, j = word[i], i
+        while j < len(word) and word[j] == c:
+            j += 1
+        if c in SEPARATORS:
+            options = [("", 0.0), ("$", SPLIT if j - i == 1 else 0.0)]
+        elif c in SIGNS:
+            options = [(o, SUBSTITUTE) for o in SIGNS[c]]
             if j - i > 1:
-                options = [o * k for o in options for k in (1, 2)] if j - i > 2 or c in SIGNS else [o * 2 for o in options if o] + [""] * ("" in options)
-                if "" in SEPARATORS.intersection(c) or c in SEPARATORS:
-                    options.append("")
-            steps.append(list(dict.fromkeys(options)) or [""])
-            i = j
-        e = self.edge
-        best: dict[tuple[int, int], tuple[float, str]] = {(e, e): (0.0, "")}
-        for options in steps:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (p, said) in best.items():
-                for o in options:
-                    x, y, q = a, b, p - (0.5 if len(o) == 2 else 0.0)
-                    for ch in o:
-                        z = self.at.get(ch)
-                        if z is None:
-                            q = -1e9
-                            break
-                        q += float(self.log[x, y, z])
-                        x, y = y, z
-                    if q > new.get((x, y), (-1e18, ""))[0]:
-                        new[x, y] = (q, said + o)
-            best = dict(sorted(new.items(), key=lambda t: -t[1][0])[:24])
-        final = max(((p + float(self.log[a, b, e]), said) for (a, b), (p, said) in best.items()), default=(0, ""))
-        return final[1]
-
-
-def char_counts(docs: DataFrame, text: str = "text", least: int = 2) -> CharModel:
-    """Counts of letter trigrams over all documents: each document gives the words it holds, once each;
-    the table's size is bounded by the alphabet, of which the MAX_FEATURES commonest trigrams are used."""
+                options += [(o * 2, SUBSTITUTE) for o in SIGNS[c]]
+            if i == 0 and not c.isdigit():
+                options.append(("", BRACKET if c in "(<" else DROP))
+        elif not c.isalnum():
+            options = [("", 0.0)]
+        elif j - i > 2:
+            options = [(c, 0.0), (c * 2, DOUBLE)]
+        else:
+            options = [(c * (j - i), 0.0)]
+        steps.append(options)
+        i = j
+    return steps
+
+
+def char_counts(docs: DataFrame, text: str = "text") -> CharModel:
+    """The model of the trigrams of all words of all texts; at most SYMBOLS ** 3 rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, int] = {}
+        total = np.zeros(SYMBOLS**3, np.int64)
         for b in batches:
-            for part in runs(raw(b.column(0))):
-                words = set().union(*(t.split() for t in part))
-                joined = b"$$".join(w.lower() for w in words).decode("utf-8", "replace")
-                codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
-                letter = _letters(codes)
-                ok = letter[:-2] & letter[1:-1] & letter[2:]
-                packed = (codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[ok]
-                for g, n in zip(*(x.tolist() for x in np.unique(packed, return_counts=True)), strict=True):
-                    total[g] = total.get(g, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["gram", "n"])
-
-    table = docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = table.where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(MAX_FEATURES).collect()
-    counts = {"".join(chr(r["gram"] >> s & 0x1FFFFF) for s in (42, 21, 0)): r["n"] for r in rows}
-    common = sorted({c for g in counts for c in g}, key=lambda c: -sum(n for g, n in counts.items() if c in g))[:96]
-    return CharModel({g: n for g, n in counts.items() if all(c in common for c in g)})
-
-
-def _letters(codes: np.ndarray) -> np.ndarray:
-    return ((codes >= 97) & (codes <= 122)) | ((codes >= 0xDF) & (codes < 0x250)) | (codes == 36)
+            for part in K.blocks(K.buffers(b.column(0))):
+                data = part.data.tobytes()
+                if data.isascii():
+                    code = np.frombuffer(data.lower(), np.uint8)
+                else:
+                    code = np.frombuffer(data.decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
+                sign = np.concatenate([[_END, _END], _SYMBOL[np.minimum(code, 0x24F)], [_END]]).astype(np.int64)
+                x, y, z = sign[:-2], sign[1:-1], sign[2:]
+                x = np.where(y == _END, _END, x)  # a word starts after its end, whatever came before
+                ok = (x != _BREAK) & (y != _BREAK) & (z != _BREAK) & ((y != _END) | (z != _END))
+                total += np.bincount(((x * SYMBOLS + y) * SYMBOLS + z)[ok], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["gram", "n"])
+
+    rows = docs.select(text).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(SYMBOLS**3)
+    counts[rows["gram"].to_numpy(np.int64)] = rows["n"]
+    return CharModel(counts)
 
 
 class Reader:
-    """Restored words and the features of texts; what it found for a chunk of text is kept while there is room."""
+    """The restored words of texts and their features; what it found for a chunk of text is kept while there is room."""
 
     def __init__(self, model: CharModel, weights: dict[str, float] | None = None):
         self.model, self.weights, self.cache = model, weights, {}
 
-    def word(self, chunk: str) -> list[str]:
-        """The chunk as a plain word, and as restored if it may be disguised."""
+    def words(self, chunk: str) -> list[str]:
+        """The chunk as a plain word, or the words of its reading if it may be disguised."""
         bare = chunk.strip(_EDGE)
-        out = [bare] if bare else []
         core = chunk.strip(".,;:?\"'")
         masked = len(core) > 1 and core[0] in SIGNS and core[1].isalpha()
-        if bare and (masked or not bare.isalpha() or _RUN.search(bare)) and 3 <= len(core) <= LATTICE and sum(c.isalpha() for c in bare) * 3 >= len(bare):
-            for form in {bare, core} if masked else {bare}:
-                restored = self.model.restore(form)
-                if restored and restored not in out:
-                    out.append(restored)
-        return out
+        if not bare or (not masked and bare.isalpha() and not _RUN.search(bare)):
+            return [bare] if bare else []
+        return [w for w in self.model.restore(core[0] + core[1:].rstrip(_EDGE) if masked else bare).split("$") if w]
 
     def features(self, word: str) -> list[str]:
         return ["=" + word, *(word[:k] for k in range(3, min(6, len(word)) + 1))]
@@ -165,31 +195,69 @@ class Reader:
         found = self.cache.get(chunk)
         if found is None:
             text = chunk.decode("utf-8", "replace").lower()
-            found = self.found([text] if text.isalpha() and not _RUN.search(text) else self.word(text))
+            found = self.found([text] if text.isalpha() and not _RUN.search(text) else self.words(text))
             if len(self.cache) >= CACHED_WORDS:
                 self.cache.clear()
-            if len(chunk) <= 64:
+            if len(chunk) <= KEPT_LENGTH:
                 self.cache[chunk] = found or _NOTHING
         return found
 
+    def spaced(self, text: bytes) -> dict[str, float]:
+        """What the runs of single characters with gaps read as."""
+        found: dict[str, float] = {}
+        for m in _SPACED.finditer(text.decode("utf-8", "replace").lower()) if _GAPS.search(text) else ():
+            found.update(self.found([w for w in self.model.restore(m[0]).split("$") if w]))
+        return found
+
     def text(self, text: bytes) -> dict[str, float]:
         found: dict[str, float] = {}
         for c in set(text.split()):
             if x := self.chunk(c):
                 found.update(x)
-        for m in _SPACED.finditer(text.decode("utf-8", "replace").lower()) if _GAPS.search(text) else ():
-            joined = re.sub(r"[ .\-_*]", "", m[0])
-            words = {w for i in range(len(joined) - 2) for k in range(3, 15) if len(w := joined[i : i + k]) == k}
-            words |= {r for w in words if not w.isalpha() for r in self.word(w)}
-            if self.weights is None:
-                found.update(dict.fromkeys(("=" + w for w in words), 0.0))
-            else:
-                found.update({w: x for w in words if (x := self.weights.get("=" + w, 0.0)) > 0})
-        return found
+        return found | self.spaced(text)
+
+
+class Scorer:
+    """Evidence of many texts at a time: chunks are known by fingerprint, and only those with evidence are looked at again."""
+
+    def __init__(self, reader: Reader):
+        self.reader = reader
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table, self.found = Table(16), [_NOTHING]
+
+    def texts(self, part: K.Texts) -> list[dict[str, float]]:
+        """The evidence in each text."""
+        if self.table.used > 10 * CACHED_WORDS:
+            self._clear()
+        s, e, counts = K.word_bounds(part)
+        keys, first, place = np.unique((K.hashes_of(part, s, e) >> np.uint64(1)).view(np.int64), return_index=True, return_inverse=True)
+        entry = self.table.get(keys)
+        new = np.flatnonzero(entry < 0)
+        data = part.data.tobytes()
+        if len(new):
+            for k, x, y in zip(new.tolist(), s[first[new]].tolist(), e[first[new]].tolist(), strict=True):
+                found = self.reader.chunk(data[x:y])
+                entry[k] = len(self.found) if found else 0
+                if found:
+                    self.found.append(found)
+            self.table.add(keys[new], entry[new])
+        out: list[dict[str, float]] = [_NOTHING] * len(part)
+        which = entry[place]
+        at = np.flatnonzero(which > 0)
+        text = np.searchsorted(np.cumsum(counts), at, side="right")
+        for t, w in zip(text.tolist(), which[at].tolist(), strict=True):
+            out[t] = out[t] | self.found[w]
+        if _GAPS.search(data):
+            for t in range(len(part)):
+                if more := self.reader.spaced(part.raw(t)):
+                    out[t] = out[t] | more
+        return out
 
 
 _NOTHING: dict[str, float] = {}
-_GAPS = re.compile(rb"(?<!\S)\S[ .\-_*]{1,2}\S[ .\-_*]{1,2}\S(?!\S)")
+_GAPS = re.compile(rb"(?<!\S)\S[\x80-\xBF]*[ .\-_*]{1,2}\S[\x80-\xBF]*[ .\-_*]{1,2}\S[\x80-\xBF]*(?!\S)")
 
 
 @dataclass
@@ -199,8 +267,8 @@ class Classifier:
     curve: tuple[float, float, float]
 
     def evidence(self, found: dict[str, float]) -> tuple[float, float]:
-        """The strongest word's weight, and that of all words together (up to 30)."""
-        return (max(found.values()), min(sum(found.values()), 30.0)) if found else (0.0, 0.0)
+        """The strongest word's weight, and the logarithm of that of all words together."""
+        return (max(found.values()), math.log1p(sum(sorted(found.values())))) if found else (0.0, 0.0)
 
     def score(self, found: dict[str, float]) -> float:
         top, total = self.evidence(found)
@@ -247,7 +315,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame, train: Column, key: str
     counted = sample.select("_text", "_label").mapInArrow(collect, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     n_f = F.col("bad") + F.col("good")
     llr = 2 * (part(F.col("bad").cast("double"), n_f * share) + part(F.col("good").cast("double"), n_f * (1 - share)))
-    rows = counted.where((llr > MIN_LLR) & (F.col("bad") > n_f * share)).orderBy(llr.desc(), "f").limit(MAX_FEATURES).collect()
+    rows = counted.where((llr > MIN_LLR) & (F.col("bad") > n_f * share)).collect()
     weights = {r["f"]: float(np.log((r["bad"] + 0.5) / (bad + 1)) - np.log((r["good"] + 0.5) / (good + 1))) for r in rows}
     clf = Classifier(model, weights, (0.0, 0.0, 0.0))
     seen = _scored(sample, clf, "_label", "_text", True).toPandas()
@@ -262,9 +330,9 @@ def _scored(docs: DataFrame, clf: Classifier, key: str, text: str, evidence: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clf = shared.value
-        reader = Reader(clf.model, clf.weights)
+        scorer = Scorer(Reader(clf.model, clf.weights))
         for b in batches:
-            found = [reader.text(t) for part in runs(raw(b.column(0))) for t in part]
+            found = [f for part in K.blocks(K.buffers(b.column(0))) for f in scorer.texts(part)]
             got = [clf.evidence(f) if evidence else (clf.score(f),) for f in found]
             columns = list(zip(*got, strict=True)) if got else [()] * len(made)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c, pa.float64()) for c in columns)], names=[key, *keep, *made])
@@ -285,7 +353,7 @@ def restored_texts(docs: DataFrame, model: CharModel, key: str = "doc_id", text:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             reader = Reader(shared.value)
-            restored = [" ".join((reader.word(w.lower()) or [w])[-1] for w in (t or "").split()) for t in b[text]]
+            restored = [" ".join(" ".join(reader.words(w.lower())) or w for w in (t or "").split()) for t in b[text]]
             yield pd.DataFrame({key: b[key], "restored": restored})
 
     return docs.select(key, text).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, restored string")

@@ -1,6 +1,7 @@
 """Each operator against brute force or an exact round trip, on hostile tables and on the smallest driver tables."""
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -301,6 +302,33 @@ def test_toxicity_held_out(spark):
         assert clf.score(reader.text(disguise)) == pytest.approx(plain, abs=0.2)
 
 
+def test_readings_are_the_cheapest(docs):
+    model = toxicity.char_counts(docs)
+
+    def price(parts):
+        state, total = (0, 0), 0.0
+        for letters, cost in parts:
+            total += cost
+            if letters == "$" and state == (0, 0):
+                continue
+            state, more = model.spoken(state, letters)
+            total += more
+        return total + (0.0 if state == (0, 0) else model.spoken(state, "$")[1])
+
+    for word in ("1d10t", "i.d.i.o.t", "idiooooot", "i d i o t", "$tup1d", "455h0l3", "(hello", "a--b", "l0ooo5er", "2024", "éé1ñ", "..."):
+        ways = list(itertools.product(*toxicity.lattice(word)))
+        least = min(map(price, ways))
+        said = model.restore(word)
+        cheapest = [w for w in ways if price(w) <= least + 1e-9]
+        norm = lambda x: "$".join(p for p in x.split("$") if p)
+        assert norm(said) in {norm("".join(p for p, _ in w)) for w in cheapest}
+
+
+def test_readings_of_long_words(docs):
+    model = toxicity.char_counts(docs)
+    assert set(model.restore("1d10t." * 20_000).replace("$", "")) <= set(toxicity.LETTERS)
+
+
 def test_toxicity_hostile(docs, labels, bad, empty):
     clf = toxicity.train_classifier(docs, labels, F.lit(True))
     got = toxicity.score_documents(bad, clf).collect()
