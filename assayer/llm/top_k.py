@@ -1,20 +1,28 @@
-"""Exact BM25 top-k: sharded inverted indexes with block-max WAND pruning, merged under global statistics.
+"""Exact BM25 top-k: sharded inverted indexes with block-max dynamic pruning, merged under global statistics.
 
-Documents are dealt into shards by a hash of their id; document frequencies,
-the number of documents and their mean length are those of the whole table, so
-scores from all shards compare and the merge of the shards' best k is exact.
-In a shard a query's terms are taken from the largest possible impact down;
-once the rest could only matter to few documents, the k-th best score so far is
-a threshold, and a document goes on only if its score and its block's largest
-impacts of the remaining terms reach it; those few are scored in full.
+Documents are dealt into shards by a hash of their id. A shard's index (postings
+with term frequencies, document lengths) is built once and stored; document
+frequencies, the number of documents and their mean length are those of the
+whole table, so scores from all shards compare and the merge of the shards' best
+k is exact.
 
 Queries are taken in blocks of about QUERY_BYTES, each broadcast to the shards.
+In a shard documents lie in blocks of BLOCK of like ones, and each term's
+largest impact in each block is known. A batch of like queries sums these for
+its terms; blocks are taken by how far that sum exceeds a query's threshold, its
+k-th best score so far, which rises meanwhile, and a block that no query of the
+batch can gain from is skipped. Impacts of common terms are summed for a whole
+batch and block at once in 32 bits; what comes within the error of that of the
+threshold is scored again in 64 bits, term by term. A few shards go first, and
+their k-th best scores are the thresholds that the others start from.
 
 Defined results: the terms of a query are its distinct words (A-Z lower-cased);
 a document scores if it shares a term with the query, so a blank or null text
-finds and is found by nothing; equal scores go by ascending id; a document is
-found by its own query; fewer than k scoring documents give fewer rows; an
-empty table gives an empty result; other columns are ignored.
+finds and is found by nothing; equal scores go by ascending id, at the k-th place
+too; a document is found by its own query; rows with one id are one document and
+one query, the row with the least text, null counting as empty; fewer than k
+scoring documents give fewer rows; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import kernels as K
-from assayer.llm.ranges import blobs, cuts, pack, part_of, sum_by_code, unpack
-from assayer.llm.tables import pieces, volume, written
+from assayer.llm.tables import discard, pieces, volume, written
 
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 QUERY_BYTES = 16 << 20
 BLOCK = 64
+#: Queries that are searched together, and blocks that are scored before thresholds rise again.
+BATCH, STEP = 256, 16
+#: One shard in so many goes first.
+AHEAD = 8
 K1, B = 1.2, 0.75
 
 
@@ -60,146 +72,203 @@ def cuts_of_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, np.append(at[1:], len(a))[: len(at)]
 
 
-def _send_terms(n: int):
+def _signatures(codes: np.ndarray, tf: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The commonest term of each text: like texts come together in its order."""
+    out = np.zeros(len(n), np.uint64)
+    if len(codes):
+        order = np.lexsort((-tf, np.repeat(np.arange(len(n)), n)))
+        out[n > 0] = codes[order[(np.cumsum(n) - n)[n > 0]]]
+    return out
+
+
+_FIELDS = {"ids": "<i8", "words": "<i4", "vocabulary": "<u8", "starts": "<i4", "docs": "<i4", "tf": "<u4"}
+
+
+def _build(key: str):
     def run(group: pa.Table) -> pa.Table:
-        shard = group.column("_shard")[0].as_py()
-        codes, _, _, words = _terms(K.buffers(group.column("_text")))
-        distinct, df, _ = sum_by_code(codes, np.ones(len(codes)))
-        part = part_of(distinct, n)
-        at, ends = cuts(part)
-        return pa.table({
-            "_range": pa.array(part[at], pa.int64()), "_shard": pa.array([shard] * len(at), pa.int64()),
-            "codes": pa.array([pack(distinct[x:y]) for x, y in zip(at, ends, strict=True)], pa.binary()),
-            "df": pa.array([df[x:y].astype("<u4").tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()),
-            "docs": pa.array([len(words) if not i else 0 for i in range(len(at))], pa.int64()), "words": pa.array([int(words.sum()) if not i else 0 for i in range(len(at))], pa.int64()),
-        })
+        ids = group.column(key).to_numpy()
+        codes, tf, n, words = _terms(K.buffers(group.column("_text")))
+        by = np.lexsort((ids, words, _signatures(codes, tf, n)))
+        move = K.ranges((np.cumsum(n) - n)[by], n[by])
+        codes, tf, doc = codes[move], tf[move], np.repeat(np.arange(len(n)), n[by])
+        order = np.argsort(codes, kind="stable")
+        vocabulary, starts = np.unique(codes[order], return_index=True)
+        made = {"ids": ids[by], "words": words[by], "vocabulary": vocabulary, "starts": np.append(starts, len(codes)), "docs": doc[order], "tf": tf[order]}
+        columns = {c: pa.array([made[c].astype(kind).tobytes()], pa.binary()) for c, kind in _FIELDS.items()}
+        return pa.table({"_shard": group.column("_shard")[:1], "n_docs": pa.array([len(ids)], pa.int64()), "n_words": pa.array([int(words.sum())], pa.int64())} | columns)
 
     return run
 
 
-def _answer_terms(group: pa.Table) -> pa.Table:
-    codes = [unpack(x.as_py()) for x in group.column("codes")]
-    _, total, place = sum_by_code(np.concatenate(codes), np.concatenate(blobs(group, "df", "<u4")))
-    ends = np.cumsum([0, *map(len, codes)])
-    df = total[place].astype("<u8")
-    return pa.table({"_shard": group.column("_shard"), "_range": group.column("_range"), "df": pa.array([df[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)], pa.binary()), "docs": group.column("docs"), "words": group.column("words")})
-
-
-class Index:
-    """Impacts of a shard, by term (postings and block maxima) and by document."""
-
-    def __init__(self, ids: np.ndarray, texts: K.Texts, df: np.ndarray, n_docs: int, mean: float):
-        codes, tf, n, words = _terms(texts)
-        signature = np.zeros(len(ids), np.uint64)
-        if len(codes):
-            # Documents with one commonest term stand together, which keeps block maxima apart.
-            order = np.lexsort((-tf, np.repeat(np.arange(len(n)), n)))
-            signature[n > 0] = codes[order[(np.cumsum(n) - n)[n > 0]]]
-        by = np.lexsort((ids, words, signature))
-        start = np.cumsum(n) - n
-        move = K.ranges(start[by], n[by])
-        codes, tf, n, words = codes[move], tf[move], n[by], words[by]
-        self.ids, self.n = ids[by], n
-        self.doc = np.repeat(np.arange(len(n)), n)
-        self.start = np.concatenate([[0], np.cumsum(n)])
-        self.vocabulary, self.term = np.unique(codes, return_inverse=True)
-        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        self.impact = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[self.doc] / max(mean, 1e-9)))
-        order = np.argsort(self.term, kind="stable")
-        self.post_doc, self.post = self.doc[order], self.impact[order]
-        self.post_start = np.searchsorted(self.term[order], np.arange(len(self.vocabulary) + 1))
-        block = self.post_doc // BLOCK
-        at, _ = cuts_of_pairs(self.term[order], block)
-        self.max_block, self.max = block[at], np.maximum.reduceat(self.post, at) if len(at) else self.post
-        self.max_start = np.searchsorted(self.term[order][at], np.arange(len(self.vocabulary) + 1))
-        self.top = np.maximum.reduceat(self.post, self.post_start[:-1]) if len(self.post) else np.zeros(0)
-        self.wanted = np.zeros(len(self.vocabulary), bool)
-
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best documents, best first."""
-        at = np.searchsorted(self.vocabulary, query)
-        at = at[at < len(self.vocabulary)] if len(self.vocabulary) else at[:0]
-        terms = at[np.isin(self.vocabulary[at], query)] if len(at) else at
-        if not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        size = self.post_start[terms + 1] - self.post_start[terms]
-        terms, size = (x[np.argsort(size, kind="stable")] for x in (terms, size))
-        # Long postings wait while the documents of the short ones settle the threshold.
-        short = max(1, int(np.searchsorted(size, len(self.n) // 16)))
-        few = terms[:short]
-        spot = K.ranges(self.post_start[few], size[:short])
-        score = np.bincount(self.post_doc[spot], weights=self.post[spot], minlength=len(self.n))
-        late = terms[short:]
-        m = K.ranges(self.max_start[late], self.max_start[late + 1] - self.max_start[late])
-        rest = np.bincount(self.max_block[m], weights=self.max[m], minlength=-(-len(self.n) // BLOCK))
-        bound = score + np.repeat(rest, BLOCK)[: len(score)]
-        self.wanted[terms] = True
-        threshold = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
-        if threshold < rest.max(initial=0.0) and len(score) > 4 * k:
-            # The likeliest documents in full: their k-th best score is a threshold as well.
-            _, s = self._full(np.argpartition(bound, len(bound) - 4 * k)[len(bound) - 4 * k :])
-            if len(s) >= k:
-                threshold = max(threshold, np.partition(s, len(s) - k)[len(s) - k])
-        docs, s = self._full(np.flatnonzero((bound > 0) & (bound >= threshold - 1e-9)))
-        self.wanted[terms] = False
-        best = np.lexsort((self.ids[docs], -s))[:k]
-        return docs[best], s[best]
-
-    def _full(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = self.n[docs]
-        e = K.ranges(self.start[docs], n)
-        hit = self.wanted[self.term[e]]
-        s = np.bincount(np.repeat(np.arange(len(docs)), n)[hit], weights=self.impact[e[hit]], minlength=len(docs))
-        return docs[s > 0], s[s > 0]
-
-
-def _search(key: str, queries, k: int, n_docs: int, mean: float):
-    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
-        found: list[tuple] = []
-        if group.num_rows:
-            answers = answers.sort_by("_range")
-            df = np.concatenate(blobs(answers, "df", "<u8")).astype(np.float64) if answers.num_rows else np.zeros(0)
-            index = Index(group.column(key).to_numpy().astype(np.int64), K.buffers(group.column("_text")), df, n_docs, mean)
-            for q, terms in queries.value:
-                docs, s = index.search(terms, k)
-                found.append((np.full(len(docs), q), index.ids[docs], s))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(columns, names=["query_id", key, "score"])
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {c: np.frombuffer(b.column(c)[i].as_py(), kind) for c, kind in _FIELDS.items()}
+
+
+class Shard:
+    """A shard's postings of the terms (sorted codes) that a block of queries has, with impacts under their idf."""
+
+    def __init__(self, row: dict[str, np.ndarray], terms: np.ndarray, idf: np.ndarray, mean: float):
+        self.ids, n = row["ids"], len(row["ids"])
+        at = np.minimum(np.searchsorted(row["vocabulary"], terms), max(len(row["vocabulary"]) - 1, 0))
+        here = row["vocabulary"][at] == terms if len(row["vocabulary"]) else np.zeros(len(terms), bool)
+        first = np.where(here, row["starts"][at], 0).astype(np.int64)
+        self.size = np.where(here, row["starts"][at + 1] if len(row["vocabulary"]) else 0, 0) - first
+        spot = K.ranges(first, self.size)
+        self.start = np.cumsum(self.size) - self.size
+        self.doc, tf = row["docs"][spot].astype(np.int64), row["tf"][spot].astype(np.float64)
+        term = np.repeat(np.arange(len(terms)), self.size)
+        self.impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * row["words"][self.doc] / mean))
+        # Terms that many documents have are whole rows; of the others the few documents.
+        common = np.flatnonzero(self.size > n // 32)
+        self.row = np.full(len(terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), -(-n // BLOCK) * BLOCK), np.float32)
+        often = self.row[term] >= 0
+        self.rows[self.row[term[often]], self.doc[often]] = self.impact[often]
+        self.most = self.rows.reshape(len(common), -1, BLOCK).max(axis=2)
+        order = np.argsort(self.doc, kind="stable")
+        self.own_term, self.own_impact = term[order], self.impact[order]
+        self.own_start = np.searchsorted(self.doc[order], np.arange(n + 1))
+
+    def search(self, terms: np.ndarray, counts: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the k best documents of each query of a batch, as far as they reach its least score."""
+        n, width, some = len(counts), self.rows.shape[1], np.repeat(np.arange(len(counts)), counts)
+        row = self.row[terms]
+        used, place = np.unique(row[row >= 0], return_inverse=True)
+        asked = np.zeros((n, len(used)), np.float32)
+        asked[some[row >= 0], place] = 1
+        rare, owner = terms[row < 0], some[row < 0]
+        spot = K.ranges(self.start[rare], self.size[rare])
+        score = np.bincount(np.repeat(owner, self.size[rare]) * width + self.doc[spot], self.impact[spot], n * width).reshape(n, width).astype(np.float32)
+        bound = asked @ self.most[used] + score.reshape(n, -1, BLOCK).max(axis=2)
+        slack = float((int(counts.max(initial=0)) + 8) * 2.0**-22)
+        least = least.astype(np.float32)
+        best = np.full((n, k), -np.inf, np.float32)
+        open_, rows = np.ones(bound.shape[1], bool), self.rows[used] if len(used) < len(self.rows) else self.rows
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while True:
+            gain = (bound - np.where(least > 0, least * (1 - slack), 1e-30)[:, None]).max(axis=0)
+            blocks = np.flatnonzero(open_ & (gain >= 0))
+            if not len(blocks):
+                break
+            blocks = blocks[np.argsort(-gain[blocks], kind="stable")[:STEP]]
+            open_[blocks] = False
+            docs = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            got = asked @ rows[:, docs] + score[:, docs]
+            pool = np.concatenate([best, got], axis=1)
+            best = -np.partition(-pool, k - 1, axis=1)[:, :k]
+            least = np.maximum(least, best.min(axis=1))
+            q, d = np.nonzero((got > 0) & (got >= least[:, None] * (1 - slack)))
+            kept.append((q, docs[d], got[q, d]))
+        q, d, s = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        near = s >= least[q] * (1 - slack)
+        return self._exact(terms, counts, q[near], d[near], k)
+
+    def _exact(self, terms: np.ndarray, counts: np.ndarray, q: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The candidates' scores, summed in the order of the terms, and the k best of each query."""
+        wanted = np.zeros((len(counts), len(self.row)), bool)
+        wanted[np.repeat(np.arange(len(counts)), counts), terms] = True
+        size = self.own_start[d + 1] - self.own_start[d]
+        e, pair = K.ranges(self.own_start[d], size), np.repeat(np.arange(len(d)), size)
+        hit = wanted[q[pair], self.own_term[e]]
+        score = np.bincount(pair[hit], self.own_impact[e[hit]], len(d))
+        order = np.lexsort((self.ids[d], -score, q))
+        q, d, score = q[order], d[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        first = rank < k
+        return q[first], self.ids[d[first]], score[first]
 
-    return run
+
+def _frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """In how many documents of all shards each term occurs; as many rows as terms reach the driver at most."""
+    sent = index.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, total = sent.value, np.zeros(len(sent.value), np.int64)
+        for b in batches:
+            for v, starts in zip(b.column(0), b.column(1), strict=True):
+                vocabulary, starts = np.frombuffer(v.as_py(), "<u8"), np.frombuffer(starts.as_py(), "<i4")
+                at = np.searchsorted(terms, vocabulary)
+                here = np.flatnonzero(at < len(terms))
+                here = here[terms[at[here]] == vocabulary[here]]
+                total[at[here]] += starts[here + 1] - starts[here]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["term", "n"])
+
+    rows = index.select("vocabulary", "starts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    sent.destroy()
+    out = np.zeros(len(terms))
+    out[rows["term"].to_numpy(np.int64)] = rows["n"]
+    return out
+
+
+def _found(index: DataFrame, key: str, block: Broadcast, k: int, mean: float) -> DataFrame:
+    """query_id, key, score: each query's k best of each shard, as far as they reach its least score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, idf, asked, terms, counts, least = block.value
+        ends = np.cumsum(counts)
+        least = least.copy()
+        for row in _shards(batches):
+            shard = Shard(row, codes, idf, mean)
+            for x in range(0, len(asked), BATCH):
+                y = min(x + BATCH, len(asked))
+                q, ids, score = shard.search(terms[ends[x] - counts[x] : ends[y - 1]], counts[x:y], least[x:y], k)
+                full = np.bincount(q, minlength=y - x) == k
+                worst = np.full(y - x, np.inf)
+                np.minimum.at(worst, q, score)
+                least[x:y] = np.where(full, np.maximum(least[x:y], worst), least[x:y])
+                yield pa.RecordBatch.from_arrays([pa.array(asked[x + q]), pa.array(ids), pa.array(score)], names=["query_id", key, "score"])
+
+    return index.select(*_FIELDS).mapInArrow(run, f"query_id long, `{key}` long, score double")
 
 
 def top_k(docs: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, rank, key, score: for each row that is_query, the k best of all rows. Rows with a null id take no part."""
     sc = docs.sparkSession.sparkContext
     docs = docs.where(F.col(key).isNotNull())
-    _, total = volume(docs, text)
-    n = pieces(total, SHARD_BYTES)
-    plain = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.pmod(F.xxhash64(F.col(key)), F.lit(n)).alias("_shard"))
-    sent = plain.groupBy("_shard").applyInArrow(_send_terms(n), "_range long, _shard long, codes binary, df binary, docs long, words long")
-    answers = written(sent.groupBy("_range").applyInArrow(_answer_terms, "_shard long, _range long, df binary, docs long, words long"), "topk-df")
-    n_docs, words = docs.count(), answers.agg(F.sum("words")).first()[0] or 0
-    asked = docs.where(is_query).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
+    n = pieces(volume(docs, text)[1], SHARD_BYTES)
+    plain = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(n)).alias("_shard"))
+    single = plain.repartition("_shard").groupBy("_shard", key).agg(F.min("_text").alias("_text"))
+    kinds = ", ".join(f"{c} binary" for c in _FIELDS)
+    index = written(single.groupBy("_shard").applyInArrow(_build(key), f"_shard long, n_docs long, n_words long, {kinds}"), "topk-index")
+    n_docs, words = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
+    n_docs, mean = n_docs or 0, max((words or 0) / max(n_docs or 0, 1), 1e-9)
+    asked = docs.where(is_query).groupBy(F.col(key).cast("long").alias("_id")).agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes, _, c, _ = _terms(K.buffers(b.column(1)))
+            codes, tf, c, _ = _terms(K.buffers(b.column(1)))
             ends = np.cumsum(c)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codes[y - x : y].tobytes() for x, y in zip(c, ends, strict=True)], pa.binary())], names=["_id", "codes"])
+            sign = pa.array((_signatures(codes, tf, c) >> np.uint64(1)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), sign, pa.array([codes[y - x : y].tobytes() for x, y in zip(c, ends, strict=True)], pa.binary())], names=["_id", "_sign", "codes"])
 
-    queries = written(asked.mapInArrow(terms, "_id long, codes binary"), "topk-queries")
-    blocks = pieces(volume(queries.select(F.col("codes")), "codes")[1], QUERY_BYTES)
-    found = []
+    queries = written(asked.mapInArrow(terms, "_id long, _sign long, codes binary"), "topk-queries")
+    blocks = pieces(volume(queries.select("codes"), "codes")[1], QUERY_BYTES)
+    merged = None
     for i in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == i).collect()
-        shared = sc.broadcast([(r["_id"], np.frombuffer(r["codes"], np.uint64)) for r in sorted(rows)])
-        part = plain.groupBy("_shard").cogroup(answers.select("_shard", "_range", "df").groupBy("_shard")).applyInArrow(_search(key, shared, k, n_docs, words / max(n_docs, 1)), f"query_id long, `{key}` long, score double")
-        if blocks > 1:
-            part = written(part, "topk-block")
-            shared.unpersist()
-        found.append(part)
-    merged = found[0]
-    for part in found[1:]:
-        merged = merged.unionByName(part)
+        rows = sorted((r["_sign"], r["_id"], r["codes"]) for r in queries.where((F.pmod(F.xxhash64("_id"), F.lit(blocks)) == i) & (F.octet_length("codes") > 0)).collect())
+        flat = np.concatenate([np.frombuffer(c, np.uint64) for *_, c in rows]) if rows else np.zeros(0, np.uint64)
+        codes, place = np.unique(flat, return_inverse=True)
+        df = _frequencies(index, codes)
+        base = (codes, np.log(1 + (n_docs - df + 0.5) / (df + 0.5)), np.array([r[1] for r in rows], np.int64), place, np.array([len(c) // 8 for *_, c in rows], np.int64))
+        least, ahead = np.zeros(len(rows)), -(-n // AHEAD)
+        first = sc.broadcast((*base, least))
+        part = written(_found(index.where(F.col("_shard") < ahead), key, first, k, mean), "topk-ahead")
+        known = {r["query_id"]: r["s"] for r in _kth(part, k).collect()}
+        second = sc.broadcast((*base, np.array([known.get(r[1], 0.0) for r in rows])))
+        part = part.unionByName(written(_found(index.where(F.col("_shard") >= ahead), key, second, k, mean), "topk-block"))
+        merged = part if merged is None else merged.unionByName(part)
+        first.destroy()
+        second.destroy()
+    discard(index)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+
+
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    """query_id, s: the k-th best score of the queries that have so many."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", F.col("score").alias("s"))

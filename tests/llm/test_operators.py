@@ -353,3 +353,10 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.where("false"), url_rules.RULES).count() == 0
     both = [url_rules.Rule("allow", "a.com", "/"), url_rules.Rule("block", "a.com", "/")]
     assert url_rules.judge_urls(spark.createDataFrame([(1, "h://a.com/")], "page_id long, url string"), both).first().verdict == "block"
+
+
+def test_top_k_repeated_ids_and_ties(spark):
+    same = [(50, "a b c d"), (50, "a b c d"), (50, "a b"), *((i, "a b c d") for i in range(1, 30)), (100, "c d e")]
+    table = spark.createDataFrame(same, "doc_id long, text string")
+    got = [(r.query_id, r["rank"], r.doc_id) for r in search.top_k(table, F.col("doc_id") % 50 == 0, k=3).orderBy("query_id", "rank").collect()]
+    assert got == [(50, 1, 50), (50, 2, 1), (50, 3, 2), (100, 1, 100), (100, 2, 1), (100, 3, 2)]
