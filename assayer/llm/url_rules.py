@@ -1,4 +1,4 @@
-"""URL filter: a trie over reversed host labels, then path prefixes, broadcast to the executors.
+"""URL filter: a trie over reversed host labels, then path segments, broadcast to the executors.
 
 An entry (host, path) fits its host and every subdomain when the URL's path
 starts with the entry's path. The entry with the longest host wins, then the
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries are broadcast; more than this many must go through join_verdicts' table form instead.
+#: Up to so many entries are broadcast as a trie; more are joined as a table.
 MAX_BROADCAST_RULES = 2_000_000
 
 
@@ -34,43 +34,49 @@ class Rule(NamedTuple):
 
 
 class Trie:
-    """Host labels from the right; each node that ends an entry's host has its paths, longest first."""
+    """Host labels from the right; below a host that has entries, its paths by segments. The last segment of an entry's path is a
+    prefix of the URL's: a node keeps these by length, longest first."""
 
     def __init__(self, rules: Iterable[Rule]):
         self.root: dict = {}
         for r in rules:
-            if r.host is None or r.path is None or r.verdict not in ("allow", "block"):
-                raise ValueError(f"not a URL rule: {r}")
+            _check(r)
             node = self.root
             for label in reversed(r.host.lower().split(".")):
                 node = node.setdefault(label, {})
-            segments = node.setdefault(None, {})
-            old = segments.get(r.path)
-            if old is None or r.verdict == "block":
-                segments[r.path] = r
-        self._order(self.root)
-
-    def _order(self, node: dict) -> None:
-        stack = [node]
-        while stack:
-            n = stack.pop()
-            if None in n:
-                n[None] = sorted(n[None].items(), key=lambda x: -len(x[0]))
-            stack += [v for k, v in n.items() if k is not None]
+            *whole, last = r.path.split("/")
+            segment = node.setdefault(None, ({}, {}))
+            for name in whole:
+                segment = segment[0].setdefault(name, ({}, {}))
+            ends = segment[1].setdefault(len(last), {})
+            if last not in ends or r.verdict == "block":
+                ends[last] = r
 
     def find(self, host: str, path: str) -> Rule | None:
-        best, node = None, self.root
+        best, node, names = None, self.root, path.split("/")
         for label in reversed(host.split(".")):
             node = node.get(label)
             if node is None:
                 break
-            for prefix, rule in node.get(None, ()):
-                if path.startswith(prefix):
-                    best = rule
+            below = node.get(None)
+            found = None
+            for name in names:
+                if below is None:
                     break
+                for size in sorted(below[1], reverse=True):
+                    if rule := below[1][size].get(name[:size]) if size <= len(name) else None:
+                        found = rule
+                        break
+                below = below[0].get(name)
+            best = found or best
         return best
 
 
+def _check(r: Rule) -> None:
+    if r.host is None or r.path is None or r.verdict not in ("allow", "block"):
+        raise ValueError(f"not a URL rule: {r}")
+
+
 def split_url(url: str = "url") -> list:
     """Spark columns (host, path), parsed on the JVM."""
     u = F.coalesce(F.col(url), F.lit(""))
@@ -86,7 +92,9 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule], key: str = "page_id", ur
     """One row per page: key, host, path, rule (null if none fits), verdict."""
     rules = list(rules)
     if len(rules) > MAX_BROADCAST_RULES:
-        raise ValueError(f"{len(rules)} rules are more than the {MAX_BROADCAST_RULES} that may be broadcast")
+        for r in rules:
+            _check(r)
+        return join_verdicts(pages, pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string"), key, url, default)
     trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
     parsed = pages.select(F.col(key), *split_url(url))
 
@@ -103,6 +111,23 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule], key: str = "page_id", ur
     return parsed.mapInArrow(walk, f"`{key}` {kind}, host string, path string, rule string, verdict string")
 
 
+def join_verdicts(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
+    """judge_urls for a table of entries (verdict, host, path) of any size. Pages are joined by each suffix of their host with
+    the lengths of that host's paths, then by host and prefix with the entries."""
+    lower = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    single = rules.groupBy(lower.alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max("verdict").alias("verdict"), F.min_by("host", "verdict").alias("as_written"))
+    sizes = single.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("sizes"))
+    parsed = pages.select(F.col(key), *split_url(url))
+    labels = F.split("host", "[.]")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = parsed.select("host", "path").distinct()
+    met = asked.withColumn("rule_host", F.explode(suffixes)).join(sizes, "rule_host").withColumn("n", F.explode("sizes")).where(F.col("n") <= F.length("path"))
+    fits = met.withColumn("rule_path", F.substring("path", F.lit(1), F.col("n"))).join(single, ["rule_host", "rule_path"])
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule_host"), "n", "as_written", "rule_path", "verdict")).alias("best"))
+    label = F.concat("best.as_written", "best.rule_path")
+    return parsed.join(best, ["host", "path"], "left").select(key, "host", "path", label.alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
 #: The entries of the registered query.
 RULES = (
     Rule("block", "net", "/"),
