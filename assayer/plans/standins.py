@@ -26,16 +26,18 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("frame_id"), (F.col("quality") + F.col("toxic")).alias("gold_hands"), (F.col("quality") == 1).alias("gold_manip"))
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame_id, corpus, cluster, judge, status, manip, hands, conf: one row a frame and judge; answers null unless ok."""
-    text = F.col("text")
-    letters = F.length(F.regexp_replace(text, "[^A-Za-zÀ-ÿ ]", "")) / F.length(text)
-    stops = F.length(text) - F.length(F.replace(text, F.lit("."), F.lit("")))
-    answer = {"A": letters > 0.9, "B": ~F.contains(text, F.lit("!")), "C": stops >= 5}
+def responses(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """frame_id, corpus, cluster, judge, status, manip, hands, conf: one row a frame (of those in `of`) and judge; answers null unless ok."""
+    text, letters, stops, bang = F.col("text"), F.col("f.letters"), F.col("f.stops"), F.col("f.bang")
+    answer = {"A": letters > 0.9, "B": ~bang, "C": stops >= 5}
     status = lambda i: F.when(F.col("frame_id") % 23 == i, "refused").when(F.col("frame_id") % 29 == i, "timeout").when(F.col("frame_id") % 31 == i, "unparseable").otherwise("ok")
-    hands = {"A": F.when(letters > 0.97, 2).when(letters > 0.9, 1).otherwise(0), "B": F.when(F.contains(text, F.lit("!")), 0).otherwise(F.when(stops >= 20, 2).otherwise(1)), "C": F.least(F.lit(2), F.floor(stops / 10).cast("int"))}
+    hands = {"A": F.when(letters > 0.97, 2).when(letters > 0.9, 1).otherwise(0), "B": F.when(bang, 0).otherwise(F.when(stops >= 20, 2).otherwise(1)), "C": F.least(F.lit(2), F.floor(stops / 10).cast("int"))}
     rows = F.array(*[F.struct(F.lit(j).alias("judge"), status(i).alias("status"), answer[j].alias("manip"), hands[j].cast("int").alias("hands"), (F.pmod(F.col("frame_id") * (7 + i), F.lit(100)) / 100.0).alias("conf")) for i, j in enumerate(JUDGES)])
-    flat = frames(spark, sf_dir).select("frame_id", "corpus", "cluster", F.explode(rows).alias("r")).select("frame_id", "corpus", "cluster", "r.*")
+    # What the rules look at is computed once a text: a generator stands between it and its many uses.
+    features = F.struct((F.length(F.regexp_replace(text, "[^A-Za-zÀ-ÿ ]", "")) / F.length(text)).alias("letters"), (F.length(text) - F.length(F.replace(text, F.lit("."), F.lit("")))).alias("stops"), F.contains(text, F.lit("!")).alias("bang"))
+    asked = frames(spark, sf_dir) if of is None else frames(spark, sf_dir).join(of.select("frame_id"), "frame_id", "left_semi")
+    seen = asked.select("frame_id", "corpus", "cluster", F.explode(F.array(features)).alias("f"))
+    flat = seen.select("frame_id", "corpus", "cluster", F.explode(rows).alias("r")).select("frame_id", "corpus", "cluster", "r.*")
     ok = F.col("status") == "ok"
     return flat.withColumns({"manip": F.when(ok, F.col("manip")), "hands": F.when(ok, F.col("hands"))})
 
@@ -67,7 +69,8 @@ def sql(body: str) -> str:
 
 
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold(spark, sf_dir).join(responses(spark, sf_dir), "frame_id")
+    labels = gold(spark, sf_dir)
+    return labels.join(responses(spark, sf_dir, labels), "frame_id")
 
 
 def ok_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
