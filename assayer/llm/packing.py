@@ -3,12 +3,13 @@
 Documents are tokenised once into a written table, from which the document
 frequency of every token id is counted (a vector as long as the vocabulary).
 Documents are dealt into neighbourhoods of about NEAR_BYTES of ids by their
-lexical content: a document's signs are the two ids that weighted minimum
+lexical content: first by the common id that a document has most often, which
+parts languages and styles, then by its signs, the two ids that weighted minimum
 hashing picks from it (rare ids more often), so two documents share a sign with
 the probability of their idf-weighted similarity, and those that do lie
-together. A sign with more than a neighbourhood's ids is parted by the second
-sign, and a pair of signs by a hash of the document's id. What is counted for
-that on the driver is at most two rows an id of the vocabulary.
+together. A first sign with more than a neighbourhood's ids is parted by the
+second, and a pair of signs by a hash of the document's id. What is counted for
+that on the driver is at most 2 * IDS rows.
 
 A neighbourhood's inverted index, with BM25 weights under the statistics of the
 whole corpus, is cut into shards of SHARD_BYTES; all terms of a seed document
@@ -41,7 +42,7 @@ from assayer.llm.tables import written
 SHARD_BYTES = 8 << 20
 NEAR_BYTES = 4 << 20
 #: Pairs of signs and signs that the driver counts: one for each possible id.
-IDS = 1 << 16
+IDS, COMMON = 1 << 16, 64
 K1, B = 1.2, 0.75
 END = 2
 
@@ -213,27 +214,36 @@ def at_powers_of_two(pieces: list[tuple[int, int, int, int, int]], window: int)
     return out
 
 
-def sign_ranks(idf: np.ndarray) -> np.ndarray:
-    """(2, IDS): for each of the two signs the order in which ids are preferred, an exponential race with idf as the rate."""
+def sign_tables(idf: np.ndarray, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(2, IDS): for each of the two signs the order in which ids are preferred, an exponential race with idf as the rate; and
+    for the COMMON commonest ids that at most half of all documents have their number, COMMON for all others."""
     race = np.random.default_rng(20).exponential(size=(2, len(idf))) / np.maximum(idf, 1e-12)
-    return np.argsort(np.argsort(race, axis=1, kind="stable"), axis=1)
+    kind = np.full(len(idf), COMMON)
+    often = np.argsort(-np.where(2 * df <= n, df, 0), kind="stable")[:COMMON]
+    kind[often] = np.arange(COMMON)
+    return np.argsort(np.argsort(race, axis=1, kind="stable"), axis=1), kind
 
 
-def _signs(ids: pa.Array, ranks: np.ndarray) -> np.ndarray:
-    """(2, rows): the most preferred id's rank; every row has an id, the end."""
+def _signs(ids: pa.Array, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first, second) sign of each row: which common id it has most often with the first sign, folded into IDS values; the second sign."""
+    ranks, kind = tables
     flat, counts = _flat(ids)
     starts = np.cumsum(counts) - counts
-    return np.array([np.minimum.reduceat(r[flat], starts) if len(counts) else starts for r in ranks])
+    if not len(counts):
+        return starts, starts
+    a, b = (np.minimum.reduceat(r[flat], starts) for r in ranks)  # every row has an id, the end
+    often = np.bincount(np.repeat(np.arange(len(counts)), counts) * (COMMON + 1) + kind[flat], minlength=len(counts) * (COMMON + 1)).reshape(len(counts), -1)[:, :COMMON].argmax(axis=1)
+    return often * (IDS // COMMON) + a % (IDS // COMMON), b
 
 
-def dealt(tokens: DataFrame, idf: np.ndarray, key: str, total: int) -> DataFrame:
+def dealt(tokens: DataFrame, tables: tuple[np.ndarray, np.ndarray], key: str, total: int) -> DataFrame:
     """key, ids, _hash, _near: the neighbourhood of each document of a table that tokenised() made."""
     context, each = tokens.sparkSession.sparkContext, max(1, NEAR_BYTES // 2)
-    ranks = context.broadcast(sign_ranks(idf))
+    signs = context.broadcast(tables)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cell = _signs(b.column(0), ranks.value)
+            cell = _signs(b.column(0), signs.value)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cell, _flat(b.column(0))[1])], names=["a", "b", "n"])
 
     cells = written(tokens.select("ids").mapInArrow(sign, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "packing-signs")
@@ -247,7 +257,7 @@ def dealt(tokens: DataFrame, idf: np.ndarray, key: str, total: int) -> DataFrame
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, start, size = sent.value
         for b in batches:
-            a, c = _signs(b.column(1), ranks.value)
+            a, c = _signs(b.column(1), signs.value)
             at = np.minimum(np.searchsorted(code, a << 17 | c + 1), len(code) - 1)
             alone = code[at] == a << 17 | c + 1
             at = np.where(alone, at, np.searchsorted(code, a << 17))
@@ -289,4 +299,4 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
             "doc_tokens": np.array([len(x) for x in ids], np.int64)[doc], "sequence_id": sequences, "offset": offset,
         })
 
-    return dealt(tokens, idf, key, total or 0).groupBy("_near").applyInArrow(run, out)
+    return dealt(tokens, sign_tables(idf, df, n), key, total or 0).groupBy("_near").applyInArrow(run, out)
