@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.plans import agreement_queries, reliability_queries, stat_queries
+from assayer.plans import agreement_queries, frame_queries, reliability_queries, stat_queries
 
-_PARTS = (agreement_queries, stat_queries, reliability_queries)
+_PARTS = (agreement_queries, stat_queries, reliability_queries, frame_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.Q.items()}
 ORACLES: dict[str, str] = {name: text for part in _PARTS for name, text in part.SQL.items()}

@@ -19,6 +19,14 @@ def fit(rows: DataFrame, features: str, label: str, c: float = 1.0, iterations:
     return LogisticRegression(featuresCol="_features", labelCol=label, family="multinomial", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=iterations).fit(_vectors(kept, features))
 
 
+def save(model: LogisticRegressionModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> LogisticRegressionModel:
+    return LogisticRegressionModel.load(path)
+
+
 def predict(model: LogisticRegressionModel, rows: DataFrame, features: str) -> DataFrame:
     """Adds prediction and confidence (the largest class probability)."""
     return model.transform(_vectors(rows, features)).withColumn("confidence", F.array_max(vector_to_array("probability"))).drop("_features", "rawPrediction", "probability")

@@ -74,12 +74,18 @@ def stratified(pool: DataFrame, name: str, n: int, stratum: str, weights: DataFr
 
 
 def by_weight(items: DataFrame, name: str, n: int, weight: str, key: str) -> DataFrame:
-    """n hashed draws with replacement in proportion to whole weights; each item keeps its first draw (offset inside it)."""
+    """n hashed draws with replacement in proportion to whole weights; a place (item, offset inside
+    it) that is drawn again keeps its first draw. The draws, not the items, are matched by bucket of 1/4,096 of the
+    weight, so neither side is broadcast nor scanned by the other."""
     span = items.select(key, F.col(weight).cast("long").alias("_w")).where("_w > 0")
     span = running(span, hash_bucket(name, F.col(key)), [F.col(key)], F.col("_w"), "_hi").withColumn("_lo", F.col("_hi") - F.col("_w"))
     total = span.agg(F.max("_hi").alias("_total"))
     points = items.sparkSession.range(n).withColumnRenamed("id", "_i").crossJoin(F.broadcast(total)).select("_i", draw(name, F.col("_total"), F.col("_i")).alias("_u"))
-    return F.broadcast(points).join(span, F.expr("_u >= _lo and _u < _hi")).select(key, F.col("_i").alias("draw"), (F.col("_u") - F.col("_lo")).alias("offset"))
+    width = F.greatest(F.ceil(F.col("_total") / 4096), F.lit(1)).cast("long")
+    points = points.crossJoin(F.broadcast(total)).withColumn("_at", F.floor(F.col("_u") / width))
+    span = span.crossJoin(F.broadcast(total)).select(key, "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))).alias("_at"))
+    hit = points.join(span, "_at").where("_u >= _lo and _u < _hi")
+    return hit.groupBy(key, (F.col("_u") - F.col("_lo")).alias("offset")).agg(F.min("_i").alias("draw")).select(key, "draw", "offset")
 
 
 def split(pool: DataFrame, name: str, sizes: dict[str, int], key: str = "frame_id") -> DataFrame:

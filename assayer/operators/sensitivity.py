@@ -9,7 +9,7 @@ from assayer.functions import vocab
 
 
 def headline_rates(responses: DataFrame, *by: str) -> DataFrame:
-    """by, n_ok, at_least_one, two_hands, manipulation (0.0 where nothing is ok), cost, latency and status counts."""
+    """by, n_ok, at_least_one, two_hands, manipulation (0.0 where nothing is ok) and status counts."""
     ok = F.col("status") == "ok"
     rate = lambda c: F.coalesce(F.avg(F.when(ok, F.when(c, 1.0).otherwise(0.0))), F.lit(0.0))
     return responses.groupBy(*by).agg(

@@ -87,7 +87,7 @@ _DRAW = "(('0x' || substr(md5(concat_ws(':', '777', '{name}', {parts})), 1, 12))
 @query("sample_by_weight", f"""WITH w AS (SELECT p_partkey AS item, p_size::BIGINT AS w, substr(md5('777:pool:' || p_partkey), 1, 3) AS b FROM part),
 c AS (SELECT item, w, sum(w) OVER (ORDER BY b, item) AS hi, sum(w) OVER () AS total FROM w),
 p AS (SELECT i, {_DRAW.format(name='pool', parts='i', mod='(SELECT max(total) FROM c)')} AS u FROM range(500) t(i))
-SELECT item, i AS draw, (u - (hi - w))::BIGINT AS "offset" FROM p JOIN c ON u >= hi - w AND u < hi""")
+SELECT item, (u - (hi - w))::BIGINT AS "offset", min(i) AS draw FROM p JOIN c ON u >= hi - w AND u < hi GROUP BY 1, 2""")
 def sample_by_weight(spark, d):
     items = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_size").cast("long").alias("w"))
     return S.by_weight(items, "pool", 500, "w", "item")
@@ -104,17 +104,12 @@ def interleave_arms(spark, d):
     return S.interleave(_ids(spark, d).select("frame_id", "corpus"), "corpus", "review")
 
 
-@query("replace_undecodable", """WITH m AS (SELECT doc_id AS frame_id, row_number() OVER (ORDER BY doc_id) AS position FROM documents WHERE doc_id < 100), r AS (SELECT doc_id AS spare, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE doc_id BETWEEN 100 AND 199),
+@query("replace_undecodable", """WITH m AS (SELECT doc_id AS frame_id, row_number() OVER (ORDER BY doc_id) AS position FROM documents WHERE lang = 'en'), r AS (SELECT doc_id AS spare, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE lang <> 'en'),
 b AS (SELECT *, row_number() OVER (ORDER BY position) AS k FROM m WHERE frame_id % 17 = 0)
 SELECT frame_id, position FROM m WHERE frame_id % 17 <> 0 UNION ALL SELECT spare, position FROM b JOIN r USING (k)""")
 def replace_undecodable(spark, d):
-    ids = _ids(spark, d).select("frame_id")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(0)).orderBy("frame_id")
-    members = ids.where("frame_id < 100").withColumn("position", F.row_number().over(w))
-    reserve = ids.where("frame_id between 100 and 199").withColumn("position", F.row_number().over(w))
-    return S.replace_undecodable(members, reserve, F.col("frame_id") % 17 == 0)
+    place = lambda where: S.ranked(_ids(spark, d).where(where).select("frame_id"), "frame_id", "position")
+    return S.replace_undecodable(place("corpus = 'en'"), place("corpus <> 'en'"), F.col("frame_id") % 17 == 0)
 
 
 _B = 400
@@ -348,26 +343,19 @@ def review_changes(spark, d):
     return M.changed_by_arm(p, "corpus")
 
 
-@query("thumbnail_atlas", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, ceil(sqrt(count(*) OVER ()))::BIGINT AS c FROM documents WHERE doc_id < 300) SELECT doc_id, (i % c * 160)::BIGINT AS x, (i // c * 90)::BIGINT AS y FROM r")
+@query("thumbnail_atlas", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, ceil(sqrt(count(*) OVER ()))::BIGINT AS c FROM documents) SELECT doc_id, (i % c * 160)::BIGINT AS x, (i // c * 90)::BIGINT AS y FROM r")
 def thumbnail_atlas(spark, d):
-    return M.thumbnails(table(spark, d, "documents").where("doc_id < 300").select("doc_id"), "doc_id", 160, 90)
-
-
-@query("tag_sets", "SELECT doc_id FROM documents WHERE false UNION ALL SELECT count(*) FROM (SELECT DISTINCT lang FROM documents EXCEPT SELECT 'en')")
-def tag_sets(spark, d):
-    tags = table(spark, d, "documents").agg(F.collect_set("lang").alias("declared")).withColumn("referenced", F.array(F.lit("en")))
-    orphan, _ = M.shared_tags(F.col("declared"), F.col("referenced"))
-    return tags.select(F.size(orphan).cast("long").alias("doc_id"))
+    return M.thumbnails(table(spark, d, "documents").select("doc_id"), "doc_id", 160, 90)
 
 
 @query("power_of_two_proportions", None)
 def power_of_two_proportions(spark, d):
     from assayer.operators.simulate import two_proportion_power
 
-    return two_proportion_power(spark, [0.05, 0.1, 0.2, 0.3], 200, 0.05, 2_000)
+    return two_proportion_power(spark, [0.05, 0.1, 0.2, 0.3], 200, 0.05, 20_000)
 
 
-@query("tar_manifest", None)
+@query("tar_manifest", "SELECT * FROM (VALUES ('shard0.tar', 'clip00', 512, 700, 2048), ('shard0.tar', 'clip01', 3072, 1400, 5120), ('shard0.tar', 'clip02', 6144, 2100, 9216), ('shard1.tar', 'clip10', 512, 700, 2048), ('shard1.tar', 'clip11', 3072, 1400, 5120)) t(shard, stem, mp4_offset, mp4_size, json_offset)")
 def tar_manifest(spark, d):
     from assayer.sources.tar import demo_shards
 
@@ -385,15 +373,18 @@ def card_verdict(spark, d):
 
 @query("probe_fidelity", None)
 def probe_fidelity(spark, d):
-    from assayer.operators.probe import fidelity, fit, predict
+    from assayer.operators.probe import fidelity, fit, load, predict, save
+    from assayer.sources.shared import shared_folder
 
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), F.col("embedding"), F.col("label").cast("double").alias("teacher"))
     model = fit(rows.where("frame_id % 5 <> 0"), "embedding", "teacher")
-    return fidelity(predict(model, rows.where("frame_id % 5 = 0"), "embedding"), "teacher")
+    path = shared_folder(spark, "probe")
+    save(model, path)
+    return fidelity(predict(load(path), rows.where("frame_id % 5 = 0"), "embedding"), "teacher")
 
 
-@query("response_log_stream", "SELECT user_id AS frame_id, event_type AS prompt_variant, 1::BIGINT AS n FROM events GROUP BY 1, 2")
+@query("response_log_stream", "SELECT user_id AS frame_id, event_type AS prompt_variant, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def response_log_stream(spark, d):
     from assayer.streaming.log import replay_first_wins
 
-    return replay_first_wins(events(spark, d).select(F.col("user_id").alias("frame_id"), F.col("event_type").alias("prompt_variant"), "event_id"))
+    return replay_first_wins(events(spark, d).select(F.col("user_id").alias("frame_id"), F.col("event_type").alias("prompt_variant"), "event_id"), "event_id")

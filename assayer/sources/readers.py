@@ -65,6 +65,6 @@ def unpinned_revisions(frames: DataFrame, pins: DataFrame) -> DataFrame:
 
 def markdown_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of the tables in a Markdown file that have the wanted number of cells, header and rule left out."""
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     rows = spark.read.text(path).where(F.trim("value").startswith("|")).select(cells.alias("c")).where((F.size("c") == len(columns)) & ~F.col("c")[0].rlike(r"^:?-+:?$"))
     return rows.select(*[F.col("c")[i].alias(n) for i, n in enumerate(columns)]).where(F.col(columns[0]) != columns[0])

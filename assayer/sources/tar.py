@@ -5,13 +5,15 @@ from __future__ import annotations
 import io
 import os
 import tarfile
-import tempfile
 from collections.abc import Callable, Iterator
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from assayer.sources.shared import shared_folder
+
 BLOCK = 512
 
 
@@ -21,7 +23,10 @@ def members(read: Callable[[int, int], bytes]) -> Iterator[tuple[str, int, int]]
     while len(head := read(at, BLOCK)) == BLOCK and head.strip(b"\0"):
         name = head[:100].split(b"\0", 1)[0].decode("utf-8", "replace")
         prefix = head[345:500].split(b"\0", 1)[0].decode("utf-8", "replace") if head[257:262] == b"ustar" else ""
-        size = int(head[124:136].strip(b" \0") or b"0", 8)
+        field = head[124:136].strip(b" \0") or b"0"
+        if field.strip(b"01234567"):  # not a header any more: the walk ends here
+            return
+        size = int(field, 8)
         if head[156:157] in (b"0", b"\0"):
             yield (f"{prefix}/{name}" if prefix else name), at + BLOCK, size
         at += BLOCK + -(-size // BLOCK) * BLOCK
@@ -41,7 +46,8 @@ class _Reader(DataSourceReader):
         return [_Shard(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        fs, path = FileSystem.from_uri(partition.path)
+        with fs.open_input_file(path) as f:
 
             def at(offset: int, size: int) -> bytes:
                 f.seek(offset)
@@ -52,7 +58,7 @@ class _Reader(DataSourceReader):
 
 
 class TarMembers(DataSource):
-    """format("tar_members").option("paths", "a.tar,b.tar"): one partition a shard, paths that every executor sees."""
+    """format("tar_members").option("paths", "a.tar,b.tar"): one partition a shard, paths or URIs that every executor sees."""
 
     @classmethod
     def name(cls) -> str:
@@ -78,16 +84,21 @@ def extension_histogram(found: DataFrame) -> DataFrame:
 
 
 def demo_shards(spark: SparkSession) -> DataFrame:
-    """Clips of two small shards written for the purpose: the registered example, for a single machine."""
-    folder, paths = tempfile.mkdtemp(prefix="assayer-tar-"), []
+    """Clips of two small shards written to the shared folder for the purpose: the registered example."""
+    folder, paths = shared_folder(spark, "tar"), []
     for s in range(2):
-        paths.append(os.path.join(folder, f"shard{s}.tar"))
-        with tarfile.open(paths[-1], "w", format=tarfile.USTAR_FORMAT) as t:
+        whole = io.BytesIO()
+        with tarfile.open(fileobj=whole, mode="w", format=tarfile.USTAR_FORMAT) as t:
             for i in range(3):
                 for ext, body in (("mp4", b"x" * (700 * (i + 1))), ("json", b"{}")):
                     if (s, i, ext) != (1, 2, "json"):
                         info = tarfile.TarInfo(f"clip{s}{i}.{ext}")
                         info.size = len(body)
                         t.addfile(info, io.BytesIO(body))
+        paths.append(f"{folder}/shard{s}.tar")
+        fs, path = FileSystem.from_uri(paths[-1])
+        fs.create_dir(os.path.dirname(path))
+        with fs.open_output_stream(path) as f:
+            f.write(whole.getvalue())
     spark.dataSource.register(TarMembers)
     return clips(spark.read.format("tar_members").option("paths", ",".join(paths)).load())

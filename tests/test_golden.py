@@ -1,5 +1,6 @@
 """Hand-derived values, edge cases and invariances of the statistics."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from assayer.operators import agreement as A
 from assayer.operators import compare as M
 from assayer.operators import pairing as P
 from assayer.operators import prevalence as V
-from assayer.operators import report, sampling, sensitivity, simulate
+from assayer.operators import frames, judging, report, sampling, sensitivity, simulate
 from assayer.sources import tar
 from assayer.streaming import log
 
@@ -147,9 +148,10 @@ def test_resume():
 def test_stream_resumes(spark, tmp_path):
     folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     row = lambda f, s: (f, "j", "1", "P0", None, None, None, "", s, 1, 0.0)
-    for rows in ([row("a", "timeout"), row("b", "error")], [row("a", "ok"), row("c", "error")]):
+    late = ("a", "j", "1", "P0", None, None, None, "", "refused", 2, 0.0)
+    for rows in ([late, row("a", "timeout"), row("b", "error")], [row("a", "ok"), row("c", "error")]):
         spark.createDataFrame(rows, schemas.RESPONSE).coalesce(1).write.mode("append").json(folder)
-        log.write_once(log.first_answers(log.responses(spark, folder)), out, mark).awaitTermination()
+        log.keep_first(log.responses(spark, folder), out, mark, "latency_ms").awaitTermination()
     got = {r.frame_id: r.status for r in spark.read.parquet(out).collect()}
     assert got == {"a": "timeout", "b": "error", "c": "error"}
 
@@ -169,3 +171,40 @@ def test_ranks_are_not_made_in_one_task(spark):
         assert [r.k for r in sampling.ranked(spark.createDataFrame([("b",), (None,), ("a",)], "k string"), "k", "r").orderBy("r").collect()] == [None, "a", "b"]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_judge_errors_are_records(spark):
+    def ask(texts):
+        if texts.str.contains("broken").any():
+            raise ValueError("cannot read")
+        return pd.DataFrame({"hands_visible": texts.str.len(), "manipulation": texts == "a", "raw": texts})
+
+    rows = spark.createDataFrame([(1, "a"), (2, "broken"), (3, "bb")], "frame_id long, text string").coalesce(1)
+    got = {r.frame_id: (r.hands_visible, r.manipulation, r.status, r.raw) for r in judging.judge_frames(rows, "D", "1", "P0", ask, "text").collect()}
+    assert got == {1: (1, True, "ok", "a"), 2: (None, None, "error", "ValueError: cannot read"), 3: (2, False, "ok", "bb")}
+    assert judging.judge_frames(rows.where("false"), "D", "1", "P0", ask, "text").count() == 0
+
+
+def test_tar_walk_ends_at_a_bad_header():
+    head = bytearray(512)
+    head[:1], head[124:135], head[156:157] = b"a", b"00000000001", b"0"
+    bad = bytearray(head)
+    bad[124:135] = b"0000000009x"
+    whole = bytes(head) + b"x" + bytes(511) + bytes(bad)
+    assert list(tar.members(lambda at, n: whole[at : at + n])) == [("a", 512, 1)]
+
+
+def test_frames(spark):
+    arm = spark.createDataFrame([(1,), (2,)], "frame_id long")
+    labels = spark.createDataFrame([(1, 2, True), (2, 0, False), (3, 1, True)], "frame_id long, hands int, manip boolean")
+    answers = spark.createDataFrame([(1, 0)], "frame_id long, hands_visible int")
+    assert sorted(map(tuple, frames.vendor_arm(answers, labels, arm, "v", "hands", "manip").collect())) == [(1, 0), (2, 0)]
+    shape = frames.vendor_response(labels, "v", "hands", "manip").where("frame_id = 1").first()
+    assert (shape.raw, shape.status, shape.confidence.kind, shape.judge_rev) == ("2\n---\nyes", "ok", "none", "unknown")
+    failed = frames.extraction_failures(arm, "A", F.lit("E"), F.repeat(F.lit("x"), 5000)).first()
+    assert (len(failed.raw), failed.status, failed.hands_visible) == (2000, "error", None)
+    assert frames.next_frame(arm, arm, "n").count() == 0
+    tags = spark.range(1).select(frames.closed_tags(F.lit("## Tags\n\n`a-b`,\n`c`\n\nRule: tag `c`, Tagged\n`x`"), "## Tags").alias("c"), frames.referenced_tags(F.lit("tag `c`, Tagged\n`x`, `y`")).alias("r")).first()
+    assert (tags.c, tags.r) == (["a-b", "c"], ["c", "x"])
+    fig = spark.range(1).select(*[frames.figure(F.lit('{"a": {"b": [0.12345, 12345]}}'), p, f).alias(f) for p, f in (("a.b.0", "pct1"), ("a.b.0", "ratio3"), ("a.b.1", "int_comma"), ("a.b.1", "raw_int"))]).first()
+    assert tuple(fig) == ("12.3", "0.123", "12,345", "12345")
