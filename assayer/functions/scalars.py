@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -153,5 +154,27 @@ def draw(name: str, modulus: Column, *parts: Column, seed: int = vocab.SEED) ->
     return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), modulus.cast("long"))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n!: exact below 16, Stirling's series from there (off by less than 1e-11)."""
+    x = n.cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < 16, F.get(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)]), n.cast("int"))).otherwise(series)
+
+
+def binomial(u: Column, n: Column, p: float) -> Column:
+    """The least k at which the distribution of n trials of probability p (0 < p < 1) reaches u: a draw, for uniform u.
+    Ten deviations about the mean are walked, about 20 * sqrt(n p (1 - p)) steps."""
+    mean, reach = n * p, 10 * F.sqrt(n * p * (1 - p)) + 10
+    lo, hi = F.greatest(F.lit(0), F.floor(mean - reach)).cast("long"), F.least(n, F.ceil(mean + reach)).cast("long")
+    first = F.exp(log_factorial(n) - log_factorial(lo) - log_factorial(n - lo) + lo * math.log(p) + (n - lo) * math.log1p(-p))
+    state = F.struct(first.alias("mass"), first.alias("sum"), lo.alias("k"))
+
+    def step(s: Column, j: Column) -> Column:
+        mass = s["mass"] * (n - j) / (j + 1) * (p / (1 - p))
+        return F.struct(mass.alias("mass"), (s["sum"] + mass).alias("sum"), F.when(s["sum"] >= u, s["k"]).otherwise(j + 1).alias("k"))
+
+    return F.when(n > 0, F.aggregate(F.sequence(lo, hi - 1), state, step, lambda s: s["k"])).otherwise(F.lit(0).cast("long"))
+
+
 def percent(value: Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", value * 100)

@@ -13,14 +13,18 @@ def _total(columns: list[Column]) -> Column:
     return reduce(add, columns)
 
 
-def _share(condition: Column) -> Column:
-    return F.avg(F.when(condition, 1.0).otherwise(0.0))
+def _share(condition: Column, weight: Column | None = None) -> Column:
+    if weight is None:
+        return F.avg(F.when(condition, 1.0).otherwise(0.0))
+    return F.sum(F.when(condition, weight).otherwise(0)) / F.sum(weight)
 
 
-def cells(pairs: DataFrame, a: str, b: str, space: tuple, by: list[str]) -> DataFrame:
-    """One row a group: n, raw agreement, and the marginals pa_i, pb_i over the fixed category space."""
-    marginals = [_share(F.col(c) == v).alias(f"p{c_}_{i}") for c_, c in (("a", a), ("b", b)) for i, v in enumerate(space)]
-    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _share(F.col(a) == F.col(b)).alias("raw"), *marginals)
+def cells(pairs: DataFrame, a: str, b: str, space: tuple, by: list[str], weight: Column | None = None) -> DataFrame:
+    """One row a group: n, raw agreement, and the marginals pa_i, pb_i over the fixed category space. A row stands for
+    as many pairs as its weight says."""
+    marginals = [_share(F.col(c) == v, weight).alias(f"p{c_}_{i}") for c_, c in (("a", a), ("b", b)) for i, v in enumerate(space)]
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return pairs.groupBy(*by).agg(n.alias("n"), _share(F.col(a) == F.col(b), weight).alias("raw"), *marginals)
 
 
 def _corrected(expected: Column) -> Column:
@@ -28,13 +32,13 @@ def _corrected(expected: Column) -> Column:
     return F.when(expected >= 1, 1.0).otherwise((F.col("raw") - expected) / (1 - expected))
 
 
-def agreement(pairs: DataFrame, a: str, b: str, space: tuple, *by: str) -> DataFrame:
+def agreement(pairs: DataFrame, a: str, b: str, space: tuple, *by: str, weight: Column | None = None) -> DataFrame:
     """by, n, raw, ac1 (Gwet), kappa (Cohen). No row for a group without pairs."""
     q = len(space)
     pi = [(F.col(f"pa_{i}") + F.col(f"pb_{i}")) / 2 for i in range(q)]
     chance_ac1 = _total([p * (1 - p) for p in pi]) / (q - 1)
     chance_kappa = _total([F.col(f"pa_{i}") * F.col(f"pb_{i}") for i in range(q)])
-    return cells(pairs, a, b, space, list(by)).select(*by, "n", "raw", _corrected(chance_ac1).alias("ac1"), _corrected(chance_kappa).alias("kappa"))
+    return cells(pairs, a, b, space, list(by), weight).select(*by, "n", "raw", _corrected(chance_ac1).alias("ac1"), _corrected(chance_kappa).alias("kappa"))
 
 
 def marginals(pairs: DataFrame, column: str, space: tuple, *by: str) -> DataFrame:

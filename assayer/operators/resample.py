@@ -2,18 +2,21 @@
 
 A cluster bootstrap draws clusters by a hash of (name, resample, draw); its
 input is one (sum, count) a cluster, so B resamples of C clusters are B * C
-small rows whatever the table's size, partitioned by resample. An iid bootstrap
-of categorical rows draws from the few distinct cells with their counts.
+small rows whatever the table's size. An iid bootstrap of categorical rows is
+multinomial over the distinct values: B rows a value, each count a binomial
+draw of what the values before it have left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.scalars import draw
+from assayer.functions.scalars import binomial, draw
 from assayer.operators.sampling import hash_bucket, running
 
+MAX_CELLS = 256
+
 
 def _interval(means: DataFrame, value: str, level: float, *by: str) -> DataFrame:
     q = F.percentile(value, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
@@ -24,9 +27,9 @@ def cluster_means(rows: DataFrame, value: str, cluster: str, name: str, resample
     """b, m: the mean of each resample of whole clusters."""
     stats = rows.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count(value).alias("_n"))
     stats = running(stats, hash_bucket(name, F.col(cluster)), [F.col(cluster)], F.lit(1), "_place").withColumn("_c", F.col("_place") - 1)
-    size = stats.agg(F.count(F.lit(1)).alias("_size"))
-    draws = rows.sparkSession.range(resamples).withColumnRenamed("id", "b").crossJoin(F.broadcast(size)).select("b", "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)).alias("_i"))
-    picked = draws.select("b", draw(name, F.col("_size"), F.col("b"), F.col("_i")).alias("_c"))
+    size = stats.count()
+    draws = rows.sparkSession.range(resamples * size).select(F.floor(F.col("id") / max(size, 1)).alias("b"), (F.col("id") % max(size, 1)).alias("_i"))
+    picked = draws.select("b", draw(name, F.lit(size), F.col("b"), F.col("_i")).alias("_c"))
     return picked.join(stats, "_c").groupBy("b").agg((F.sum("_s") / F.sum("_n")).alias("m"))
 
 
@@ -34,20 +37,27 @@ def cluster_interval(rows: DataFrame, value: str, cluster: str, name: str, resam
     return _interval(cluster_means(rows, value, cluster, name, resamples), "m", level)
 
 
-def cell_draws(cells: DataFrame, order: list[str], count: str, name: str, resamples: int) -> DataFrame:
-    """b and a cell for each of n draws a resample, n the rows the cells stand for: inverse of the cumulated counts."""
-    hi = F.sum(count).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    spans = cells.withColumn("_hi", hi).withColumn("_lo", F.col("_hi") - F.col(count))
-    total = cells.agg(F.sum(count).alias("_total"))
-    draws = cells.sparkSession.range(resamples).withColumnRenamed("id", "b").crossJoin(F.broadcast(total)).select("b", "_total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_total") - 1)).alias("_i"))
-    picked = draws.select("b", draw(name, F.col("_total"), F.col("b"), F.col("_i")).alias("_u"))
-    return picked.join(F.broadcast(spans), F.expr("_u >= _lo and _u < _hi"))
+def cell_draws(cells: DataFrame, values: list[str], count: str, name: str, resamples: int) -> DataFrame:
+    """b, the values of a cell and _drawn, how often resample b draws it: as many draws with replacement as the cells
+    stand for rows. The cells, at most MAX_CELLS, are read to the driver; more raise."""
+    found = cells.orderBy(*values).limit(MAX_CELLS + 1).collect()
+    if len(found) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} distinct values: resample clusters instead")
+    total = sum(c[count] for c in found)
+    drawn, left = cells.sparkSession.range(resamples).select(F.col("id").alias("b"), F.lit(total).cast("long").alias("_left")), total
+    for i, c in enumerate(found):
+        u = draw(name, F.lit(1 << 48), F.col("b"), F.lit(i)) / float(1 << 48)
+        k = binomial(u, F.col("_left"), c[count] / left) if c[count] < left else F.col("_left")
+        drawn, left = drawn.withColumn(f"_k{i}", k).withColumn("_left", F.col("_left") - F.col(f"_k{i}")), left - c[count]
+    kinds = {v: cells.schema[v].dataType for v in values}
+    rows = F.array(*[F.struct(*[F.lit(c[v]).cast(kinds[v]).alias(v) for v in values], F.col(f"_k{i}").alias("_drawn")) for i, c in enumerate(found)])
+    return drawn.select("b", F.inline(rows)).where("_drawn > 0") if found else drawn.select("b", *[F.lit(None).cast(kinds[v]).alias(v) for v in values], F.lit(0).cast("long").alias("_drawn")).where("false")
 
 
 def iid_means(rows: DataFrame, value: str, name: str, resamples: int) -> DataFrame:
     """b, m for a column of few distinct values (0/1 outcomes): resampled from its counts."""
     cells = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
-    return cell_draws(cells, ["_v"], "_k", name, resamples).groupBy("b").agg(F.avg("_v").alias("m"))
+    return cell_draws(cells, ["_v"], "_k", name, resamples).groupBy("b").agg((F.sum(F.col("_v") * F.col("_drawn")) / F.sum("_drawn")).alias("m"))
 
 
 def iid_interval(rows: DataFrame, value: str, name: str, resamples: int, level: float = 0.95) -> DataFrame:
@@ -55,12 +65,12 @@ def iid_interval(rows: DataFrame, value: str, name: str, resamples: int, level:
 
 
 def ac1_interval(pairs: DataFrame, a: str, b: str, space: tuple, name: str, resamples: int, level: float = 0.95) -> DataFrame:
-    """Interval of AC1 recomputed on each resample of pairs, drawn from the q * q cells of the pairs."""
+    """Interval of AC1 recomputed on each resample of pairs, drawn as counts of the q * q cells of the pairs."""
     from assayer.operators.agreement import agreement
 
     cells = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("_k"))
     drawn = cell_draws(cells, [a, b], "_k", name, resamples)
-    return _interval(agreement(drawn, a, b, space, "b").withColumnRenamed("b", "resample"), "ac1", level)
+    return _interval(agreement(drawn, a, b, space, "b", weight=F.col("_drawn")).withColumnRenamed("b", "resample"), "ac1", level)
 
 
 def design_effect(clustered: DataFrame, iid: DataFrame) -> DataFrame:

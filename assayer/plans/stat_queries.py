@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.functions import scalars as X
-from assayer.functions import schemas
+from assayer.functions import schemas, vocab
 from assayer.operators import agreement as A
 from assayer.operators import calibration as C
 from assayer.operators import compare as M
@@ -112,7 +112,7 @@ def replace_undecodable(spark, d):
     return S.replace_undecodable(place("corpus = 'en'"), place("corpus <> 'en'"), F.col("frame_id") % 17 == 0)
 
 
-_B = 400
+_B = vocab.RESAMPLES
 _CLUSTER = f"""
 st AS (SELECT cluster, sum(manip::INT)::DOUBLE AS s, count(manip) AS n, row_number() OVER (ORDER BY substr(md5('777:h2:' || cluster), 1, 3), cluster) - 1 AS c FROM responses WHERE status='ok' AND judge='A' GROUP BY 1),
 sz AS (SELECT count(*) AS size FROM st),
@@ -120,11 +120,23 @@ dr AS (SELECT b, {_DRAW.format(name='h2', parts='b, i', mod='size')} AS c FROM r
 cm AS (SELECT b, sum(s) / sum(n) AS m FROM dr JOIN st USING (c) GROUP BY 1),
 ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM cm)
 """
+_UNIT = "(('0x' || substr(md5(concat_ws(':', '777', '{name}', b, {i})), 1, 12))::BIGINT) / 281474976710656.0::DOUBLE"
+
+
+def _binomial(frm: str, to: str, name: str, i: int, p: str, keep: str = "") -> str:
+    """CTE `to`: b, left_, k drawn from n trials (frm.left_) at p, and left_ less k, by the quantiles of the binomial."""
+    mass = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p))"
+    return f"""{to}_n AS (SELECT DISTINCT left_ AS n, {p} AS p FROM {frm}),
+{to}_k AS (SELECT n, p, unnest(range(greatest(0, floor(n * p - 10 * sqrt(n * p * (1 - p)) - 10))::BIGINT, least(n, ceil(n * p + 10 * sqrt(n * p * (1 - p)) + 10))::BIGINT + 1)) AS k FROM {to}_n),
+{to}_c AS (SELECT n, k, sum({mass}) OVER (PARTITION BY n ORDER BY k) AS c FROM {to}_k),
+{to} AS (SELECT b, {keep} n - k AS left_, k AS k{i} FROM (SELECT b, {keep} left_ AS n, coalesce(min(k) FILTER (c >= {_UNIT.format(name=name, i=i)}), max(k)) AS k FROM {frm} JOIN {to}_c ON left_ = n GROUP BY ALL))"""
+
+
 _IID = f"""
-k AS (SELECT manip::INT::DOUBLE AS v, count(*) AS k FROM responses WHERE status='ok' AND judge='A' GROUP BY 1),
-sp AS (SELECT v, sum(k) OVER (ORDER BY v) AS hi, k, sum(k) OVER () AS total FROM k),
-idr AS (SELECT b, {_DRAW.format(name='iid', parts='b, i', mod='(SELECT max(total) FROM sp)')} AS u FROM range({_B}) t(b), range((SELECT max(total)::BIGINT FROM sp)) x(i)),
-im AS (SELECT b, avg(v) AS m FROM idr JOIN sp ON u >= hi - k AND u < hi GROUP BY 1),
+t AS (SELECT count(manip)::BIGINT AS n, avg((NOT manip)::INT) AS p FROM responses WHERE status='ok' AND judge='A'),
+d0 AS (SELECT b, n AS left_ FROM range({_B}) x(b), t),
+{_binomial('d0', 'd1', 'iid', 0, '(SELECT p FROM t)')},
+im AS (SELECT left_ / (SELECT n FROM t)::DOUBLE AS m FROM d1),
 ii AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM im)
 """
 
@@ -150,13 +162,16 @@ def design_effect(spark, d):
     return e.select(*[R(c) for c in ("c_lo", "c_hi", "i_lo", "i_hi", "design_effect")])
 
 
-@query("ac1_bootstrap", sql(f"""WITH k AS (SELECT manip, gold_manip, count(*) AS k FROM ok_pairs WHERE judge='B' GROUP BY 1, 2), sp AS (SELECT *, sum(k) OVER (ORDER BY manip, gold_manip) AS hi, sum(k) OVER () AS total FROM k),
-dr AS (SELECT b, {_DRAW.format(name='ac1', parts='b, i', mod='(SELECT max(total) FROM sp)')} AS u FROM range(200) t(b), range((SELECT max(total)::BIGINT FROM sp)) x(i)),
-c AS (SELECT b, avg((manip = gold_manip)::INT) AS raw, (avg(manip::INT) + avg(gold_manip::INT)) / 2 AS p FROM dr JOIN sp ON u >= hi - k AND u < hi GROUP BY 1),
-a AS (SELECT CASE WHEN 2*p*(1-p) >= 1 THEN 1 ELSE (raw - 2*p*(1-p)) / (1 - 2*p*(1-p)) END AS ac1 FROM c)
-SELECT round(quantile_cont(ac1, 0.025), 6) AS lo, round(quantile_cont(ac1, 0.975), 6) AS hi FROM a"""))
+@query("ac1_bootstrap", sql(f"""WITH t AS (SELECT count(*)::BIGINT AS n, count(*) FILTER (NOT manip AND NOT gold_manip) AS a, count(*) FILTER (NOT manip AND gold_manip) AS b, count(*) FILTER (manip AND NOT gold_manip) AS c FROM ok_pairs WHERE judge='B'),
+d0 AS (SELECT r AS b, n AS left_ FROM range({_B}) x(r), t),
+{_binomial('d0', 'd1', 'ac1', 0, '(SELECT a / n FROM t)')},
+{_binomial('d1', 'd2', 'ac1', 1, '(SELECT b / (n - a) FROM t)', 'k0,')},
+{_binomial('d2', 'd3', 'ac1', 2, '(SELECT c / (n - a - b) FROM t)', 'k0, k1,')},
+s AS (SELECT (k0 + left_) / n AS raw, (2 * left_ + k1 + k2) / (2 * n) AS p FROM d3, (SELECT n::DOUBLE AS n FROM t)),
+e AS (SELECT CASE WHEN 2*p*(1-p) >= 1 THEN 1 ELSE (raw - 2*p*(1-p)) / (1 - 2*p*(1-p)) END AS ac1 FROM s)
+SELECT round(quantile_cont(ac1, 0.025), 6) AS lo, round(quantile_cont(ac1, 0.975), 6) AS hi FROM e"""))
 def ac1_bootstrap(spark, d):
-    return B.ac1_interval(ok_pairs(spark, d).where("judge = 'B'"), "manip", "gold_manip", (False, True), "ac1", 200).select(R("lo"), R("hi"))
+    return B.ac1_interval(ok_pairs(spark, d).where("judge = 'B'"), "manip", "gold_manip", (False, True), "ac1", _B).select(R("lo"), R("hi"))
 
 
 @query("cluster_sizes", sql("SELECT count(*) AS clusters, sum(n)::BIGINT AS observations, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS most FROM (SELECT cluster, count(*) AS n FROM responses WHERE status='ok' AND judge='A' GROUP BY 1)"))

@@ -10,7 +10,7 @@ from assayer.operators import agreement as A
 from assayer.operators import compare as M
 from assayer.operators import pairing as P
 from assayer.operators import prevalence as V
-from assayer.operators import frames, judging, report, sampling, sensitivity, simulate
+from assayer.operators import frames, judging, report, resample, sampling, sensitivity, simulate
 from assayer.sources import tar
 from assayer.streaming import log
 
@@ -208,3 +208,24 @@ def test_frames(spark):
     assert (tags.c, tags.r) == (["a-b", "c"], ["c", "x"])
     fig = spark.range(1).select(*[frames.figure(F.lit('{"a": {"b": [0.12345, 12345]}}'), p, f).alias(f) for p, f in (("a.b.0", "pct1"), ("a.b.0", "ratio3"), ("a.b.1", "int_comma"), ("a.b.1", "raw_int"))]).first()
     assert tuple(fig) == ("12.3", "0.123", "12,345", "12345")
+
+
+def test_binomial_draws(spark):
+    from math import comb
+
+    grid = [(u, n, p) for p in (0.03, 0.5, 0.9) for n in (1, 7, 40, 300) for u in (0.0001, 0.2, 0.5, 0.77, 0.9999)]
+    for p in (0.03, 0.5, 0.9):
+        mine = [(u, n) for u, n, q in grid if q == p]
+        got = spark.createDataFrame(mine, "u double, n long").select("u", "n", X.binomial(F.col("u"), F.col("n"), p).alias("k")).collect()
+        for r in got:
+            total = 0.0
+            for k in range(r.n + 1):
+                total += comb(r.n, k) * p**k * (1 - p) ** (r.n - k)
+                if total >= r.u:
+                    break
+            assert r.k == k
+    cells = spark.createDataFrame([("a", 10), ("b", 30), ("c", 60)], "v string, k long")
+    drawn = resample.cell_draws(cells, ["v"], "k", "t", 2000)
+    assert {r.n for r in drawn.groupBy("b").agg(F.sum("_drawn").alias("n")).collect()} == {100}
+    assert {r.v: round(r.m) for r in drawn.groupBy("v").agg((F.sum("_drawn") / 2000).alias("m")).collect()} == {"a": 10, "b": 30, "c": 60}
+    assert resample.cell_draws(cells.where("false"), ["v"], "k", "t", 5).count() == 0
