@@ -39,14 +39,14 @@ def cluster_interval(rows: DataFrame, value: str, cluster: str, name: str, resam
 
 def cell_draws(cells: DataFrame, values: list[str], count: str, name: str, resamples: int) -> DataFrame:
     """b, the values of a cell and _drawn, how often resample b draws it: as many draws with replacement as the cells
-    stand for rows. The cells, at most MAX_CELLS, are read to the driver; more raise."""
+    stand for rows. A cell's draws are hashed by its values, so cells without rows change nothing. The cells, at most MAX_CELLS, are read to the driver; more raise."""
     found = cells.orderBy(*values).limit(MAX_CELLS + 1).collect()
     if len(found) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} distinct values: resample clusters instead")
     total = sum(c[count] for c in found)
     drawn, left = cells.sparkSession.range(resamples).select(F.col("id").alias("b"), F.lit(total).cast("long").alias("_left")), total
     for i, c in enumerate(found):
-        u = draw(name, F.lit(1 << 48), F.col("b"), F.lit(i)) / float(1 << 48)
+        u = draw(name, F.lit(1 << 48), F.col("b"), F.lit("/".join(str(c[v]).lower() for v in values))) / float(1 << 48)
         k = binomial(u, F.col("_left"), c[count] / left) if c[count] < left else F.col("_left")
         drawn, left = drawn.withColumn(f"_k{i}", k).withColumn("_left", F.col("_left") - F.col(f"_k{i}")), left - c[count]
     kinds = {v: cells.schema[v].dataType for v in values}

@@ -123,19 +123,19 @@ ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM
 _UNIT = "(('0x' || substr(md5(concat_ws(':', '777', '{name}', b, {i})), 1, 12))::BIGINT) / 281474976710656.0::DOUBLE"
 
 
-def _binomial(frm: str, to: str, name: str, i: int, p: str, keep: str = "") -> str:
+def _binomial(frm: str, to: str, name: str, i: int, cell: str, p: str, keep: str = "") -> str:
     """CTE `to`: b, left_, k drawn from n trials (frm.left_) at p, and left_ less k, by the quantiles of the binomial."""
-    mass = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p))"
+    mass = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(greatest(p, 1e-300)) + (n - k) * ln(greatest(1 - p, 1e-300)))"
     return f"""{to}_n AS (SELECT DISTINCT left_ AS n, {p} AS p FROM {frm}),
 {to}_k AS (SELECT n, p, unnest(range(greatest(0, floor(n * p - 10 * sqrt(n * p * (1 - p)) - 10))::BIGINT, least(n, ceil(n * p + 10 * sqrt(n * p * (1 - p)) + 10))::BIGINT + 1)) AS k FROM {to}_n),
-{to}_c AS (SELECT n, k, sum({mass}) OVER (PARTITION BY n ORDER BY k) AS c FROM {to}_k),
-{to} AS (SELECT b, {keep} n - k AS left_, k AS k{i} FROM (SELECT b, {keep} left_ AS n, coalesce(min(k) FILTER (c >= {_UNIT.format(name=name, i=i)}), max(k)) AS k FROM {frm} JOIN {to}_c ON left_ = n GROUP BY ALL))"""
+{to}_c AS (SELECT n, p, k, sum({mass}) OVER (PARTITION BY n ORDER BY k) AS c FROM {to}_k),
+{to} AS (SELECT b, {keep} n - k AS left_, k AS k{i} FROM (SELECT b, {keep} left_ AS n, CASE WHEN max(p) <= 0 THEN 0 WHEN max(p) >= 1 THEN max(left_) ELSE coalesce(min(k) FILTER (c >= {_UNIT.format(name=name, i=repr(cell))}), max(k)) END AS k FROM {frm} JOIN {to}_c ON left_ = n GROUP BY ALL))"""
 
 
 _IID = f"""
 t AS (SELECT count(manip)::BIGINT AS n, avg((NOT manip)::INT) AS p FROM responses WHERE status='ok' AND judge='A'),
 d0 AS (SELECT b, n AS left_ FROM range({_B}) x(b), t),
-{_binomial('d0', 'd1', 'iid', 0, '(SELECT p FROM t)')},
+{_binomial('d0', 'd1', 'iid', 0, '0.0', '(SELECT p FROM t)')},
 im AS (SELECT left_ / (SELECT n FROM t)::DOUBLE AS m FROM d1),
 ii AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM im)
 """
@@ -164,9 +164,9 @@ def design_effect(spark, d):
 
 @query("ac1_bootstrap", sql(f"""WITH t AS (SELECT count(*)::BIGINT AS n, count(*) FILTER (NOT manip AND NOT gold_manip) AS a, count(*) FILTER (NOT manip AND gold_manip) AS b, count(*) FILTER (manip AND NOT gold_manip) AS c FROM ok_pairs WHERE judge='B'),
 d0 AS (SELECT r AS b, n AS left_ FROM range({_B}) x(r), t),
-{_binomial('d0', 'd1', 'ac1', 0, '(SELECT a / n FROM t)')},
-{_binomial('d1', 'd2', 'ac1', 1, '(SELECT b / (n - a) FROM t)', 'k0,')},
-{_binomial('d2', 'd3', 'ac1', 2, '(SELECT c / (n - a - b) FROM t)', 'k0, k1,')},
+{_binomial('d0', 'd1', 'ac1', 0, 'false/false', '(SELECT a / n FROM t)')},
+{_binomial('d1', 'd2', 'ac1', 1, 'false/true', '(SELECT b / (n - a) FROM t)', 'k0,')},
+{_binomial('d2', 'd3', 'ac1', 2, 'true/false', '(SELECT c / (n - a - b) FROM t)', 'k0, k1,')},
 s AS (SELECT (k0 + left_) / n AS raw, (2 * left_ + k1 + k2) / (2 * n) AS p FROM d3, (SELECT n::DOUBLE AS n FROM t)),
 e AS (SELECT CASE WHEN 2*p*(1-p) >= 1 THEN 1 ELSE (raw - 2*p*(1-p)) / (1 - 2*p*(1-p)) END AS ac1 FROM s)
 SELECT round(quantile_cont(ac1, 0.025), 6) AS lo, round(quantile_cont(ac1, 0.975), 6) AS hi FROM e"""))
