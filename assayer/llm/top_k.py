@@ -39,6 +39,8 @@ from assayer.llm import kernels as K
 from assayer.llm.tables import discard, pieces, volume, written
 
 SHARD_BYTES = 12 << 20
+#: What a row counts beside its text, so that many short texts make many shards.
+ROW_BYTES = 256
 QUERY_BYTES = 16 << 20
 BLOCK = 64
 #: Queries that are searched together, and blocks that are scored before thresholds rise again.
@@ -53,7 +55,7 @@ def _terms(texts: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     codes, tf, n, words = [], [], [], []
     for part in K.blocks(texts):
         h, c = K.word_hashes(part)
-        doc, h = np.repeat(np.arange(len(c)), c), h >> np.uint64(16)
+        doc = np.repeat(np.arange(len(c)), c)
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         at, ends = cuts_of_pairs(doc, h)
@@ -127,7 +129,7 @@ class Shard:
         self.rows = np.zeros((len(common), -(-n // BLOCK) * BLOCK), np.float32)
         often = self.row[term] >= 0
         self.rows[self.row[term[often]], self.doc[often]] = self.impact[often]
-        self.most = self.rows.reshape(len(common), -1, BLOCK).max(axis=2)
+        self.most = self.rows.reshape(len(common), -(-n // BLOCK), BLOCK).max(axis=2)
         order = np.argsort(self.doc, kind="stable")
         self.own_term, self.own_impact = term[order], self.impact[order]
         self.own_start = np.searchsorted(self.doc[order], np.arange(n + 1))
@@ -173,7 +175,7 @@ class Shard:
         size = self.own_start[d + 1] - self.own_start[d]
         e, pair = K.ranges(self.own_start[d], size), np.repeat(np.arange(len(d)), size)
         hit = wanted[q[pair], self.own_term[e]]
-        score = np.bincount(pair[hit], self.own_impact[e[hit]], len(d))
+        score = np.bincount(pair[hit], self.own_impact[e[hit]], len(d)).astype(np.float64)  # of nothing it counts in integers
         order = np.lexsort((self.ids[d], -score, q))
         q, d, score = q[order], d[order], score[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -229,7 +231,8 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", t
     """query_id, rank, key, score: for each row that is_query, the k best of all rows. Rows with a null id take no part."""
     sc = docs.sparkSession.sparkContext
     docs = docs.where(F.col(key).isNotNull())
-    n = pieces(volume(docs, text)[1], SHARD_BYTES)
+    rows, size = volume(docs, text)
+    n = pieces(size + ROW_BYTES * rows, SHARD_BYTES)
     plain = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(n)).alias("_shard"))
     single = plain.repartition("_shard").groupBy("_shard", key).agg(F.min("_text").alias("_text"))
     kinds = ", ".join(f"{c} binary" for c in _FIELDS)

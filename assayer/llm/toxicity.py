@@ -148,7 +148,7 @@ def char_counts(docs: DataFrame, text: str = "text") -> CharModel:
             for part in K.blocks(K.buffers(b.column(0))):
                 data = part.data.tobytes()
                 if data.isascii():
-                    code = np.frombuffer(data.lower(), np.uint8)
+                    code = np.frombuffer(data.lower(), np.uint8).astype(np.uint32)
                 else:
                     code = np.frombuffer(data.decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
                 sign = np.concatenate([[_END, _END], _SYMBOL[np.minimum(code, 0x24F)], [_END]]).astype(np.int64)
