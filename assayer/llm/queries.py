@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, media, near_dups, packing, pitman_yor, quality, repeats, top_k, toxicity, url_rules
+from assayer.llm import bpe, media, near_dups, packing, pitman_yor, quality, repeats, target_tries, top_k, toxicity, url_rules
 from assayer.llm.tables import table
 
 #: The vocabulary file of the registered queries; operators take any path.
@@ -67,6 +67,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.RULES)
 
 
+def op11_target_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_tries.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_repeats": op2_repeats,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dups": op8_near_dups,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
+    "op11_target_tries": op11_target_tries,
 }
 
 ORACLES: dict[str, str] = {"op10_url_filter": url_rules.ORACLE}
