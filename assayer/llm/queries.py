@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, media, near_dups, packing, pitman_yor, quality, repeats, target_tries, top_k, toxicity, url_rules
+from assayer.llm import bpe, collocations, media, near_dups, packing, pitman_yor, quality, repeats, target_tries, top_k, toxicity, url_rules
 from assayer.llm.tables import table
 
 #: The vocabulary file of the registered queries; operators take any path.
@@ -71,6 +71,10 @@ def op11_target_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_tries.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_repeats": op2_repeats,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
     "op11_target_tries": op11_target_tries,
+    "op12_collocations": op12_collocations,
 }
 
-ORACLES: dict[str, str] = {"op10_url_filter": url_rules.ORACLE}
+ORACLES: dict[str, str] = {"op10_url_filter": url_rules.ORACLE, "op12_collocations": collocations.ORACLE}
