@@ -240,11 +240,16 @@ def collocations(
 
 ORACLE = r"""
 WITH pieces AS (
-  SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(p, '[ \t]+'), lambda x: x <> '') AS w
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, list_filter(string_split_regex(p, '[ \t]+'), lambda x: x <> '') AS w
   FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), placed AS (
+  SELECT id, lang, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM pieces
+), nexts AS (
+  SELECT lang, a, lead(a, 1) OVER byid AS b, lead(a, 2) OVER byid AS c FROM placed WINDOW byid AS (PARTITION BY id ORDER BY i)
 ), runs AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
-  FROM pieces CROSS JOIN (VALUES (1), (2), (3)) AS t(k)
+  SELECT lang, 1 AS k, a AS phrase FROM nexts
+  UNION ALL SELECT lang, 2, a || ' ' || b FROM nexts WHERE b IS NOT NULL
+  UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c FROM nexts WHERE c IS NOT NULL
 ), f AS (
   SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 10
 ), cuts AS (

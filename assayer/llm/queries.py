@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, collocations, media, near_dups, packing, pitman_yor, quality, repeats, target_tries, top_k, toxicity, url_rules
+from assayer.llm import bpe, collocations, media, near_dups, neighbours, packing, pitman_yor, quality, repeats, target_tries, top_k, toxicity, url_rules
 from assayer.llm.tables import table
 
 #: The vocabulary file of the registered queries; operators take any path.
@@ -75,6 +75,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_repeats": op2_repeats,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_target_tries": op11_target_tries,
     "op12_collocations": op12_collocations,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLES: dict[str, str] = {"op10_url_filter": url_rules.ORACLE, "op12_collocations": collocations.ORACLE}
