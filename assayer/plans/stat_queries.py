@@ -396,10 +396,3 @@ def probe_fidelity(spark, d):
     path = shared_folder(spark, "probe")
     save(model, path)
     return fidelity(predict(load(path), rows.where("frame_id % 5 = 0"), "embedding"), "teacher")
-
-
-@query("response_log_stream", "SELECT user_id AS frame_id, event_type AS prompt_variant, min(event_id) AS event_id FROM events GROUP BY 1, 2")
-def response_log_stream(spark, d):
-    from assayer.streaming.log import replay_first_wins
-
-    return replay_first_wins(events(spark, d).select(F.col("user_id").alias("frame_id"), F.col("event_type").alias("prompt_variant"), "event_id"), "event_id")

@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from assayer.functions import schemas
-from assayer.operators.pairing import first_wins
-from assayer.sources.shared import shared_folder
-
-KEYS = ["frame_id", "prompt_variant"]
+from assayer.streaming.state import KEYS, first_answers, keyed_state
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,16 +16,14 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
 
 def keep_first(stream: DataFrame, path: str, checkpoint: str, arrival: str, keys: list[str] = KEYS):
     """Append the first answer of each key, by arrival within a batch and by batch, to a folder per batch, and stop when
-    all that is new is read. A batch that is run again replaces its own folder, so a resumed run neither repeats nor
-    loses a key. The log has no event time to bound what it must remember: that is the folder itself."""
-    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    all that is new is read. Which keys are taken is keyed state; a batch that is run again replaces its own folder, so
+    a resumed run neither repeats nor loses a key and no batch reads what earlier ones wrote."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        earlier = batch.sparkSession.read.schema(schema).parquet(path).where(F.col("batch") < batch_id).select(*keys)
-        first_wins(batch, keys, arrival).join(earlier, keys, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with keyed_state(stream.sparkSession):
+        return first_answers(stream, arrival, keys).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_rates(stream: DataFrame) -> DataFrame:
@@ -53,15 +47,3 @@ def resume_decision(n_done: int, n_total: int, n_total_before: int | None) -> st
     if n_total_before is not None and n_total_before != n_total:
         raise ValueError(f"the log is of a run over {n_total_before} records, not {n_total}")
     return "fresh" if not n_done else "done" if n_done >= n_total else "resume"
-
-
-def replay_first_wins(log: DataFrame, arrival: str, parts: int = 3) -> DataFrame:
-    """The log, arriving in parts, each streamed through keep_first by a run that resumes the one before."""
-    spark = log.sparkSession
-    base = shared_folder(spark, "stream")
-    marks = log.stat.approxQuantile(arrival, [i / parts for i in range(1, parts)], 0.01)
-    part = sum(((F.col(arrival) >= m).cast("int") for m in marks), F.lit(0))
-    for i in range(parts):
-        log.where(part == i).write.mode("append").parquet(f"{base}/in")
-        keep_first(spark.readStream.schema(log.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint", arrival).awaitTermination()
-    return spark.read.schema(log.schema).parquet(f"{base}/out").drop("batch")
