@@ -104,3 +104,12 @@ def self_agreement(repeats: DataFrame, value: str, on: str = "frame_id") -> Data
     """Share of frames whose repeats all gave one answer (all missing counts as one)."""
     per = repeats.groupBy(on).agg((F.count_distinct(value) + F.max(F.col(value).isNull().cast("int"))).alias("kinds"))
     return per.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("kinds") == 1, 1.0).otherwise(0.0)).alias("agreement"))
+
+
+def all_slices(rows: DataFrame, said: str, truth: str, *by: str) -> DataFrame:
+    """by, level, n, tp, fp, fn, tn, accuracy of two boolean columns for every subset of by at once; a column that a slice
+    does not hold fast is null, and level tells that null from one in the data (bit i from the right: the i-th last of by)."""
+    s, t = F.col(said), F.col(truth)
+    counts = {"tp": s & t, "fp": s & ~t, "fn": ~s & t, "tn": ~s & ~t}
+    found = rows.where(s.isNotNull() & t.isNotNull()).cube(*by).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in counts.items()])
+    return found.withColumn("accuracy", (F.col("tp") + F.col("tn")) / F.col("n"))
