@@ -16,8 +16,9 @@ table. So near queries stop early and far ones go on, and the recall aimed at is
 the same for both. What the tables meet is merged and ranked by exact inner
 products. A query that still has fewer than k neighbours visits every bucket.
 
-Buckets are dealt to cells by hash; a bucket of more than CELL_ROWS rows is dealt
-to as many cells as it needs, and the queries of a cell come in blocks of about
+Buckets are dealt to cells by hash; a bucket of more than CELL_ROWS rows (more in
+tables of over CELL_ROWS * LARGE / TABLES rows, so that the list of such buckets,
+which every task gets, stays bounded) is dealt to as many cells as it needs, and the queries of a cell come in blocks of about
 QUERY_ROWS, so a task holds one cell and one block. Equal vectors of a cell beyond
 the k + 1 of smallest id can be in no answer and are not compared. The sample
 only starts the bound; the index holds every vector.
@@ -41,12 +42,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.llm import kernels as K
 from assayer.llm.tables import cores, written
 
 TABLES, WIDTH = 2, 1.0
 #: Rows that a bucket has on average in a table of evenly spread vectors, while that takes no more projections than MOST.
 OCCUPANCY, MOST, BITS = 32, 12, 5
 CELL_ROWS, QUERY_ROWS = 4096, 8192
+#: Most buckets that are dealt to several cells; their list is sent to every task.
+LARGE = 1 << 20
 SAMPLE_ROWS, SAMPLE_BYTES = 1024, 8 << 20
 FIRST = 8
 SUCCESS = 0.95
@@ -158,63 +162,97 @@ def _by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield d, at, np.frombuffer(b"".join(b.column("x").take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), d)
 
 
-def _deal(dim: str, table: str, code: str, salt: Column, cells: int) -> Column:
-    return F.pmod(F.xxhash64(dim, table, code, salt), F.lit(cells)).cast("int")
+class Cells:
+    """Where buckets lie: one of `count` cells by hash, or several by hash of the id for the buckets of more rows than a cell."""
 
+    def __init__(self, count: int, large: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.count, self.large = count, large
 
-def _dealt(points: DataFrame, families: Broadcast, cells: int) -> tuple[DataFrame, DataFrame]:
-    """(cell, dim, code, id, x) of every point in every table; (dim, t, code, parts) of the buckets dealt to several cells."""
+    def parts(self, dim: int, bucket: np.ndarray) -> np.ndarray:
+        keys, parts = self.large.get(dim, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        if not len(keys):
+            return np.ones(len(bucket), np.int64)
+        at = np.minimum(np.searchsorted(keys, bucket), len(keys) - 1)
+        return np.where(keys[at] == bucket, parts[at], 1)
+
+    def of(self, dim: int, bucket: np.ndarray, part: np.ndarray) -> np.ndarray:
+        h = K.mix(bucket.astype(np.uint64) * K.MULT + np.uint64(dim))
+        return (K.mix(h + part.astype(np.uint64)) % np.uint64(self.count)).astype(np.int64)
+
+
+def _buckets(b: pa.RecordBatch, families: dict[int, Family]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dim, rows, their buckets in each table) of a batch of points."""
+    for d, at, x in _by_dim(b):
+        f = families[d]
+        yield d, at, f.codes(np.floor(f.of_points(x))) * TABLES + np.arange(TABLES)
+
+
+def _large(points: DataFrame, families: Broadcast, rows: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dim the buckets to deal to several cells, sorted, and to how many: at most LARGE of them, a larger table having larger cells."""
+    most = max(CELL_ROWS, -(-TABLES * rows // LARGE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = np.zeros((b.num_rows, TABLES), np.int64)
-            for d, at, x in _by_dim(b):
-                f = families.value[d]
-                codes[at] = f.codes(np.floor(f.of_points(x)))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * TABLES, pa.int32()), pa.array(codes.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("dim"), lists], names=["id", "dim", "codes"])
+            for d, _, bucket in _buckets(b, families.value):
+                keys, n = np.unique(bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(keys), pa.int32()), pa.array(keys), pa.array(n)], names=["dim", "bucket", "n"])
 
-    coded = points.select("id", "dim", "x").mapInArrow(run, "id long, dim int, codes array<long>")
-    coded = written(coded.select("id", "dim", F.posexplode("codes").alias("t", "code")), "neighbour-codes")
-    hot = coded.groupBy("dim", "t", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS)
-    hot = written(hot.select("dim", "t", "code", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts")), "neighbour-hot")
-    salt = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
-    placed = coded.join(hot, ["dim", "t", "code"], "left").select("id", _deal("dim", "t", "code", salt, cells).alias("cell"), "t", "code")
-    return placed.join(points.select("id", "dim", "x"), "id").select("cell", "dim", "t", "code", "id", "x"), hot
+    counted = points.select("dim", "x").mapInArrow(run, "dim int, bucket long, n long").groupBy("dim", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    out = {}
+    for r in counted.orderBy("dim", "bucket").collect():
+        keys, parts = out.setdefault(r["dim"], ([], []))
+        keys.append(r["bucket"])
+        parts.append(-(-r["n"] // most))
+    return {d: (np.array(k), np.array(p)) for d, (k, p) in out.items()}
 
 
-def _probed(queries: DataFrame, families: Broadcast, hot: DataFrame, cells: int, blocks: int, success: float, most: int | None) -> DataFrame:
-    """(cell, block, id, dim, x, least, codes): where each query looks, a row for a cell."""
+def _dealt(points: DataFrame, families: Broadcast, cells: Broadcast) -> DataFrame:
+    """(cell, dim, bucket, id, x) of every point in every table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            for d, at, bucket in _buckets(b, families.value):
+                salt = K.mix(ids[at].astype(np.uint64) * K.MULT)
+                for t in range(TABLES):
+                    parts = cells.value.parts(d, bucket[:, t])
+                    cell = cells.value.of(d, bucket[:, t], (salt % parts.astype(np.uint64)).astype(np.int64))
+                    rows = b.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), rows.column("dim"), pa.array(bucket[:, t]), rows.column("id"), rows.column("x")], names=["cell", "dim", "bucket", "id", "x"])
+
+    return points.select("id", "dim", "x").mapInArrow(run, "cell long, dim int, bucket long, id long, x binary")
+
+
+_ASKED = "cell long, id long, dim int, x binary, least double, buckets array<long>"
+
+
+def _probed(queries: DataFrame, families: Broadcast, cells: Broadcast, success: float, most: int | None) -> DataFrame:
+    """(cell, id, dim, x, least, buckets): where each query looks, a row for a cell."""
     each = 1 - (1 - success) ** (1 / TABLES)
 
+    def looks(f: Family, d: int, places: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+        bucket = np.concatenate([f.codes(probes(places[t], r, each, most)[0]) * TABLES + t for t in range(TABLES)])
+        parts = cells.value.parts(d, bucket)
+        many = np.repeat(bucket, parts)
+        return cells.value.of(d, many, np.arange(len(many)) - np.repeat(np.cumsum(parts) - parts, parts)), many
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             least, norm = b.column("least").to_numpy(zero_copy_only=False), b.column("norm").to_numpy()
             for d, at, x in _by_dim(b):
                 f = families.value[d]
                 places = f.of_queries(x)
-                for y in range(0, len(at), _STEP // 8):
-                    ids, tables, codes = [], [], []
-                    for i, row in zip(at[y : y + _STEP // 8].tolist(), places[y : y + _STEP // 8], strict=True):
-                        r = f.distance(norm[i], least[i])
-                        for t in range(TABLES):
-                            ids.append(i)
-                            tables.append(t)
-                            codes.append(f.codes(probes(row[t], r, each, most)[0]))
-                    ends = np.cumsum([0, *map(len, codes)])
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(codes)))
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids)), pa.array([d] * len(ids), pa.int32()), pa.array(tables, pa.int32()), lists], names=["id", "dim", "t", "codes"])
-
-    looks = queries.mapInArrow(run, "id long, dim int, t int, codes array<long>").select("id", "dim", "t", F.explode("codes").alias("code"))
-    salts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    looks = looks.join(F.broadcast(hot) if hot.count() < 100_000 else hot, ["dim", "t", "code"], "left").select("id", "dim", "t", "code", salts.alias("salt"))
-    looks = looks.groupBy("id", _deal("dim", "t", "code", F.col("salt"), cells).alias("cell")).agg(F.collect_set(F.col("code") * TABLES + F.col("t")).alias("codes"))
-    return _with_query(looks, queries, blocks)
-
-
-def _with_query(looks: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    return looks.join(queries.select("id", "dim", "x", "least"), "id").select("cell", block, "id", "dim", "x", "least", "codes")
+                for y in range(0, len(at), _STEP // 16):
+                    found = [(i, *looks(f, d, row, f.distance(norm[i], least[i]))) for i, row in zip(at[y : y + _STEP // 16].tolist(), places[y : y + _STEP // 16], strict=True)]
+                    who, cell, bucket = np.concatenate([np.full(len(c), i) for i, c, _ in found]), np.concatenate([c for _, c, _ in found]), np.concatenate([k for _, _, k in found])
+                    order = np.lexsort((bucket, cell, who))
+                    who, cell, bucket = who[order], cell[order], bucket[order]
+                    first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (cell[1:] != cell[:-1])]))
+                    rows = b.take(pa.array(who[first]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(who)), pa.int32()), pa.array(bucket))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[first]), *(rows.column(c) for c in ("id", "dim", "x", "least")), lists], names=["cell", "id", "dim", "x", "least", "buckets"])
+
+    return queries.mapInArrow(run, _ASKED)
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -237,7 +275,7 @@ def _compared(k: int):
 
     def of_dim(points: pa.Table, asked: pa.Table, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = np.frombuffer(b"".join(points.column("x").to_pylist()), np.float64).reshape(-1, d)
-        ids, bucket = points.column("id").to_numpy(), points.column("code").to_numpy() * TABLES + points.column("t").to_numpy()
+        ids, bucket = points.column("id").to_numpy(), points.column("bucket").to_numpy()
         # Of equal vectors in a bucket the k + 1 of smallest id.
         _, alike = np.unique(x.view(np.dtype((np.void, x.itemsize * d))).ravel(), return_inverse=True)
         order = np.lexsort((ids, alike, bucket))
@@ -249,11 +287,11 @@ def _compared(k: int):
         ends = np.append(first[1:], len(bucket))
         q = np.frombuffer(b"".join(asked.column("x").to_pylist()), np.float64).reshape(-1, d)
         own, least = asked.column("id").to_numpy(), asked.column("least").to_numpy()
-        lists = asked.column("codes").combine_chunks()
+        lists = asked.column("buckets").combine_chunks()
         size = lists.value_lengths().fill_null(0).to_numpy()
-        codes, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), size)
-        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        hit = known[at] == codes
+        sought, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), size)
+        at = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+        hit = known[at] == sought
         every = np.flatnonzero(lists.is_null().to_numpy(zero_copy_only=False))
         at, who = np.concatenate([at[hit], np.tile(np.arange(len(known)), len(every))]), np.concatenate([who[hit], np.repeat(every, len(known))])
         order = np.argsort(at, kind="stable")
@@ -293,6 +331,7 @@ def _compared(k: int):
 
 def _searched(dealt: DataFrame, asked: DataFrame, blocks: int, k: int) -> DataFrame:
     """query_id, id, score: each query's k best of each cell that it looks into."""
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     if blocks > 1:  # a cell goes once to each block that looks into it
         asked = written(asked, "neighbour-probes")
         looked = asked.select(F.col("cell").alias("_cell"), F.col("block").alias("_block")).distinct()
@@ -342,21 +381,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     families = {r["dim"]: Family(r["dim"], r["n"], r["m"]) for r in sizes}
     sent = spark.sparkContext.broadcast(families)
     rows = sum(r["n"] for r in sizes)
-    cells = max(2 * cores(spark), -(-TABLES * rows // CELL_ROWS))
-    queries = written(_bounded(points.where("asked"), points, families, k), "neighbour-queries")
+    cells = spark.sparkContext.broadcast(Cells(max(2 * cores(spark), -(-TABLES * rows // CELL_ROWS)), _large(points, sent, rows)))
+    asked = points.where("asked").repartition(max(cores(spark), rows // CELL_ROWS), "id")
+    queries = written(_bounded(asked, points, families, k), "neighbour-queries")
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    dealt, hot = _dealt(points, sent, cells)
-    dealt = written(dealt, "neighbour-cells")
+    dealt = written(_dealt(points, sent, cells), "neighbour-cells")
     search = lambda asked: written(_top(_searched(dealt, asked, blocks, k), k), "neighbour-found")
-    first = search(_probed(queries, sent, hot, cells, blocks, success, FIRST))
+    first = search(_probed(queries, sent, cells, success, FIRST))
     kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
     nearer = written(queries.join(kth, "id", "left").withColumn("least", F.greatest("least", F.coalesce("kth", F.lit(float("-inf"))))).drop("kth"), "neighbour-queries")
-    found = written(_top(first.drop("rank").unionByName(search(_probed(nearer, sent, hot, cells, blocks, success, None)).drop("rank")), k), "neighbour-found")
+    found = written(_top(first.drop("rank").unionByName(search(_probed(nearer, sent, cells, success, None)).drop("rank")), k), "neighbour-found")
     # What has fewer neighbours than there are looks everywhere.
     wanted = F.least(F.lit(k), F.element_at(F.create_map(*[F.lit(v) for r in sizes for v in (r["dim"], r["n"] - 1)]), F.col("dim"))) if sizes else F.lit(0)
     have = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("have"))
     short = written(queries.join(have, "id", "left").where(F.coalesce("have", F.lit(0)) < wanted).select("id", "dim", "norm", "x", F.lit(float("-inf")).alias("least")), "neighbour-short")
     if not short.isEmpty():
-        everywhere = short.select("id", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell")).withColumn("codes", F.lit(None).cast("array<long>"))
-        found = _top(found.drop("rank").unionByName(search(_with_query(everywhere, short, blocks)).drop("rank")), k)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells.value.count - 1).cast("long")))
+        everywhere = short.select(every.alias("cell"), "id", "dim", "x", "least", F.lit(None).cast("array<long>").alias("buckets"))
+        found = _top(found.drop("rank").unionByName(search(everywhere).drop("rank")), k)
     return found.select("query_id", "rank", F.col("id").alias(key), "score")

@@ -84,6 +84,14 @@ def test_small_tables(spark, n):
     compare(nb.nearest(table(spark, rows), F.lit(True)), brute(rows, lambda i: True), 0.9)
 
 
+def test_queries_that_find_too_few_look_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(nb, "FIRST", 1)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(24).tolist()) for i in range(1200)]
+    found = compare(nb.nearest(table(spark, rows), F.col("vec_id") % 40 == 0, success=0.02), brute(rows, lambda i: i % 40 == 0), 0)
+    assert all(len(f) == 20 for f in found.values())
+
+
 def test_no_queries(spark):
     assert nb.nearest(table(spark, [(1, [1.0]), (2, [2.0])]), F.lit(None).cast("boolean")).count() == 0
 
