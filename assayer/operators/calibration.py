@@ -54,3 +54,9 @@ def coverage_and_floor(rows: DataFrame, confidence: str, correct: str, limit: Da
     return joined.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.when(answered, 1.0).otherwise(0.0)), F.lit(0.0)).alias("coverage"), F.coalesce(F.avg(F.when(answered, F.col(correct).cast("double"))), F.lit(0.0)).alias("accuracy")
     )
+
+
+def required_threshold(rows: DataFrame, confidence: str, correct: str, key: str, floor: float = vocab.FLOOR, level: float = 0.95) -> DataFrame:
+    """threshold(), raising when run if no confidence reaches the floor: a cascade must not run without one."""
+    never = F.raise_error(F.lit(f"no threshold reaches the floor of {floor}")).cast("double")
+    return threshold(rows, confidence, correct, key, floor, level).select(F.when(F.col("threshold").isNull(), never).otherwise(F.col("threshold")).alias("threshold"), "answered")

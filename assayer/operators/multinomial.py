@@ -236,3 +236,15 @@ def design_effects(rows: DataFrame, tasks: DataFrame, value: str, cluster: str,
     width = F.col("iid_hi") - F.col("iid_lo")
     effect = F.when(width > 0, F.pow((F.col("cluster_hi") - F.col("cluster_lo")) / width, F.lit(2)))
     return out.withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "design_effect": effect, "why_absent": F.when(F.col("n").isNull(), "no answers that are ok for this task")})
+
+
+def ac1_intervals(pairs: DataFrame, a: str, b: str, space: tuple, by: list[str], resamples: int = vocab.RESAMPLES, level: float = 0.95) -> DataFrame:
+    """by, lo, hi: interval of AC1, recomputed on resamples of the pairs; pairs with a null answer take no part."""
+    half = lambda k: ((F.col(a) == k).cast("double") + (F.col(b) == k).cast("double")) / 2
+    cells = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_k"))
+    payload = {"_same": (F.col(a) == F.col(b)).cast("double"), "_one": F.lit(1.0)} | {f"_h{i}": half(k) for i, k in enumerate(space)}
+    sums = resample_sums(cells.withColumns(payload), by, [a, b], "_k", list(payload), resamples)
+    share = [F.col(f"_h{i}") / F.col("_one") for i in range(len(space))]
+    chance = sum((p * (1 - p) for p in share), F.lit(0.0)) / (len(space) - 1)
+    raw = F.col("_same") / F.col("_one")
+    return _interval(sums.withColumn("m", F.when(chance >= 1, 1.0).otherwise((raw - chance) / (1 - chance))), by, level)

@@ -66,3 +66,14 @@ def clustered_ppi(gold: DataFrame, unlabelled: DataFrame, truth: str, answer: st
     half = cluster_interval(residuals, "residual", cluster, name, resamples).select(((F.col("hi") - F.col("lo")) / (2 * Z95)).alias("se_gold"))
     out = point.crossJoin(F.broadcast(half)).withColumn("se", F.sqrt(F.col("se_gold") * F.col("se_gold") + F.col("var_unlabelled")))
     return out.withColumn("lo", F.col("value") - Z95 * F.col("se")).withColumn("hi", F.col("value") + Z95 * F.col("se"))
+
+
+def assembled_in_full(pairs: DataFrame, a: str, b: str, space: tuple, cluster: str, by: str, resamples: int) -> DataFrame:
+    """assembled() with ac1_lo, ac1_hi (rows resampled), and the design effect of the raw agreement over clusters beside its two intervals."""
+    from assayer.operators.multinomial import ac1_intervals, design_effects
+
+    ok = comparable(pairs)
+    ci = ac1_intervals(ok, a, b, space, [by], resamples).select(by, F.col("lo").alias("ac1_lo"), F.col("hi").alias("ac1_hi"))
+    same = ok.select(by, cluster, (F.col(a) == F.col(b)).cast("double").alias("_same"))
+    effects = design_effects(same, pairs.select(by).distinct(), "_same", cluster, by, resamples).select(by, "clusters", "iid_lo", "iid_hi", "cluster_lo", "cluster_hi", "design_effect")
+    return assembled(pairs, a, b, space, by).join(ci, by, "left").join(effects, by, "left")
