@@ -28,6 +28,7 @@ each time; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import operator
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,14 +37,17 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import kernels as K
-from assayer.llm.tables import volume, written
+from assayer.llm.tables import cores, volume, written
 from assayer.llm.word_ids import WordIds, raw_texts, text_blocks
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
+#: Input splits that one task takes where there are more than two tasks a core: what it adds up itself is not sent.
+SPLITS = 4
 ROWS, FULL = 3, 255
 MIN_CELLS, MAX_CELLS, PART = 1 << 16, 1 << 24, 1 << 16
 #: Salts of the first of two rounds of ranking, so that no task ranks all phrases of a language.
@@ -53,6 +57,8 @@ SCORE = "(CAST(a AS DECIMAL(15, 0)) * CAST(a AS DECIMAL(15, 0)) * CAST(1000000 A
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CUT = re.compile(rb"[.,;:!?\x0a-\x0d]+")
 _MARK = b"."  # parts pieces, so it is in no word
+#: So many at a time that cells of 16 bits hold what they add to FULL.
+_STEP = 60_000
 _SEEDS = K.mix(np.arange(1, ROWS + 1, dtype=np.uint64) * K.MULT)
 
 
@@ -117,7 +123,7 @@ def sketch(texts: DataFrame, cells: int, known: list[np.ndarray], lengths: int,
     sent = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((ROWS, cells), np.uint8)
+        total = np.zeros((ROWS, cells), np.uint16)
         for b in text_blocks(batches, SHARD_BYTES // 2):
             for lang, text in _by_lang(b).items():
                 words, code = Words(), _code(lang)
@@ -125,26 +131,23 @@ def sketch(texts: DataFrame, cells: int, known: list[np.ndarray], lengths: int,
                 *_, (n, at) = frequent_runs(ids, words.hashed(), code, sent.value, least)
                 for m in range(n, n + lengths):
                     for row, cell in zip(total, cell_of(code, words.hashes, ids, m, at, cells), strict=True):
-                        hit, count = np.unique(cell, return_counts=True)
-                        row[hit] = np.minimum(row[hit] + count, FULL)
+                        for some in np.split(cell, range(_STEP, len(cell), _STEP)):
+                            np.add.at(row, some, np.uint16(1))
+                            row[some] = np.minimum(row[some], np.uint16(FULL))
                     at = at[: np.searchsorted(at, len(ids) - m)]
                     at = at[ids[at + m] != 0]
         for p, part in enumerate(total.reshape(-1, PART)):
-            at = np.flatnonzero(part)
-            if len(at):
-                whole = len(at) > PART // 3
-                packed = pa.array([None if whole else at.astype("<u2").tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), packed, pa.array([(part if whole else part[at]).tobytes()], pa.binary())], names=["part", "at", "n"])
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zstandard.compress(part.astype(np.uint8).tobytes(), 1)], pa.binary())], names=["part", "n"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(PART, np.int64)
         for b in batches:
-            for at, n in zip(b.column("at"), b.column("n"), strict=True):
-                at = slice(None) if at.as_py() is None else np.frombuffer(at.as_py(), "<u2")
-                total[at] += np.frombuffer(n.as_py(), np.uint8)
+            for n in b.column("n"):
+                total += np.frombuffer(zstandard.decompress(n.as_py()), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, FULL).astype(np.uint8).tobytes()], pa.binary())], names=["part", "n"])
 
-    parts = texts.mapInArrow(run, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary")
+    parts = texts.mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary")
     out = np.zeros((ROWS * cells // PART, PART), np.uint8)
     for r in parts.toLocalIterator():
         out[r["part"]] = np.frombuffer(r["n"], np.uint8)
@@ -170,12 +173,8 @@ def _counted(lang: str, text: bytes, bounds: list[np.ndarray], least: int) -> tu
         for i, p in enumerate(names):
             automaton.add_word(f" {p} ", i)
         automaton.make_automaton()
-        step = 1 << 18
-        for x in range(0, len(listed), step):  # windows share longest - 1 words; a match counts where it ends
-            head = b" ".join(listed[max(0, x - longest + 1) : x])
-            line = b" " + b" ".join(listed[max(0, x - longest + 1) : x + step]) + b" "
-            seen = len(head) + 1 if head else 0
-            counts += np.bincount(np.fromiter((i for end, i in automaton.iter(line.decode("latin-1")) if end > seen), np.int64), minlength=len(patterns))
+        line = b" ".join([b"", *listed, b""]).decode("latin-1")
+        counts = np.bincount(np.fromiter(map(operator.itemgetter(1), automaton.iter(line)), np.int64), minlength=len(patterns))
     return patterns, counts, total
 
 
@@ -208,6 +207,8 @@ def collocations(
     occurrences or more is dropped.
     """
     texts = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    splits = texts.rdd.getNumPartitions()
+    texts = texts.coalesce(min(splits, max(2 * cores(docs.sparkSession), splits // SPLITS)))
     size = volume(docs, text)[1]
     cells = min(MAX_CELLS, max(MIN_CELLS, 1 << int(size // 2).bit_length()))
     bounds = [sketch(texts, cells, [], 2, least)] * 2

@@ -41,7 +41,7 @@ def pairs(table):
     return [(r.lang, r.text) for r in table.select("lang", "text").collect()]
 
 
-@pytest.mark.parametrize("shard", [6 << 20, 4000])
+@pytest.mark.parametrize("shard", [3 << 20, 4000])
 def test_driver_tables(spark, shard, monkeypatch):
     monkeypatch.setattr(co, "SHARD_BYTES", shard)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
