@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import kernels as K
-from assayer.llm.tables import written
+from assayer.llm.tables import refuse_clashes, written
 
 BUCKETS = 1 << 15
 MAX_LABELLED = 200_000
@@ -146,7 +146,8 @@ def best_level(rows) -> float:
 
 def importance_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", seed: int = 777, train: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns in keep, log_weight, sample_key, kept: every document with its weight, its Gumbel key, and
-    whether it is among the top k."""
+    whether it is among the top k. keep with a name of the result raises ValueError."""
+    refuse_clashes(keep, key, "log_weight", "sample_key", "kept")
     train = F.lit(True) if train is None else train
     sample = written(labelled_texts(docs, labels, label, key, text, train, MAX_LABELLED), "quality-labelled")
     good = sample.where(F.col("_label") == 1)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import kernels as K
-from assayer.llm.tables import discard, pieces, volume, written
+from assayer.llm.tables import discard, pieces, refuse_clashes, volume, written
 
 LENGTH = 50
 TRIGGER = 16
@@ -414,7 +414,8 @@ def _remove(key: str, length: int, keep: tuple[str, ...], names: list[str]):
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: tuple[str, ...] = (), kept_text: bool = False) -> DataFrame:
     """key, the columns in keep, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 or, if asked for,
-    kept_text (a character of which a byte was removed is left out whole)."""
+    kept_text (a character of which a byte was removed is left out whole). keep with a name of the result, _text or _chunk raises ValueError."""
+    refuse_clashes(keep, key, "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256", "_text", "_chunk")
     if not TRIGGER < length <= TRIGGER + 63:
         raise ValueError(f"length must be {TRIGGER + 1} to {TRIGGER + 63}")
     _, total = volume(docs, text)

@@ -54,6 +54,13 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
+def refuse_clashes(keep: tuple[str, ...], *own: str) -> None:
+    """Columns to pass by must not have the name of a column that the operator makes; case does not tell names apart."""
+    clash = {c.lower() for c in keep} & {c.lower() for c in own}
+    if clash:
+        raise ValueError(f"keep names columns of the result: {', '.join(sorted(clash))}")
+
+
 def volume(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """(rows, bytes of text) of a table; two numbers are all that reaches the driver."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("b")).first()

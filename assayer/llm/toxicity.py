@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from assayer.llm import kernels as K
 from assayer.llm.bpe import Table, raw
 from assayer.llm.quality import labelled_texts
-from assayer.llm.tables import written
+from assayer.llm.tables import refuse_clashes, written
 
 MAX_LABELLED = 200_000
 MIN_LLR = 24.0
@@ -342,7 +342,8 @@ def _scored(docs: DataFrame, clf: Classifier, key: str, text: str, evidence: boo
 
 
 def score_documents(docs: DataFrame, clf: Classifier, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns in keep, score, predicted for each whole text."""
+    """key, the columns in keep, score, predicted for each whole text. keep with a name of the result raises ValueError."""
+    refuse_clashes(keep, key, "score", "predicted")
     return _scored(docs, clf, key, text, keep=keep).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
