@@ -17,6 +17,7 @@ engine, so groups with the same cells share their resamples.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -209,17 +210,22 @@ def _interval(means: DataFrame, by: list[str], level: float) -> DataFrame:
     return means.groupBy(*by).agg(q.alias("_q")).select(*by, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 
 
-def mean_interval(rows: DataFrame, value: str, by: list[str], resamples: int = vocab.RESAMPLES, level: float = 0.95) -> DataFrame:
+def seed_of(name: str) -> int:
+    """A seed for the draws of a named result."""
+    return zlib.crc32(f"{vocab.SEED}:{name}".encode())
+
+
+def mean_interval(rows: DataFrame, value: str, by: list[str], resamples: int = vocab.RESAMPLES, level: float = 0.95, seed: int = vocab.SEED) -> DataFrame:
     """by, lo, hi: percentile interval of the mean of a number column by resampling rows; nulls take no part."""
     cells = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k")).withColumn("_one", F.lit(1.0))
-    sums = resample_sums(cells.withColumn("_x", F.col("_v")), by, ["_v"], "_k", ["_x", "_one"], resamples)
+    sums = resample_sums(cells.withColumn("_x", F.col("_v")), by, ["_v"], "_k", ["_x", "_one"], resamples, seed=seed)
     return _interval(sums.withColumn("m", F.col("_x") / F.col("_one")), by, level)
 
 
-def clustered_interval(rows: DataFrame, value: str, cluster: str, by: list[str], resamples: int = vocab.RESAMPLES, level: float = 0.95) -> DataFrame:
+def clustered_interval(rows: DataFrame, value: str, cluster: str, by: list[str], resamples: int = vocab.RESAMPLES, level: float = 0.95, seed: int = vocab.SEED) -> DataFrame:
     """by, lo, hi: percentile interval of the mean by resampling whole clusters; nulls take no part."""
     stats = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count(F.lit(1)).alias("_n"), F.lit(1).alias("_one"))
-    sums = resample_sums(stats, by, [cluster], "_one", ["_s", "_n"], resamples)
+    sums = resample_sums(stats, by, [cluster], "_one", ["_s", "_n"], resamples, seed=seed)
     return _interval(sums.withColumn("m", F.col("_s") / F.col("_n")), by, level)
 
 
@@ -238,12 +244,12 @@ def design_effects(rows: DataFrame, tasks: DataFrame, value: str, cluster: str,
     return out.withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "design_effect": effect, "why_absent": F.when(F.col("n").isNull(), "no answers that are ok for this task")})
 
 
-def ac1_intervals(pairs: DataFrame, a: str, b: str, space: tuple, by: list[str], resamples: int = vocab.RESAMPLES, level: float = 0.95) -> DataFrame:
+def ac1_intervals(pairs: DataFrame, a: str, b: str, space: tuple, by: list[str], resamples: int = vocab.RESAMPLES, level: float = 0.95, seed: int = vocab.SEED) -> DataFrame:
     """by, lo, hi: interval of AC1, recomputed on resamples of the pairs; pairs with a null answer take no part."""
     half = lambda k: ((F.col(a) == k).cast("double") + (F.col(b) == k).cast("double")) / 2
     cells = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_k"))
     payload = {"_same": (F.col(a) == F.col(b)).cast("double"), "_one": F.lit(1.0)} | {f"_h{i}": half(k) for i, k in enumerate(space)}
-    sums = resample_sums(cells.withColumns(payload), by, [a, b], "_k", list(payload), resamples)
+    sums = resample_sums(cells.withColumns(payload), by, [a, b], "_k", list(payload), resamples, seed=seed)
     share = [F.col(f"_h{i}") / F.col("_one") for i in range(len(space))]
     chance = sum((p * (1 - p) for p in share), F.lit(0.0)) / (len(space) - 1)
     raw = F.col("_same") / F.col("_one")

@@ -1,10 +1,8 @@
-"""Bootstrap intervals from sufficient statistics: resamples join sums, never rows.
+"""Bootstrap intervals from sufficient statistics: resamples are multinomial counts of cells or clusters, never rows.
 
-A cluster bootstrap draws clusters by a hash of (name, resample, draw); its
-input is one (sum, count) a cluster, so B resamples of C clusters are B * C
-small rows whatever the table's size. An iid bootstrap of categorical rows is
-multinomial over the distinct values: B rows a value, each count a binomial
-draw of what the values before it have left.
+Intervals come from the tree of binomial splits (multinomial.py), whose draws
+take bounded steps and meet no join per draw; cell_draws lists the counts of a
+few cells, a row for each cell and resample.
 """
 
 from __future__ import annotations
@@ -13,28 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import binomial, draw
-from assayer.operators.sampling import hash_bucket, running
+from assayer.operators.multinomial import ac1_intervals, clustered_interval, mean_interval, seed_of
 
 MAX_CELLS = 256
 
 
-def _interval(means: DataFrame, value: str, level: float, *by: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    return means.groupBy(*by).agg(q.alias("_q")).select(*by, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
-
-
-def cluster_means(rows: DataFrame, value: str, cluster: str, name: str, resamples: int) -> DataFrame:
-    """b, m: the mean of each resample of whole clusters."""
-    stats = rows.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count(value).alias("_n"))
-    stats = running(stats, hash_bucket(name, F.col(cluster)), [F.col(cluster)], F.lit(1), "_place").withColumn("_c", F.col("_place") - 1)
-    size = stats.count()
-    draws = rows.sparkSession.range(resamples * size).select(F.floor(F.col("id") / max(size, 1)).alias("b"), (F.col("id") % max(size, 1)).alias("_i"))
-    picked = draws.select("b", draw(name, F.lit(size), F.col("b"), F.col("_i")).alias("_c"))
-    return picked.join(stats, "_c").groupBy("b").agg((F.sum("_s") / F.sum("_n")).alias("m"))
-
-
 def cluster_interval(rows: DataFrame, value: str, cluster: str, name: str, resamples: int, level: float = 0.95) -> DataFrame:
-    return _interval(cluster_means(rows, value, cluster, name, resamples), "m", level)
+    """lo, hi: interval of the mean by resampling whole clusters; name seeds the draws."""
+    return clustered_interval(rows, value, cluster, [], resamples, level, seed_of(name))
 
 
 def cell_draws(cells: DataFrame, values: list[str], count: str, name: str, resamples: int) -> DataFrame:
@@ -54,23 +38,14 @@ def cell_draws(cells: DataFrame, values: list[str], count: str, name: str, resam
     return drawn.select("b", F.inline(rows)).where("_drawn > 0") if found else drawn.select("b", *[F.lit(None).cast(kinds[v]).alias(v) for v in values], F.lit(0).cast("long").alias("_drawn")).where("false")
 
 
-def iid_means(rows: DataFrame, value: str, name: str, resamples: int) -> DataFrame:
-    """b, m for a column of few distinct values (0/1 outcomes): resampled from its counts."""
-    cells = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
-    return cell_draws(cells, ["_v"], "_k", name, resamples).groupBy("b").agg((F.sum(F.col("_v") * F.col("_drawn")) / F.sum("_drawn")).alias("m"))
-
-
 def iid_interval(rows: DataFrame, value: str, name: str, resamples: int, level: float = 0.95) -> DataFrame:
-    return _interval(iid_means(rows, value, name, resamples), "m", level)
+    """lo, hi: interval of the mean of a column by resampling rows, whatever its number of distinct values."""
+    return mean_interval(rows, value, [], resamples, level, seed_of(name))
 
 
 def ac1_interval(pairs: DataFrame, a: str, b: str, space: tuple, name: str, resamples: int, level: float = 0.95) -> DataFrame:
-    """Interval of AC1 recomputed on each resample of pairs, drawn as counts of the q * q cells of the pairs."""
-    from assayer.operators.agreement import agreement
-
-    cells = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("_k"))
-    drawn = cell_draws(cells, [a, b], "_k", name, resamples)
-    return _interval(agreement(drawn, a, b, space, "b", weight=F.col("_drawn")).withColumnRenamed("b", "resample"), "ac1", level)
+    """lo, hi: interval of AC1 recomputed on each resample of pairs."""
+    return ac1_intervals(pairs, a, b, space, [], resamples, level, seed_of(name))
 
 
 def design_effect(clustered: DataFrame, iid: DataFrame) -> DataFrame:

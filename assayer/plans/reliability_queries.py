@@ -9,7 +9,7 @@ from assayer.operators import reliability as L
 from assayer.operators.pairing import timed_retest
 from assayer.plans.agreement_queries import _TUNED
 from assayer.plans.standins import all_pairs, frames, gold, ok_pairs, responses, sql
-from assayer.plans.stat_queries import _CLUSTER, _B
+from assayer.plans.stat_queries import _B, _cluster, _recursive
 
 Q, SQL = {}, {}
 R = lambda c, n=6: F.round(F.col(c), n).alias(c)
@@ -95,7 +95,7 @@ def participant_disparity(spark, d):
     return L.disparity(counts, "n").select("n_groups", R("ratio"))
 
 
-_RESIDUALS = _CLUSTER.replace("sum(manip::INT)::DOUBLE AS s, count(manip) AS n", "sum(r) AS s, count(r) AS n").replace("responses WHERE status='ok' AND judge='A'", "res").replace("h2", "ppi")
+_RESIDUALS = _cluster("ppi", "sum(r)", "count(r)", "res")
 _ARM = """
 gm AS (SELECT count(*) AS n, avg(gold_manip::INT) ym, avg(manip::INT) fm, coalesce(var_samp(manip::INT), 0) fv, coalesce(covar_samp(manip::INT, gold_manip::INT), 0) cv FROM ok_pairs WHERE judge = 'A'),
 um AS (SELECT count(*) AS n_unlabelled, avg(manip::INT) um, coalesce(var_samp(manip::INT), 0) uv FROM responses WHERE status = 'ok' AND judge = 'A' AND frame_id NOT IN (SELECT frame_id FROM gold)),
@@ -104,8 +104,8 @@ res AS (SELECT cluster, gold_manip::INT - (SELECT lam FROM pt) * manip::INT AS r
 """
 
 
-@query("prevalence_ppi_clustered", sql("WITH " + _ARM + _RESIDUALS + """, se AS (SELECT *, lam * um + ym - lam * fm AS value, sqrt(pow((hi - lo) / (2 * 1.959963984540054), 2) + lam * lam * uv / n_unlabelled) AS se FROM pt, ci)
-SELECT n, n_unlabelled, round(lam, 6) AS lam, round(value, 6) AS value, round(se, 6) AS se, round(value - 1.959963984540054 * se, 6) AS lo, round(value + 1.959963984540054 * se, 6) AS hi FROM se"""))
+@query("prevalence_ppi_clustered", _recursive(sql("WITH " + _ARM + _RESIDUALS + """, se AS (SELECT *, lam * um + ym - lam * fm AS value, sqrt(pow((hi - lo) / (2 * 1.959963984540054), 2) + lam * lam * uv / n_unlabelled) AS se FROM pt, ci)
+SELECT n, n_unlabelled, round(lam, 6) AS lam, round(value, 6) AS value, round(se, 6) AS se, round(value - 1.959963984540054 * se, 6) AS lo, round(value + 1.959963984540054 * se, 6) AS hi FROM se""")))
 def prevalence_ppi_clustered(spark, d):
     r = responses(spark, d).where("status = 'ok' and judge = 'A'")
     unlabelled = r.join(gold(spark, d).select("frame_id"), "frame_id", "left_anti")

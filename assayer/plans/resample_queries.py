@@ -44,9 +44,9 @@ _DRAW = f"""CASE WHEN n = 0 OR p <= 0 THEN 0 WHEN p >= 1 THEN n WHEN n <= {T.FEW
   ELSE list_transform([CASE WHEN n * q < 10 THEN {_WAITED} ELSE coalesce({_PROPOSED}, mode) END], lambda k: CASE WHEN p > 0.5 THEN n - k ELSE k END)[1] END"""
 
 
-def tree(cells: str, name: str, high: int, resamples: int) -> str:
+def tree(cells: str, name: str, high: int, resamples: int, seed: int = vocab.SEED) -> str:
     """CTEs `name`_tree: g, r, b, n of the leaves that a resample draws; cells: a CTE of g, o, k, in the order o."""
-    step = f"b, h, node, n, g, wl / w AS p, least(wl / w, 1 - wl / w) AS q, {_scramble(f'xor({_scramble(f"({_scramble(f'(b::UBIGINT + {vocab.SEED * 65537}::UBIGINT) & {_MASK}')} + (h * 1000003)::UBIGINT) & {_MASK}")}, node::UBIGINT & {_MASK})')} AS key"
+    step = f"b, h, node, n, g, wl / w AS p, least(wl / w, 1 - wl / w) AS q, {_scramble(f'xor({_scramble(f"({_scramble(f'(b::UBIGINT + {seed * 65537}::UBIGINT) & {_MASK}')} + (h * 1000003)::UBIGINT) & {_MASK}")}, node::UBIGINT & {_MASK})')} AS key"
     shape = "sqrt(n * q * (1 - q)) AS spread, 1.15 + 2.53 * sqrt(n * q * (1 - q)) AS wide, -0.0873 + 0.0248 * (1.15 + 2.53 * sqrt(n * q * (1 - q))) + 0.01 * q AS a, floor((n + 1) * q)::BIGINT AS mode"
     return f"""{name}_cells AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY o) - 1 AS r FROM {cells}),
 {name}_w AS (SELECT g, h, r >> h AS node, sum(k)::DOUBLE AS w FROM {name}_cells, range({high + 1}) t(h) GROUP BY ALL),

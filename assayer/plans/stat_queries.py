@@ -12,6 +12,8 @@ from assayer.operators import compare as M
 from assayer.operators import pairing as P
 from assayer.operators import resample as B
 from assayer.operators import sampling as S
+from assayer.operators.multinomial import seed_of
+from assayer.plans.resample_queries import LOW, tree
 from assayer.plans.standins import EVENTS, events, frames, gold, ok_pairs, responses, sql, table
 
 Q, SQL = {}, {}
@@ -113,63 +115,52 @@ def replace_undecodable(spark, d):
 
 
 _B = vocab.RESAMPLES
-_CLUSTER = f"""
-st AS (SELECT cluster, sum(manip::INT)::DOUBLE AS s, count(manip) AS n, row_number() OVER (ORDER BY substr(md5('777:h2:' || cluster), 1, 3), cluster) - 1 AS c FROM responses WHERE status='ok' AND judge='A' GROUP BY 1),
-sz AS (SELECT count(*) AS size FROM st),
-dr AS (SELECT b, {_DRAW.format(name='h2', parts='b, i', mod='size')} AS c FROM range({_B}) t(b), sz, range((SELECT count(*) FROM st)) u(i)),
-cm AS (SELECT b, sum(s) / sum(n) AS m FROM dr JOIN st USING (c) GROUP BY 1),
-ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM cm)
-"""
-_UNIT = "(('0x' || substr(md5(concat_ws(':', '777', '{name}', b, {i})), 1, 12))::BIGINT) / 281474976710656.0::DOUBLE"
+_ANSWERS = "responses WHERE status='ok' AND judge='A'"
 
 
-def _binomial(frm: str, to: str, name: str, i: int, cell: str, p: str, keep: str = "") -> str:
-    """CTE `to`: b, left_, k drawn from n trials (frm.left_) at p, and left_ less k, by the quantiles of the binomial."""
-    mass = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(greatest(p, 1e-300)) + (n - k) * ln(greatest(1 - p, 1e-300)))"
-    return f"""{to}_n AS (SELECT DISTINCT left_ AS n, {p} AS p FROM {frm}),
-{to}_k AS (SELECT n, p, unnest(range(greatest(0, floor(n * p - 10 * sqrt(n * p * (1 - p)) - 10))::BIGINT, least(n, ceil(n * p + 10 * sqrt(n * p * (1 - p)) + 10))::BIGINT + 1)) AS k FROM {to}_n),
-{to}_c AS (SELECT n, p, k, sum({mass}) OVER (PARTITION BY n ORDER BY k) AS c FROM {to}_k),
-{to} AS (SELECT b, {keep} n - k AS left_, k AS k{i} FROM (SELECT b, {keep} left_ AS n, CASE WHEN max(p) <= 0 THEN 0 WHEN max(p) >= 1 THEN max(left_) ELSE coalesce(min(k) FILTER (c >= {_UNIT.format(name=name, i=repr(cell))}), max(k)) END AS k FROM {frm} JOIN {to}_c ON left_ = n GROUP BY ALL))"""
+def _cluster(name: str, total: str = "sum(manip::INT)::DOUBLE", n: str = "count(manip)", source: str = _ANSWERS) -> str:
+    return f"""cc AS (SELECT 0 AS g, cluster AS o, 1 AS k, {total} AS s, {n} AS c FROM {source} GROUP BY cluster),
+{tree('cc', 'cc', LOW, _B, seed_of(name))},
+cm AS (SELECT b, sum(n * s) / sum(n * c) AS m FROM cc_tree t JOIN cc_cells c ON c.r = t.node WHERE t.h = 0 GROUP BY b),
+ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM cm)"""
 
 
-_IID = f"""
-t AS (SELECT count(manip)::BIGINT AS n, avg((NOT manip)::INT) AS p FROM responses WHERE status='ok' AND judge='A'),
-d0 AS (SELECT b, n AS left_ FROM range({_B}) x(b), t),
-{_binomial('d0', 'd1', 'iid', 0, '0.0', '(SELECT p FROM t)')},
-im AS (SELECT left_ / (SELECT n FROM t)::DOUBLE AS m FROM d1),
-ii AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM im)
-"""
+_IID = f"""vc AS (SELECT 0 AS g, manip::INT::DOUBLE AS o, count(*) AS k FROM {_ANSWERS} AND manip IS NOT NULL GROUP BY ALL),
+{tree('vc', 'vc', 1, _B, seed_of('iid'))},
+im AS (SELECT b, sum(n * o) / sum(n) AS m FROM vc_tree t JOIN vc_cells c ON c.r = t.node WHERE t.h = 0 GROUP BY b),
+ii AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM im)"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _outcome(spark, d):
     return responses(spark, d).where("status = 'ok' and judge = 'A'")
 
 
-@query("cluster_bootstrap", sql("WITH " + _CLUSTER + "SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci"))
+@query("cluster_bootstrap", _recursive(sql("WITH " + _cluster("h2") + " SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci")))
 def cluster_bootstrap(spark, d):
     return B.cluster_interval(_outcome(spark, d), "manip", "cluster", "h2", _B).select(R("lo"), R("hi"))
 
 
-@query("iid_bootstrap", sql("WITH " + _IID + "SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM ii"))
+@query("iid_bootstrap", _recursive(sql("WITH " + _IID + " SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM ii")))
 def iid_bootstrap(spark, d):
     return B.iid_interval(_outcome(spark, d), "manip", "iid", _B).select(R("lo"), R("hi"))
 
 
-@query("design_effect", sql("WITH " + _CLUSTER + ", " + _IID + "SELECT round(ci.lo,6) AS c_lo, round(ci.hi,6) AS c_hi, round(ii.lo,6) AS i_lo, round(ii.hi,6) AS i_hi, round(pow((ci.hi-ci.lo)/(ii.hi-ii.lo), 2), 6) AS design_effect FROM ci, ii"))
+@query("design_effect", _recursive(sql("WITH " + _cluster("h2") + ", " + _IID + " SELECT round(ci.lo,6) AS c_lo, round(ci.hi,6) AS c_hi, round(ii.lo,6) AS i_lo, round(ii.hi,6) AS i_hi, round(pow((ci.hi-ci.lo)/(ii.hi-ii.lo), 2), 6) AS design_effect FROM ci, ii")))
 def design_effect(spark, d):
     o = _outcome(spark, d)
     e = B.design_effect(B.cluster_interval(o, "manip", "cluster", "h2", _B), B.iid_interval(o, "manip", "iid", _B))
     return e.select(*[R(c) for c in ("c_lo", "c_hi", "i_lo", "i_hi", "design_effect")])
 
 
-@query("ac1_bootstrap", sql(f"""WITH t AS (SELECT count(*)::BIGINT AS n, count(*) FILTER (NOT manip AND NOT gold_manip) AS a, count(*) FILTER (NOT manip AND gold_manip) AS b, count(*) FILTER (manip AND NOT gold_manip) AS c FROM ok_pairs WHERE judge='B'),
-d0 AS (SELECT r AS b, n AS left_ FROM range({_B}) x(r), t),
-{_binomial('d0', 'd1', 'ac1', 0, 'false/false', '(SELECT a / n FROM t)')},
-{_binomial('d1', 'd2', 'ac1', 1, 'false/true', '(SELECT b / (n - a) FROM t)', 'k0,')},
-{_binomial('d2', 'd3', 'ac1', 2, 'true/false', '(SELECT c / (n - a - b) FROM t)', 'k0, k1,')},
-s AS (SELECT (k0 + left_) / n AS raw, (2 * left_ + k1 + k2) / (2 * n) AS p FROM d3, (SELECT n::DOUBLE AS n FROM t)),
+@query("ac1_bootstrap", _recursive(sql(f"""WITH pc AS (SELECT 0 AS g, manip AS x, gold_manip AS y, manip::INT * 2 + gold_manip::INT AS o, count(*) AS k FROM ok_pairs WHERE judge='B' GROUP BY ALL),
+{tree('pc', 'pc', 2, _B, seed_of('ac1'))},
+s AS (SELECT b, sum(n * (x = y)::INT) / sum(n) AS raw, sum(n * (x::INT + y::INT)) / (2 * sum(n)) AS p FROM pc_tree t JOIN pc_cells c ON c.r = t.node WHERE t.h = 0 GROUP BY b),
 e AS (SELECT CASE WHEN 2*p*(1-p) >= 1 THEN 1 ELSE (raw - 2*p*(1-p)) / (1 - 2*p*(1-p)) END AS ac1 FROM s)
-SELECT round(quantile_cont(ac1, 0.025), 6) AS lo, round(quantile_cont(ac1, 0.975), 6) AS hi FROM e"""))
+SELECT round(quantile_cont(ac1, 0.025), 6) AS lo, round(quantile_cont(ac1, 0.975), 6) AS hi FROM e""")))
 def ac1_bootstrap(spark, d):
     return B.ac1_interval(ok_pairs(spark, d).where("judge = 'B'"), "manip", "gold_manip", (False, True), "ac1", _B).select(R("lo"), R("hi"))
 
