@@ -178,3 +178,21 @@ def binomial(u: Column, n: Column, p: float) -> Column:
 
 def percent(value: Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", value * 100)
+
+
+def edited(text: Column, edits: list[tuple[str, str]]) -> Column:
+    """text with each (find, put) replaced in turn, literally and everywhere: how a prompt becomes its variants."""
+    for find, put in edits:
+        text = F.replace(text, F.lit(find), F.lit(put))
+    return text
+
+
+def edited_by(text: Column, edits: Column) -> Column:
+    """The same with the edits in a column: array of structs (find, put); an empty find changes nothing."""
+    return F.aggregate(edits, text, lambda t, e: F.when(e["find"] == "", t).otherwise(F.replace(t, e["find"], e["put"])))
+
+
+def task_value(task: Column, hands: Column, manipulation: Column) -> Column:
+    """The answer to a named task as a boolean: hands_ge_1, hands_eq_2 or manipulation; another name raises."""
+    unknown = F.raise_error(F.concat(F.lit("unknown task: "), F.coalesce(task, F.lit("null")))).cast("boolean")
+    return F.when(task == "hands_ge_1", hands >= 1).when(task == "hands_eq_2", hands == 2).when(task == "manipulation", manipulation).otherwise(unknown)

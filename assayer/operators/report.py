@@ -40,3 +40,17 @@ def forest(published: DataFrame, reproduced: DataFrame, alone: DataFrame, correc
         rows = df.select("label", F.lit(kind).alias("kind"), F.col("value").cast("double").alias("value"), lo.alias("lo"), hi.alias("hi"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def figure_tables(prevalence: DataFrame, margins: DataFrame, vendors: DataFrame) -> DataFrame:
+    """The printed tables as one long table: section, row, column, value; a figure that a section does not have has no row.
+
+    prevalence: label, published, judge, corrected, lo, hi; margins: label, published, corrected, lo, hi; vendors: label,
+    published, judge."""
+    out = None
+    for section, df in (("prevalence", prevalence), ("margin", margins), ("vendor", vendors)):
+        figures = [c for c in df.columns if c != "label"]
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in figures])
+        rows = df.select(F.lit(section).alias("section"), F.col("label").alias("row"), F.inline(cells)).where(F.col("value").isNotNull())
+        out = rows if out is None else out.unionByName(rows)
+    return out

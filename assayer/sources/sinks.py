@@ -19,8 +19,8 @@ def write_labels(existing: DataFrame, new: DataFrame, path: str) -> None:
 
 
 def write_document(rows: DataFrame, path: str) -> None:
-    """A few result rows as one JSON file."""
-    rows.coalesce(1).write.mode("overwrite").json(path)
+    """A few result rows as one JSON array in one file, in the order of their values; json_records reads it back."""
+    rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rows.columns))))).coalesce(1).write.mode("overwrite").text(path)
 
 
 def export_dataset(tables: dict[str, DataFrame], path: str) -> None:
