@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.operators.sampling import ranked
+from assayer.operators.sampling import ranked, running_within
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -29,11 +30,14 @@ def missing_frames(expected: DataFrame, table: DataFrame, payload: str, on: str
 
 def exclusive_quantile(rows: DataFrame, value: str, q: float, *by: str) -> DataFrame:
     """The quantile at rank q (n + 1), between neighbours in proportion, ends held."""
-    w = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.row_number().over(w.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
-    at = F.greatest(F.lit(1.0), F.least(F.col("_n").cast("double"), (F.col("_n") + 1) * q))
-    near = ranked.withColumn("_at", at).withColumn("_w", F.greatest(F.lit(0.0), 1 - F.abs(F.col("_r") - F.col("_at"))))
-    return near.where("_w > 0").groupBy(*by).agg(F.sum(F.col("_v") * F.col("_w")).alias("quantile"))
+    cells = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    ends = cells.agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    slot = F.coalesce(F.floor((F.col("_v") - F.col("_min")) / F.nullif(F.col("_max") - F.col("_min"), F.lit(0.0)) * 4096), F.lit(0))
+    ranked = running_within(cells.crossJoin(F.broadcast(ends)), list(by), slot, [F.col("_v")], F.col("_k"), "_to")
+    at = F.greatest(F.lit(1.0), F.least(F.col("_to_all").cast("double"), (F.col("_to_all") + 1) * q))
+    here = lambda r: ((F.col("_to") - F.col("_k") < r) & (r <= F.col("_to"))).cast("double")
+    weight = here(F.floor(at)) * (1 - (at - F.floor(at))) + here(F.floor(at) + 1) * (at - F.floor(at))
+    return ranked.withColumn("_w", weight).where("_w > 0").groupBy(*by).agg(F.sum(F.col("_v") * F.col("_w")).alias("quantile"))
 
 
 def shared_tags(declared: Column, referenced: Column) -> tuple[Column, Column]:
@@ -43,25 +47,40 @@ def shared_tags(declared: Column, referenced: Column) -> tuple[Column, Column]:
 
 def coalesce_spans(offsets: DataFrame, group: str, offset: str, width: int = 100) -> DataFrame:
     """group, start, length: sorted offsets joined greedily into spans of at most `width` from the span's start.
-    One pass over sorted partitions that carries the open span only, so no group is held in memory."""
+
+    A gap of width or more ends a span whatever came before, so a group falls into runs there, found block by block of
+    offsets, and runs, not groups, are what one task takes; a run is passed over in sorted batches, a search a span."""
+    known = offsets.where(F.col(group).isNotNull() & F.col(offset).isNotNull()).select(group, F.col(offset).cast("long").alias("_x")).distinct()
+    known = known.withColumn("_block", F.floor(F.col("_x") / (width * 256)))
+    blocks = known.groupBy(group, "_block").agg(F.max("_x").alias("_last"))
+    before = blocks.select(group, (F.col("_block") + 1).alias("_block"), F.col("_last").alias("_earlier"))
+    inside = Window.partitionBy(group, "_block").orderBy("_x")
+    prior = F.coalesce(F.lag("_x").over(inside), F.col("_earlier"))
+    begins = F.when(prior.isNull() | (F.col("_x") - prior >= width), F.col("_x"))
+    marked = known.join(before, [group, "_block"], "left").withColumn("_run", F.max(begins).over(inside))
+    # A block that starts inside a run goes on with the last run of the blocks before it.
+    open_ = marked.groupBy(group, "_block").agg(F.max("_run").alias("_opened"))
+    carried = open_.withColumn("_carried", F.max("_opened").over(Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_opened")
+    runs = marked.join(carried, [group, "_block"]).select(group, F.coalesce("_run", "_carried").alias("_run"), "_x")
 
     def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        span: tuple | None = None
+        key, first, last = None, 0, 0
         for batch in batches:
-            out = []
-            for g, x in zip(batch[group], batch[offset], strict=True):
-                if span and g == span[0] and x - span[1] < width:
-                    span = (g, span[1], x - span[1] + 1)
-                else:
-                    out += [span] if span else []
-                    span = (g, x, 1)
+            out, g, run, x = [], batch[group].to_numpy(), batch["_run"].to_numpy(), batch["_x"].to_numpy()
+            cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (run[1:] != run[:-1])) + 1).tolist(), len(x)] if len(x) else [0]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                while i < j:
+                    if key != (g[i], run[i]) or x[i] - first >= width:
+                        out += [(key[0], first, last - first + 1)] if key else []
+                        key, first = (g[i], run[i]), x[i]
+                    i += int(np.searchsorted(x[i:j], first + width))
+                    last = x[i - 1]
             yield pd.DataFrame(out, columns=[group, "start", "length"])
-        if span:
-            yield pd.DataFrame([span], columns=[group, "start", "length"])
+        if key:
+            yield pd.DataFrame([(key[0], first, last - first + 1)], columns=[group, "start", "length"])
 
     kind = offsets.schema[group].dataType.simpleString()
-    known = offsets.where(F.col(group).isNotNull() & F.col(offset).isNotNull()).select(group, offset).distinct()
-    return known.repartition(group).sortWithinPartitions(group, offset).mapInPandas(greedy, f"`{group}` {kind}, start long, length long")
+    return runs.repartition(group, "_run").sortWithinPartitions(group, "_run", "_x").mapInPandas(greedy, f"`{group}` {kind}, start long, length long")
 
 
 def base_offsets(files: DataFrame, order: str, rows: str) -> DataFrame:

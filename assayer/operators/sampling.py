@@ -18,6 +18,20 @@ def running(df: DataFrame, bucket: Column, order: list[Column], value: Column, n
     return df.join(F.broadcast(totals.select("_bucket", before.alias("_before"))), "_bucket").withColumn(name, F.col("_before") + F.sum(value).over(w)).drop("_bucket", "_before")
 
 
+def running_within(df: DataFrame, by: list[str], bucket: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds name, a running sum (itself included) within the group, and name_all, the group's sum, in the order (bucket,
+    order). A group's buckets are summed first, so no task takes a whole group; null groups are groups."""
+    df = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    totals = df.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_t"))
+    group = Window.partitionBy(*by)
+    earlier = F.coalesce(F.sum("_t").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_in"), earlier.alias("_before"), F.sum("_t").over(group).alias(f"{name}_all"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)] + [F.col("_bucket").eqNullSafe(F.col("_in"))]
+    w = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(totals, same).withColumn(name, F.col("_before") + F.sum("_value").over(w))
+    return out.drop("_bucket", "_value", "_in", "_before", *[f"_by{i}" for i in range(len(by))])
+
+
 def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
     """Adds the rank from 1 in the order of one whole-number or string column, nulls first."""
     if df.schema[order].dataType.simpleString() == "string":
@@ -109,6 +123,6 @@ def replace_undecodable(members: DataFrame, reserve: DataFrame, bad: Column, key
 
 def interleave(arms: DataFrame, arm: str, name: str, key: str = "frame_id") -> DataFrame:
     """Adds position so that every prefix has about the arms' shares: by rank / size within the arm."""
-    w = Window.partitionBy(arm)
-    place = (F.row_number().over(w.orderBy(hash_order(name, F.col(key)), F.col(key))) - 1) / F.count(F.lit(1)).over(w)
-    return running(arms.withColumn("_p", place), F.floor(F.col("_p") * 4096), [F.col("_p"), F.col(arm), F.col(key)], F.lit(1), "position").drop("_p")
+    arms = running_within(arms, [arm], hash_bucket(name, F.col(key)), [hash_order(name, F.col(key)), F.col(key)], F.lit(1), "_r")
+    place = (F.col("_r") - 1) / F.col("_r_all")
+    return running(arms.withColumn("_p", place), F.floor(F.col("_p") * 4096), [F.col("_p"), F.col(arm), F.col(key)], F.lit(1), "position").drop("_p", "_r", "_r_all")
