@@ -15,9 +15,13 @@ def _own() -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under spark.checkpoint.dir. Where that is unset, as on a single machine, under a folder of the process."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path under spark.checkpoint.dir. Where that is unset, under a folder of the process, which only local
+    mode shares with its executors; any other master raises."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "local")
+    if not root and master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return f"{(root or _own()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
