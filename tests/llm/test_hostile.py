@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from assayer.llm import bpe, near_dups, toxicity
 from assayer.llm import top_k as search
 from assayer.llm.queries import held_out, vocabulary_path
+from assayer.llm.tables import shared_folder
 
 TABLE = "doc_id long, text string"
 
@@ -52,3 +53,21 @@ def test_words_that_trick_a_polynomial(spark, n):
     want = {i: hashlib.sha256(" ".join(map(str, library.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for i, t in rows}
     assert {r.doc_id: r.ids_sha256 for r in bpe.token_digests(docs, vocabulary_path()).collect()} == want
     assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()} == components(rows)[0]
+
+
+def test_only_local_mode_falls_back_to_a_local_folder():
+    class Session:
+        def __init__(self, **conf):
+            self.values, self.conf = {k.replace("_", "."): v for k, v in conf.items()}, self
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    assert shared_folder(Session(spark_checkpoint_dir="hdfs://x", spark_master="yarn")) == "hdfs://x"
+    local = Session(spark_master="local[2]")
+    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(spark_master="yarn"))
