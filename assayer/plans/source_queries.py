@@ -9,7 +9,7 @@ from assayer.operators import frames as FR
 from assayer.operators import judging, prose
 from assayer.operators.agreement import all_slices
 from assayer.plans.standins import all_pairs, frames, gold, sql, table
-from assayer.sources import row_index
+from assayer.sources import corpus, row_index
 from assayer.sources.shared import shared_folder
 
 Q, SQL = {}, {}
@@ -144,3 +144,38 @@ def all_slices_confusion(spark, d):
     tasks = F.array(F.struct(F.lit("hands").alias("task"), (F.col("hands") >= 1).alias("said"), (F.col("gold_hands") >= 1).alias("truth")), F.struct(F.lit("manipulation").alias("task"), F.col("manip").alias("said"), F.col("gold_manip").alias("truth")))
     rows = pairs.select("corpus", "judge", F.inline(tasks))
     return all_slices(rows, "said", "truth", "corpus", "judge", "task").withColumn("accuracy", F.round("accuracy", 6))
+
+
+_SHARDS = """x AS (SELECT source || '.tar' AS shard, lpad(doc_id::VARCHAR, 9, '0') AS stem, doc_id, lang, n_chars, strlen(text) AS size, doc_id % 7 <> 0 AS paired FROM documents),
+y AS (SELECT *, CASE WHEN paired THEN strlen('{"factory_id":"' || lang || '","duration_sec":' || n_chars || '}') END AS side FROM x),
+z AS (SELECT *, 512 + (size + 511) // 512 * 512 + CASE WHEN paired THEN 512 + (side + 511) // 512 * 512 ELSE 0 END AS room FROM y),
+s AS (SELECT *, coalesce(sum(room) OVER (PARTITION BY shard ORDER BY stem ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM z)"""
+
+
+def _corpus(spark, d):
+    """The folder of a corpus with a tar for each source of the documents, texts as clips; every seventh has no sidecar."""
+    folder = shared_folder(spark, "corpus")
+    side = F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit('{"factory_id":"'), "lang", F.lit('","duration_sec":'), F.col("n_chars"), F.lit("}")))
+    rows = table(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("stem"), F.col("text").cast("binary").alias("payload"), side.alias("sidecar"))
+    corpus.write_shards(rows, folder, "source", "stem", "payload", "sidecar")
+    return folder
+
+
+@query("corpus_manifest", f"WITH {_SHARDS} SELECT shard, stem AS clip_id, lang AS factory_id, n_chars::DOUBLE AS duration_sec, (base + 512)::BIGINT AS mp4_offset, size AS mp4_size FROM s WHERE paired")
+def corpus_manifest(spark, d):
+    """The manifest of the documents' shards, from headers and sidecars alone, by two runs of which the second goes on."""
+    folder, path = _corpus(spark, d), shared_folder(spark, "manifest")
+    corpus.extend_manifest(spark, folder, path, limit=3)
+    corpus.extend_manifest(spark, folder, path)
+    return corpus.known_manifest(spark, path).select("shard", "clip_id", "factory_id", "duration_sec", "mp4_offset", "mp4_size")
+
+
+@query("shard_contents", f"WITH {_SHARDS}, m AS (SELECT shard, 'mp4' AS ext, size FROM s UNION ALL SELECT shard, 'json', side FROM s WHERE paired) SELECT shard, ext, count(*) AS n, sum(size)::BIGINT AS bytes FROM m GROUP BY 1, 2")
+def shard_contents(spark, d):
+    """Members and bytes of each shard by extension, through the source of tar headers."""
+    from assayer.sources.tar import TarMembers, extension_histogram
+
+    paths = [r["path"] for r in corpus.list_shards(spark, _corpus(spark, d)).select("path").collect()]
+    spark.dataSource.register(TarMembers)
+    found = spark.read.format("tar_members").option("paths", ",".join(paths)).load()
+    return extension_histogram(found, "shard")

@@ -79,8 +79,8 @@ def clips(found: DataFrame) -> DataFrame:
     ).where("mp4_offset is not null and json_offset is not null")
 
 
-def extension_histogram(found: DataFrame) -> DataFrame:
-    return found.groupBy(F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+def extension_histogram(found: DataFrame, *by: str) -> DataFrame:
+    return found.groupBy(*by, F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
 def demo_shards(spark: SparkSession) -> DataFrame:
