@@ -62,3 +62,10 @@ def cluster_sizes(rows: DataFrame, cluster: str) -> DataFrame:
 
 def implied_icc(deff: Column, mean_size: Column) -> Column:
     return (deff - 1) / (mean_size - 1)
+
+
+def implications(deff: Column, mean_size: Column) -> dict[str, Column]:
+    """What a design effect says: icc, the correlation inside clusters of that mean size; width_excess, how much wider the
+    clustered interval is; understated, the share of its width that an iid interval leaves out. Null for no design effect."""
+    root = F.sqrt(deff)
+    return {"icc": F.when(mean_size > 1, implied_icc(deff, mean_size)), "width_excess": root - 1, "understated": F.when(deff > 0, 1 - 1 / root)}

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from assayer.functions import scalars as X
 from assayer.functions import schemas
+from assayer.operators import calibration as C
+from assayer.operators import compare as M
 from assayer.operators import pairing as P
 from assayer.operators import prevalence as V
 from assayer.operators import report, sampling
 from assayer.plans.agreement_queries import _ARMS, _PPI, _TUNED, estimates
-from assayer.plans.standins import frames, gold, responses, sql, table
+from assayer.plans.standins import frames, gold, ok_pairs, responses, sql, table
 from assayer.sources import readers, sinks
 from assayer.sources.shared import shared_folder
 
@@ -129,3 +131,44 @@ def figure_tables(spark, d):
     arms = spark.createDataFrame(_ARMS, "left string, right string, published double")
     margins = V.margins(e.where("judge = 'A'"), arms, "corpus").select(F.concat_ws("-", "left", "right").alias("label"), "published", F.col("delta").alias("corrected"), "lo", "hi")
     return report.figure_tables(prevalence, margins, naive.select(label, F.lit(0.9).alias("published"), F.col("naive").alias("judge"))).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query("evaluation_rows", "SELECT 'f' || doc_id AS frame_id, row_number() OVER (ORDER BY doc_id) - 1 AS frame_index FROM documents QUALIFY doc_id % 11 <> 0 AND length(text) > 0")
+def evaluation_rows(spark, d):
+    """Frames of a stored table by their id, with their place in the file; rows without a payload are skipped, not renumbered."""
+    path = shared_folder(spark, "evaluation")
+    image = F.struct(F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("text")).cast("binary").alias("bytes"))
+    rows = table(spark, d, "documents").select(F.concat(F.lit("f"), "doc_id").alias("frame_id"), image.alias("image"), "doc_id").repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id")
+    rows.drop("doc_id").write.parquet(path)
+    return readers.evaluation_frames(spark, path)
+
+
+_MARKS = ", ".join("'" + m.replace("'", "''") + "'" for m in X.REFUSALS)
+_SAID = f"""m AS (SELECT [{_MARKS}] AS marks), r AS (SELECT doc_id, 'Well. ' || CASE doc_id % 3 WHEN 0 THEN upper(marks[doc_id % len(marks) + 1]) WHEN 1 THEN left(marks[doc_id % len(marks) + 1], 5) ELSE marks[doc_id % len(marks) + 1] || ' answer' END AS raw FROM documents, m)"""
+
+
+@query("refusal_markers", f"WITH {_SAID} SELECT doc_id, raw, CASE WHEN len(list_filter(marks, lambda k: contains(lower(raw), k))) > 0 THEN 'refused' ELSE 'unparseable' END AS status FROM r, m")
+def refusal_markers(spark, d):
+    """Answers that hold each of the refusal phrases, in capitals, cut off, or inside a sentence."""
+    marks = F.array(*map(F.lit, X.REFUSALS))
+    mark = F.element_at(marks, (F.col("doc_id") % len(X.REFUSALS) + 1).cast("int"))
+    raw = F.concat(F.lit("Well. "), F.when(F.col("doc_id") % 3 == 0, F.upper(mark)).when(F.col("doc_id") % 3 == 1, F.substring(mark, 1, 5)).otherwise(F.concat(mark, F.lit(" answer"))))
+    return table(spark, d, "documents").select("doc_id", raw.alias("raw")).select("doc_id", "raw", X.parse_hand_count(F.col("raw"))["status"].alias("status"))
+
+
+@query("slice_of_all", sql("SELECT frame_id, judge FROM pairs WHERE corpus IN ('en', 'fr') AND manip AND gold_manip AND hands = gold_hands AND conf >= 0.9 AND conf < 0.99 AND judge IN ('A', 'B') AND cluster IS NOT NULL"))
+def slice_of_all(spark, d):
+    """Frames that meet all seven conditions of a slice; a condition that is null does not match."""
+    p = gold(spark, d).join(responses(spark, d), "frame_id")
+    conditions = [F.col("corpus").isin("en", "fr"), F.col("manip"), F.col("gold_manip"), X.agrees(F.col("hands"), F.col("gold_hands")), X.confidence_band(F.col("conf")) == "middle", F.col("judge").isin("A", "B"), F.col("cluster").isNotNull()]
+    return p.where(M.slice_filter(conditions)).select("frame_id", "judge")
+
+
+@query("calibration_report", sql("""WITH b AS (SELECT judge, corpus, least(trunc(conf / 0.1)::INT, 9) AS bin, count(*) AS n, avg(conf) AS c, avg((manip = gold_manip)::INT) AS a FROM ok_pairs GROUP BY ALL)
+SELECT judge, corpus, sum(n)::BIGINT AS n, round(sum(n * abs(a - c)) / sum(n), 6) AS ece, 10 AS bins, count(*) AS filled, round(max(abs(a - c)), 6) AS worst FROM b GROUP BY ALL"""))
+def calibration_report(spark, d):
+    """Calibration error and nested bins of each judge and corpus, never pooled."""
+    graded = ok_pairs(spark, d).withColumn("correct", F.col("manip") == F.col("gold_manip"))
+    out = C.report(graded, "conf", "correct", "judge", "corpus")
+    gaps = F.transform("bins", lambda b: F.abs(b["accuracy"] - b["mean_conf"]))
+    return out.select("judge", "corpus", "n", R("ece"), F.size("bins").alias("bins"), F.size(F.filter("bins", lambda b: b["n"] > 0)).alias("filled"), F.round(F.array_max(gaps), 6).alias("worst"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayer.functions import vocab
 from assayer.operators import multinomial as T
 from assayer.operators.reliability import task_outcomes
+from assayer.operators.resample import implications
 from assayer.plans.standins import responses, sql, table
 
 Q, SQL = {}, {}
@@ -83,7 +84,9 @@ e AS (SELECT g, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FRO
 f AS (SELECT g, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM jm GROUP BY 1),
 p AS (SELECT task, count(*) AS n, count(DISTINCT cluster) AS clusters, avg(value) AS point FROM o WHERE value IS NOT NULL GROUP BY 1)
 SELECT task, coalesce(n, 0) AS n, clusters, round(point, 6) AS point, round(e.lo, 6) AS iid_lo, round(e.hi, 6) AS iid_hi, round(f.lo, 6) AS cluster_lo, round(f.hi, 6) AS cluster_hi,
-  round(CASE WHEN e.hi > e.lo THEN pow((f.hi - f.lo) / (e.hi - e.lo), 2) END, 6) AS design_effect, CASE WHEN n IS NULL THEN 'no answers that are ok for this task' END AS why_absent
+  round(CASE WHEN e.hi > e.lo THEN pow((f.hi - f.lo) / (e.hi - e.lo), 2) END, 6) AS design_effect, CASE WHEN n IS NULL THEN 'no answers that are ok for this task' END AS why_absent,
+  round(CASE WHEN n > clusters AND e.hi > e.lo THEN (pow((f.hi - f.lo) / (e.hi - e.lo), 2) - 1) / (n / clusters - 1) END, 6) AS icc, round(CASE WHEN e.hi > e.lo THEN (f.hi - f.lo) / (e.hi - e.lo) - 1 END, 6) AS width_excess,
+  round(CASE WHEN e.hi > e.lo AND f.hi > f.lo THEN 1 - (e.hi - e.lo) / (f.hi - f.lo) END, 6) AS understated
 FROM (SELECT unnest({list(_TASKS)!r}) AS task) LEFT JOIN p USING (task) LEFT JOIN e ON e.g = task LEFT JOIN f ON f.g = task""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
@@ -92,5 +95,6 @@ def design_effects_by_task(spark, d):
     """Both intervals and the design effect of every task, one that nobody answered included."""
     rows = task_outcomes(responses(spark, d).where("judge = 'A'"), "cluster")
     tasks = spark.createDataFrame([(t,) for t in _TASKS], "task string")
-    numbers = ("point", "iid_lo", "iid_hi", "cluster_lo", "cluster_hi", "design_effect")
-    return T.design_effects(rows, tasks, "value", "cluster").withColumns({c: F.round(c, 6) for c in numbers})
+    numbers = ("point", "iid_lo", "iid_hi", "cluster_lo", "cluster_hi", "design_effect", "icc", "width_excess", "understated")
+    effects = T.design_effects(rows, tasks, "value", "cluster")
+    return effects.withColumns(implications(F.col("design_effect"), F.col("n") / F.col("clusters"))).withColumns({c: F.round(c, 6) for c in numbers})
