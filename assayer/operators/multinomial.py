@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,7 +159,7 @@ def resample_sums(cells: DataFrame, by: list[str], order: list[str], weight: str
 
     A group's cells are told by order; weight, a whole number, is how many rows a cell stands for; the draws of a group
     are as many as its rows, or those that draws (an aggregate over the group's cells) gives. Cells without weight are
-    never drawn, and a group of such cells alone has no resamples."""
+    never drawn, and a group of such cells alone has no resamples. A null in payload counts as 0."""
     spark = cells.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     live = cells.where(F.col(weight) > 0).select(*by, *order, F.col(weight).cast("long").alias("_w"), *[F.col(c).cast("double").alias(c) for c in payload if c not in by + order])
@@ -193,10 +194,9 @@ def resample_sums(cells: DataFrame, by: list[str], order: list[str], weight: str
         own = own.sort_by("_rank")
         rank = own.column("_rank").to_numpy()
         all_draws, w = np.frombuffer(parents.column("_at")[0].as_py(), "<i8"), own.column("_w").to_numpy()
-        values = np.column_stack([own.column(f"_p{i}").to_numpy(zero_copy_only=False) for i in range(len(payload))])
-        values = np.nan_to_num(values, nan=0.0, posinf=np.inf, neginf=-np.inf) if len(values) else values
+        values = np.column_stack([pc.fill_null(own.column(f"_p{i}"), 0.0).to_numpy() for i in range(len(payload))])
         sums = np.concatenate([split(w, all_draws[x : x + _CHUNK], int(rank[0]), 0, seed, x) @ values for x in range(0, resamples, _CHUNK)])
-        group = pa.concat_arrays([own.column("_group").combine_chunks().slice(0, 1)] * 1).take(pa.array(np.zeros(resamples, np.int64)))
+        group = own.column("_group").combine_chunks().take(pa.array(np.zeros(resamples, np.int64)))
         return pa.table({"_group": group, "b": pa.array(np.arange(resamples)), **{f"_p{i}": pa.array(sums[:, i]) for i in range(len(payload))}})
 
     rows = live.select("_group", "_rank", node(1), "_w", *[F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(payload)])

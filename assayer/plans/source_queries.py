@@ -8,7 +8,7 @@ from assayer.functions import records, schemas
 from assayer.operators import frames as FR
 from assayer.operators import judging, prose
 from assayer.operators.agreement import all_slices
-from assayer.plans.standins import all_pairs, frames, gold, sql, table
+from assayer.plans.standins import all_pairs, frames, sql, table
 from assayer.sources import corpus, row_index
 from assayer.sources.shared import shared_folder
 
