@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -321,7 +322,7 @@ def _compared(k: int):
         out = []
         if points.num_rows and asked.num_rows:
             for d in np.intersect1d(points.column("dim").to_numpy(), asked.column("dim").to_numpy()).tolist():
-                mine = lambda t: t.filter(pa.compute.equal(t.column("dim"), d))  # noqa: B023, E731
+                mine = lambda t: t.filter(pc.equal(t.column("dim"), d))  # noqa: B023, E731
                 out.append(of_dim(mine(points), mine(asked), d))
         q, i, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
