@@ -201,7 +201,8 @@ def resample(
 ) -> DataFrame:
     """key, n_features, weight, score, rank: every row; rank 1, 2, ... of the floor(percent N / 100) drawn of the N rows with enough words."""
     spark = docs.sparkSession
-    gains = bucket_gains(bucket_counts(docs, text, longest, buckets), bucket_counts(target, target_text, longest, buckets), buckets)
+    counts = lambda df, column: written(bucket_counts(df, column, longest, buckets), "target-buckets")
+    gains = bucket_gains(counts(docs, text), counts(target, target_text), buckets)
     table = np.zeros(buckets, np.int64)
     for r in gains.collect():  # one row a bucket
         table[r["bucket"]] = r["gain"]
