@@ -57,6 +57,10 @@ SEPARATORS = set(".-_*~'`^,:;/\\ ")
 _EDGE = ".,;:!?\"'()[]{}<>*%&#$|+-_~^`/\\=«»“”„…¡¿"
 _SPACED = re.compile(r"(?<!\S)(?:[^\s][ .\-_*]{1,2}){2,}[^\s](?![^\s.,;:!?])")
 _RUN = re.compile(r"(\w)\1{2,}")
+_LETTER, _TAIL = np.zeros(256, np.int64), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1  # 0xC3 begins the letters of Latin-1
+_LETTER[[0x97, 0xB7]] = 0  # the two of them that are no letters
+_TAIL[[ord(c) for c in ".,;:?!\"')"]] = True  # of _EDGE
 
 
 #: Costs of the channel: a sign for a letter, two letters for a long run, one separator as the end of a word, a first sign that is no letter, and a bracket there.
@@ -170,6 +174,12 @@ class Reader:
 
     def __init__(self, model: CharModel, weights: dict[str, float] | None = None):
         self.model, self.weights, self.cache = model, weights, {}
+        # A plain word has evidence only if it is a whole feature or starts as a prefix feature does.
+        self.whole = {f[1:] for f in weights or () if f[0] == "="}
+        self.starts = {f[:3] for f in weights or () if f[0] != "="}
+
+    def may_tell(self, word: str) -> bool:
+        return self.weights is None or word[:3] in self.starts or word in self.whole
 
     def words(self, chunk: str) -> list[str]:
         """The chunk as a plain word, or the words of its reading if it may be disguised."""
@@ -217,6 +227,24 @@ class Reader:
         return found | self.spaced(text)
 
 
+def _plain(d: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which chunks are Latin-1 letters, surely no three alike in a row, before one mark at most; where the letters end."""
+    letters = np.concatenate([[0], np.cumsum(_LETTER[d])])
+    low = d | 32  # letters that differ by case are alike, and some more are
+    end = y - (_TAIL[d[y - 1]] & (y - x > 1))
+    fine = letters[end] - letters[x] == end - x
+    for size in (1, 2):
+        if len(d) > 2 * size:
+            once = low[size:] == low[:-size]
+            twice = once[size:] & once[:-size]
+            if size == 2:
+                twice[:-1] &= twice[1:]
+            before = np.concatenate([[0], np.cumsum(twice)])
+            at = lambda i: before[np.minimum(i, len(before) - 1)]  # noqa: B023, E731
+            fine &= at(np.maximum(end - 3 * size + 1, x)) == at(x)
+    return fine, end
+
+
 class Scorer:
     """Evidence of many texts at a time: chunks are known by fingerprint, and only those with evidence are looked at again."""
 
@@ -237,8 +265,14 @@ class Scorer:
         new = np.flatnonzero(entry < 0)
         data = part.data.tobytes()
         if len(new):
-            for k, x, y in zip(new.tolist(), s[first[new]].tolist(), e[first[new]].tolist(), strict=True):
-                found = self.reader.chunk(data[x:y])
+            x, y = s[first[new]], e[first[new]]
+            plain, end = _plain(part.data, x, y)
+            for k, x, y, z in zip(new.tolist(), x.tolist(), y.tolist(), np.where(plain, end, 0).tolist(), strict=True):
+                if z:
+                    word = data[x:z].decode().lower()
+                    found = self.reader.found([word]) if self.reader.may_tell(word) else _NOTHING
+                else:
+                    found = self.reader.chunk(data[x:y])
                 entry[k] = len(self.found) if found else 0
                 if found:
                     self.found.append(found)
@@ -247,8 +281,13 @@ class Scorer:
         which = entry[place]
         at = np.flatnonzero(which > 0)
         text = np.searchsorted(np.cumsum(counts), at, side="right")
-        for t, w in zip(text.tolist(), which[at].tolist(), strict=True):
-            out[t] = out[t] | self.found[w]
+        # Each find of a text once, in the order of the text, so that equal texts add up alike.
+        once = np.sort(np.unique(text * len(self.found) + which[at], return_index=True)[1])
+        for t, w in zip(text[once].tolist(), which[at[once]].tolist(), strict=True):
+            if out[t] is _NOTHING:
+                out[t] = dict(self.found[w])
+            else:
+                out[t].update(self.found[w])
         if _GAPS.search(data):
             for t in range(len(part)):
                 if more := self.reader.spaced(part.raw(t)):

@@ -71,3 +71,17 @@ def test_only_local_mode_falls_back_to_a_local_folder():
     assert shared_folder(local) == shared_folder(local)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session(spark_master="yarn"))
+
+
+def test_scorer_finds_what_the_reader_finds(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    odd = [None, "", "a", "ab", "abc!", "abcd.", "ABBBa fuuuck Idiot, idi0t! !idiot (idiot) idiot) 'idiot' i.d.i.o.t idiot.. idio", "aaa AaA aab ab.", "é éé ééé Ééé aéÉéa ÀÀÀ ×××a a×b ÷ ßßß ñandú. über! Ōk ÿÿÿ idiöt 中文 😀a ababab éaéaéa idiÉÉÉ", "x" * 500 + " idiot", "id\u0131ot IDIOT? idiotic"]
+    model = toxicity.CharModel(np.ones(toxicity.SYMBOLS**3))
+    weights = {"=idiot": 2.0, "idi": 0.5, "idiot": 1.5, "=ab": 1.0, "que": 0.3, "=the": 0.1, "the": 0.2}
+    texts = [*odd, *docs]
+    scorer, reader = toxicity.Scorer(toxicity.Reader(model, weights)), toxicity.Reader(model, weights)
+    got = [f for part in toxicity.K.blocks(toxicity.K.buffers(pa.array(texts, pa.string())), 20_000) for f in scorer.texts(part)]
+    assert got == [reader.text((t or "").encode()) for t in texts] and sum(map(bool, got)) > 20
