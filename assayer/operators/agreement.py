@@ -63,8 +63,11 @@ def error_dependence(gold: DataFrame, responses: DataFrame, truth: str, answer:
     other = errors.withColumnsRenamed({"judge": "judge_b", "e": "f"})
     both = errors.join(other, [*by, "frame_id"]).where("judge < judge_b")
     c = both.groupBy(*by, "judge", "judge_b").agg(F.sum(F.col("e") * F.col("f")).alias("n11"), F.sum("e").alias("n1"), F.sum("f").alias("m1"), F.count(F.lit(1)).alias("n"))
-    spread = F.sqrt((F.col("n1") * (F.col("n") - F.col("n1")) * F.col("m1") * (F.col("n") - F.col("m1"))).cast("double"))
-    phi = F.when(spread > 0, (F.col("n") * F.col("n11") - F.col("n1") * F.col("m1")) / spread).otherwise(0.0)
+    # Products of four counts leave 64 bits at some 100,000 frames, those of two at some 3 billion.
+    real, exact = (lambda c: F.col(c).cast("double")), (lambda c: F.col(c).cast("decimal(19,0)"))
+    spread = F.sqrt(real("n1") * real("m1") * (real("n") - real("n1")) * (real("n") - real("m1")))
+    covered = (exact("n") * exact("n11") - exact("n1") * exact("m1")).cast("double")
+    phi = F.when(spread > 0, covered / spread).otherwise(0.0)
     return c.withColumn("phi", phi).groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("phi").alias("phi"))
 
 
