@@ -135,12 +135,12 @@ def figure_tables(spark, d):
 
 @query("evaluation_rows", "SELECT 'f' || doc_id AS frame_id, row_number() OVER (ORDER BY doc_id) - 1 AS frame_index FROM documents QUALIFY doc_id % 11 <> 0 AND length(text) > 0")
 def evaluation_rows(spark, d):
-    """Frames of a stored table by their id, with their place in the file; rows without a payload are skipped, not renumbered."""
+    """Frames of a stored table by their id, with their place in the table, which is stored by ranges of ids; rows without a payload are skipped, not renumbered."""
     path = shared_folder(spark, "evaluation")
     image = F.struct(F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("text")).cast("binary").alias("bytes"))
-    rows = table(spark, d, "documents").select(F.concat(F.lit("f"), "doc_id").alias("frame_id"), image.alias("image"), "doc_id").repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id")
+    rows = table(spark, d, "documents").select(F.concat(F.lit("f"), "doc_id").alias("frame_id"), image.alias("image"), "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     rows.drop("doc_id").write.parquet(path)
-    return readers.evaluation_frames(spark, path)
+    return readers.evaluation_frames(spark, path, through=True)
 
 
 _MARKS = ", ".join("'" + m.replace("'", "''") + "'" for m in X.REFUSALS)

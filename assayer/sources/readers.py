@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,10 +28,22 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, schemas.RESPONSE)
 
 
-def evaluation_frames(spark: SparkSession, path: str, id_prefix: str | None = None) -> DataFrame:
-    """frame_id, frame_index (the row's place in its file) of frames with image bytes; without an id column the id is
-    the image's digest behind id_prefix. Only the columns asked for are scanned."""
-    raw = spark.read.parquet(path).select("*", F.col("_metadata.row_index").alias("frame_index"))
+def _places(table: DataFrame) -> DataFrame:
+    """The table with frame_index, the row's place from 0 when its files are read in the order of their names."""
+    file = F.col("_metadata.file_name")
+    sizes = table.groupBy(file.alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    starts = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = table.select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return rows.join(F.broadcast(starts), "_file").withColumn("frame_index", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
+def evaluation_frames(spark: SparkSession, path: str, id_prefix: str | None = None, through: bool = False) -> DataFrame:
+    """frame_id, frame_index (the row's place in its file, or, if through, in all files of the folder in the order of their
+    names) of frames with image bytes; without an id column the id is the image's digest behind id_prefix. Only the columns
+    asked for are scanned."""
+    table = spark.read.parquet(path)
+    raw = _places(table) if through else table.select("*", F.col("_metadata.row_index").alias("frame_index"))
     ident = F.col("frame_id") if id_prefix is None else content_id(id_prefix, F.col("image.bytes"))
     return raw.where(F.length("image.bytes") > 0).select(ident.alias("frame_id"), "frame_index")
 

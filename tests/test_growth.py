@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from assayer.operators import agreement as A
+from assayer.plans import coverage_queries
 
 
 def test_error_dependence_of_many_frames(spark):
@@ -14,3 +15,20 @@ def test_error_dependence_of_many_frames(spark):
     row = A.error_dependence(truth, answers, "truth", "said").first()
     assert row.n_pairs == 1
     assert abs(row.phi - 3**-0.5) < 1e-12  # n11 = n/4, n1 = n/2, m1 = n/4
+
+
+def test_evaluation_rows_are_stored_by_ranges(spark, tmp_path):
+    """No task takes the whole table, and a row's place counts through all files."""
+    spark.range(3000).select(((F.col("id") * 1117) % 3001).alias("doc_id"), F.when(F.col("id") % 7 > 0, F.repeat(F.lit("x"), 500)).otherwise("").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = coverage_queries.evaluation_rows(spark, str(tmp_path))
+        got = sorted((r.frame_index, r.frame_id) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    rows = sorted((i * 1117 % 3001, i % 7 > 0) for i in range(3000))
+    assert got == [(place, f"f{doc}") for place, (doc, text) in enumerate(rows) if text and doc % 11]
+    stored = spark.read.parquet(found.inputFiles()[0].rsplit("/", 1)[0])
+    sizes = [r["count"] for r in stored.groupBy("_metadata.file_name").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1500
