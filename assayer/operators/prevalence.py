@@ -20,6 +20,18 @@ def moments(gold: DataFrame, unlabelled: DataFrame, truth: str, answer: str, *by
     return g.join(u, list(by)) if by else g.crossJoin(u)
 
 
+def moments_by_presence(answers: DataFrame, truth: str, answer: str, there: str, *by: str) -> DataFrame:
+    """moments() of answers beside their truth, in one pass: there tells the rows that have a truth from the unlabelled ones.
+    Groups that lack either part have no row."""
+    y, f = F.col(truth).cast("double"), F.col(answer).cast("double")
+    own, rest = (lambda c: F.when(F.col(there), c)), (lambda c: F.when(~F.col(there), c))
+    m = answers.groupBy(*by).agg(
+        F.count_if(F.col(there)).alias("n"), F.avg(own(y)).alias("y_mean"), F.avg(own(f)).alias("f_mean"), _zero(F.var_samp(own(y))).alias("y_var"), _zero(F.var_samp(own(f))).alias("f_var"),
+        _zero(F.covar_samp(own(f), own(y))).alias("cov"), F.count_if(~F.col(there)).alias("n_unlabelled"), F.avg(rest(f)).alias("u_mean"), _zero(F.var_samp(rest(f))).alias("u_var"),
+    )
+    return m.where("n > 0 and n_unlabelled > 0") if by else m
+
+
 def ppi(m: DataFrame, tuned: bool = True) -> DataFrame:
     """Adds lam, rectifier, value, var_gold, var_unlabelled, se, lo, hi (not clipped) to moments."""
     lam = F.when(F.col("f_var") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cov") / F.col("f_var")))).otherwise(0.0) if tuned else F.lit(1.0)

@@ -14,7 +14,7 @@ from assayer.operators import report, sampling
 from assayer.plans.agreement_queries import _ARMS, _PPI, _TUNED, estimates
 from assayer.plans.standins import frames, gold, ok_pairs, responses, sql, table
 from assayer.sources import readers, sinks
-from assayer.sources.shared import shared_folder
+from assayer.sources.shared import shared_folder, stored
 
 Q, SQL = {}, {}
 R = lambda c, n=6: F.round(F.col(c), n).alias(c)
@@ -125,7 +125,8 @@ SELECT section, row, "column", round(value, 6) + 0::DOUBLE AS value FROM (SELECT
 UNION ALL SELECT 'margin', label, unnest(['published', 'corrected', 'lo', 'hi']), unnest([published, corrected, lo, hi]) FROM mg UNION ALL SELECT 'vendor', label, unnest(['published', 'judge']), unnest([published, judge]) FROM vn) WHERE value IS NOT NULL"""))
 def figure_tables(spark, d):
     """Prevalence, margins and vendor rates as one long table."""
-    e, naive = estimates(spark, d), V.naive(responses(spark, d), "manip", "corpus", "judge")
+    # Few rows that five tables are made of: written once, else each would read all texts again.
+    e, naive = stored(estimates(spark, d), "estimates"), stored(V.naive(responses(spark, d), "manip", "corpus", "judge"), "naive")
     label = F.concat_ws("/", "corpus", "judge").alias("label")
     prevalence = e.join(naive.select("corpus", "judge", "naive"), ["corpus", "judge"]).select(label, F.lit(0.9).alias("published"), F.col("naive").alias("judge"), F.col("value").alias("corrected"), "lo", "hi")
     arms = spark.createDataFrame(_ARMS, "left string, right string, published double")

@@ -1,9 +1,14 @@
 """Steps that must not fail or gather in one task as tables grow."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
+from assayer import catalog
 from assayer.operators import agreement as A
-from assayer.plans import coverage_queries
+from assayer.operators import prevalence as V
+from assayer.plans import coverage_queries, standins
 
 
 def test_error_dependence_of_many_frames(spark):
@@ -32,3 +37,32 @@ def test_evaluation_rows_are_stored_by_ranges(spark, tmp_path):
     stored = spark.read.parquet(found.inputFiles()[0].rsplit("/", 1)[0])
     sizes = [r["count"] for r in stored.groupBy("_metadata.file_name").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 1500
+
+
+def test_letters_of_odd_texts(spark, tmp_path):
+    """Counted without naming what is no letter: marks, digits, other scripts and pairs of surrogates."""
+    texts = ["Abc é×÷ÿ.", "1234", "日本 x", "\U0001f600a!", "a\n\tb", "Ā", "." * 400]
+    rows = [(i * 31, t, "en", "s", len(t)) for i, t in enumerate(texts, 1000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = standins.responses(spark, str(tmp_path)).where("judge = 'A' and status = 'ok'")
+    share = lambda t: len(re.findall("[A-Za-zÀ-ÿ ]", t)) / len(t)
+    want = {i: (share(t) > 0.9, 2 if share(t) > 0.97 else int(share(t) > 0.9)) for i, t, *_ in rows if i % 23 and i % 29 and i % 31}
+    assert {r.frame_id: (r.manip, r.hands) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^" not in plan
+
+
+@pytest.mark.parametrize("name", ["figure_tables", "prevalence_ppi_plus"])
+def test_texts_are_judged_once(spark, name):
+    """A query that looks at its answers again does not read the texts again."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 1
+
+
+def test_moments_in_one_pass(spark):
+    rows = [("x", i % 3 == 0, i % 5 == 0, i % 4 > 0) for i in range(40)] + [("labels only", True, True, True), ("answers only", True, False, False), ("x", None, True, True)]
+    r = spark.createDataFrame(rows, "arm string, y boolean, f boolean, there boolean")
+    want = V.moments(r.where("there"), r.where("not there"), "y", "f", "arm").collect()
+    got = V.moments_by_presence(r, "y", "f", "there", "arm").collect()
+    assert [w.arm for w in want] == [g.arm for g in got] == ["x"]
+    assert got[0][1:] == pytest.approx(want[0][1:])
