@@ -129,7 +129,7 @@ CASE WHEN bad THEN 0 ELSE [0, 0.001, 0.003, 0.006, 0.009][fails + 1] END::DOUBLE
 def judge_retries(spark, d):
     """A judge that fails in passing, for good, or too often: attempts and waiting times of each answer."""
     f = frames(spark, d).select("frame_id", "text")
-    got = judging.judge_with_retries(f, "J", "1", "P0", _Flaky(), "text", judging.Retry(4, 0.001, 0.003), workers=4, partitions=4)
+    got = judging.judge_with_retries(f, "J", "1", "P0", _Flaky(), "text", judging.Retry(4, 0.001, 0.003), workers=4)
     return got.select("frame_id", "status", "hands_visible", "manipulation", "raw", "attempts", F.round("waited_s", 6).alias("waited_s"))
 
 

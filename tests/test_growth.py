@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assayer import catalog
 from assayer.operators import agreement as A
 from assayer.operators import prevalence as V
-from assayer.plans import coverage_queries, standins
+from assayer.plans import coverage_queries, source_queries, standins
 
 
 def test_error_dependence_of_many_frames(spark):
@@ -39,6 +39,18 @@ def test_evaluation_rows_are_stored_by_ranges(spark, tmp_path):
     assert len(sizes) == 4 and max(sizes) < 1500
 
 
+def test_judges_are_asked_where_their_frames_lie(spark, tmp_path):
+    """The number of tasks that ask grows with the table."""
+    spark.range(60).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars")).repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        got = source_queries.judge_retries(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() == 12 and got.count() == 60
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
 def test_letters_of_odd_texts(spark, tmp_path):
     """Counted without naming what is no letter: marks, digits, other scripts and pairs of surrogates."""
     texts = ["Abc é×÷ÿ.", "1234", "日本 x", "\U0001f600a!", "a\n\tb", "Ā", "." * 400]
