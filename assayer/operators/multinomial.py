@@ -32,24 +32,29 @@ BITS = 12
 FAN = 1 << BITS
 FEW, ATTEMPTS, WAITS = 64, 32, 96
 _CHUNK = 256
-_LOW = np.uint64(0xFFFFFFFF)
+#: Draws that are made at once: few enough that their numbers stay in a core's cache.
+_BLOCK = 1 << 15
+
+
+def _word(x: int) -> np.uint32:
+    return np.uint32(x & 0xFFFFFFFF)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
-    """32 bits of which each depends on all of x's."""
+    """32 bits of which each depends on all of x's; products keep their low 32 bits."""
     for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor) & _LOW
-    return x ^ (x >> np.uint64(16))
+        x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
+    return x ^ (x >> np.uint32(16))
 
 
 def _key(seed: int, b: np.ndarray, height: int, node: np.ndarray) -> np.ndarray:
-    key = _scramble(np.asarray(b, np.uint64) + np.uint64(seed * 65_537) & _LOW)
-    key = _scramble(key + np.uint64(height * 1_000_003) & _LOW)
-    return _scramble(key ^ (np.asarray(node, np.uint64) & _LOW))
+    key = _scramble(np.asarray(b).astype(np.uint32) + _word(seed * 65_537))
+    key = _scramble(key + _word(height * 1_000_003))
+    return _scramble(key ^ np.asarray(node).astype(np.uint32))
 
 
 def _uniform(key: np.ndarray, i: int) -> np.ndarray:
-    return (_scramble(key + np.uint64((i + 1) * 7_919) & _LOW) + 0.5) / 4294967296.0
+    return (_scramble(key + _word((i + 1) * 7_919)) + 0.5) / 4294967296.0
 
 
 _EXACT = np.array([math.lgamma(i + 1) for i in range(32)])
@@ -57,7 +62,7 @@ _EXACT = np.array([math.lgamma(i + 1) for i in range(32)])
 
 def _log_factorial(n: np.ndarray) -> np.ndarray:
     x = np.maximum(n.astype(np.float64), 1)
-    series = (x + 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    series = (x + 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * (x * x * x)) + 1 / (1260 * (x * x * x * x * x))
     return np.where(n < 32, _EXACT[np.clip(n, 0, 31)], series)
 
 
@@ -67,7 +72,6 @@ def _rejected(n: np.ndarray, p: np.ndarray, key: np.ndarray) -> np.ndarray:
     b = 1.15 + 2.53 * spread
     a, c, alpha, sure = -0.0873 + 0.0248 * b + 0.01 * p, n * p + 0.5, (2.83 + 5.1 / b) * spread, 0.92 - 4.2 / b
     mode = np.floor((n + 1) * p).astype(np.int64)
-    top, odds = _log_factorial(mode) + _log_factorial(n - mode), np.log(p / (1 - p))
     out, open_ = mode.copy(), np.arange(len(n))
     for t in range(ATTEMPTS):
         if not len(open_):
@@ -77,9 +81,11 @@ def _rejected(n: np.ndarray, p: np.ndarray, key: np.ndarray) -> np.ndarray:
         us = 0.5 - np.abs(u)
         k = np.floor((2 * a[o] / us + b[o]) * u + c[o]).astype(np.int64)
         inside = (k >= 0) & (k <= n[o])
-        k_ = np.clip(k, 0, n[o])
-        level = np.log(v * alpha[o] / (a[o] / (us * us) + b[o])) <= top[o] - _log_factorial(k_) - _log_factorial(n[o] - k_) + (k_ - mode[o]) * odds[o]
-        take = inside & (((us >= 0.07) & (v <= sure[o])) | level)
+        take = inside & (us >= 0.07) & (v <= sure[o])
+        ask = np.flatnonzero(inside & ~take)  # some one in eight needs the exact weights
+        d, us, k_ = o[ask], us[ask], k[ask]
+        top, odds = _log_factorial(mode[d]) + _log_factorial(n[d] - mode[d]), np.log(p[d] / (1 - p[d]))
+        take[ask] = np.log(v[ask] * alpha[d] / (a[d] / (us * us) + b[d])) <= top - _log_factorial(k_) - _log_factorial(n[d] - k_) + (k_ - mode[d]) * odds
         out[o[take]] = k[take]
         open_ = o[~take]
     return out
@@ -101,9 +107,16 @@ def binomial(n: np.ndarray, p: np.ndarray, key: np.ndarray) -> np.ndarray:
     out = np.where(p >= 1, n, 0).astype(np.int64)
     some = (n > 0) & (p > 0) & (p < 1)
     few = np.flatnonzero(some & (n <= FEW))
-    for i in range(int(n[few].max(initial=0))):
-        few = few[n[few] > i]
-        out[few] += _uniform(key[few], i) < p[few]
+    left, chance, own = n[few], p[few], key[few]
+    won = np.zeros(len(few), np.int64)
+    for i in range(int(left.max(initial=0))):
+        more = left > i
+        if np.count_nonzero(more) < 0.7 * len(more):
+            out[few] = won
+            few, left, chance, own, won = few[more], left[more], chance[more], own[more], won[more]
+            more = True
+        won += (_uniform(own, i) < chance) & more
+    out[few] = won
     many = np.flatnonzero(some & (n > FEW))
     flip = p[many] > 0.5
     q = np.where(flip, 1 - p[many], p[many])
@@ -129,11 +142,13 @@ def split(weights: np.ndarray, draws: np.ndarray, first: int, base: int, seed: i
         live = np.flatnonzero(here)
         node = (first >> up) + live
         p = np.divide(below[0::2][live], here[live])
-        n = now[:, live]
-        key = _key(seed, b[:, None], base + up, node[None, :])
-        left = binomial(n.ravel(), np.broadcast_to(p, n.shape).ravel(), key.ravel()).reshape(n.shape)
-        now = np.zeros((len(b), len(below)), np.int64)
-        now[:, 2 * live], now[:, 2 * live + 1] = left, n - left
+        above, now = now, np.zeros((len(b), len(below)), np.int64)
+        step = max(1, _BLOCK // max(1, len(live)))
+        for x in range(0, len(b), step):
+            n = above[x : x + step, live] if len(live) < len(here) else above[x : x + step]
+            key = _key(seed, b[x : x + step, None], base + up, node[None, :])
+            left = binomial(n.ravel(), np.broadcast_to(p, n.shape).ravel(), key.ravel()).reshape(n.shape)
+            now[x : x + step, 2 * live], now[x : x + step, 2 * live + 1] = left, n - left
     return now[:, : len(weights)]
 
 
@@ -165,7 +180,10 @@ def resample_sums(cells: DataFrame, by: list[str], order: list[str], weight: str
     live = cells.where(F.col(weight) > 0).select(*by, *order, F.col(weight).cast("long").alias("_w"), *[F.col(c).cast("double").alias(c) for c in payload if c not in by + order])
     live = stored(_groups(live, by, order, parts).withColumn("_group", F.struct(F.lit(0), *by)), "cells")
     totals = live.groupBy("_group").agg((draws if draws is not None else F.sum("_w")).cast("long").alias("_draws"), F.max("_rank").alias("_last"))
-    last = totals.agg(F.max("_last")).first()[0] or 0
+    found = totals.agg(F.max("_last").alias("last"), F.sum(F.shiftright("_last", BITS) + 1).alias("nodes")).first()
+    last, parts = found["last"] or 0, min(parts, found["nodes"] or 1)
+    # Few bytes make much work here, so nodes are dealt by number: partitions merged by size would leave it to a few tasks.
+    nodes = lambda df: df.repartition(parts, "_group", "_node").groupBy("_group", "_node")
     tiers = 1
     while last >> (BITS * tiers):
         tiers += 1
@@ -188,7 +206,7 @@ def resample_sums(cells: DataFrame, by: list[str], order: list[str], weight: str
 
     for t in range(tiers - 1, 0, -1):
         below = live.groupBy("_group", F.shiftright("_rank", BITS * t).alias("_child")).agg(F.sum("_w").alias("_w")).withColumn("_node", F.shiftright("_child", BITS))
-        held = held.groupBy("_group", "_node").cogroup(below.groupBy("_group", "_node")).applyInArrow(children(t), f"_group {kind}, _node long, _at binary")
+        held = nodes(held).cogroup(nodes(below)).applyInArrow(children(t), f"_group {kind}, _node long, _at binary")
 
     def leaves(parents: pa.Table, own: pa.Table) -> pa.Table:
         own = own.sort_by("_rank")
@@ -201,7 +219,7 @@ def resample_sums(cells: DataFrame, by: list[str], order: list[str], weight: str
 
     rows = live.select("_group", "_rank", node(1), "_w", *[F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(payload)])
     columns = ", ".join(f"_p{i} double" for i in range(len(payload)))
-    found = held.groupBy("_group", "_node").cogroup(rows.groupBy("_group", "_node")).applyInArrow(leaves, f"_group {kind}, b long, {columns}")
+    found = nodes(held).cogroup(nodes(rows)).applyInArrow(leaves, f"_group {kind}, b long, {columns}")
     return found.groupBy("_group", "b").agg(*[F.sum(f"_p{i}").alias(f"_s{i}") for i in range(len(payload))]).select(*[F.col(f"_group.{c}").alias(c) for c in by], "b", *[F.col(f"_s{i}").alias(c if c not in by else f"{c}_sum") for i, c in enumerate(payload)])
 
 

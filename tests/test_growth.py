@@ -2,11 +2,13 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from assayer import catalog
 from assayer.operators import agreement as A
+from assayer.operators import multinomial as T
 from assayer.operators import prevalence as V
 from assayer.plans import coverage_queries, source_queries, standins
 
@@ -78,3 +80,23 @@ def test_moments_in_one_pass(spark):
     got = V.moments_by_presence(r, "y", "f", "there", "arm").collect()
     assert [w.arm for w in want] == [g.arm for g in got] == ["x"]
     assert got[0][1:] == pytest.approx(want[0][1:])
+
+
+def test_draws_are_made_in_blocks_and_do_not_depend_on_them(monkeypatch):
+    sizes, draw = [], T.binomial
+    monkeypatch.setattr(T, "binomial", lambda n, p, key: sizes.append(len(n)) or draw(n, p, key))
+    w, draws = np.arange(4096) % 700, np.full(256, 60_000)
+    got = T.split(w, draws, 8192, 12, 7)
+    assert max(sizes) <= T._BLOCK and (got.sum(axis=1) == 60_000).all() and not got[:, w == 0].any()
+    monkeypatch.setattr(T, "_BLOCK", 1 << 30)
+    assert (T.split(w, draws, 8192, 12, 7) == got).all()
+
+
+def test_nodes_of_a_tree_are_dealt_by_number(spark):
+    """Cells of few bytes are still split by as many tasks as there are partitions."""
+    cells = spark.range(40_000).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("k"))
+    sums = T.resample_sums(cells.withColumn("x", F.col("v")), [], ["v"], "k", ["x"], 3)
+    sums.collect()
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and "hashpartitioning(_group" in plan
+    assert T.resample_sums(cells.where("v < 9"), [], ["v"], "k", ["v"], 3).count() == 3
