@@ -62,7 +62,7 @@ def task_remap(spark, d):
 SELECT 'gold' AS part, count(*) AS n, count(*) FILTER (manip) AS positive FROM a JOIN g USING (frame_id) UNION ALL SELECT 'unlabelled', count(*), count(*) FILTER (manip) FROM a WHERE frame_id NOT IN (SELECT frame_id FROM g)"""))
 def gold_and_unlabelled(spark, d):
     """Gold rows with their answer, all of which must be there, and the answers without gold."""
-    r = responses(spark, d).where("judge = 'B'")
+    r = stored(responses(spark, d).where("judge = 'B'"), "answers")
     answered = gold(spark, d).join(P.comparable(r).select("frame_id"), "frame_id", "left_semi")
     joined, rest = P.gold_and_unlabelled(answered, r)
     count = lambda df, part: df.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"), F.count_if("manip").alias("positive"))
