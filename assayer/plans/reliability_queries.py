@@ -10,6 +10,7 @@ from assayer.operators.pairing import timed_retest
 from assayer.plans.agreement_queries import _TUNED
 from assayer.plans.standins import all_pairs, frames, gold, ok_pairs, responses, sql
 from assayer.plans.stat_queries import _B, _cluster, _recursive
+from assayer.sources.shared import stored
 
 Q, SQL = {}, {}
 R = lambda c, n=6: F.round(F.col(c), n).alias(c)
@@ -107,7 +108,7 @@ res AS (SELECT cluster, gold_manip::INT - (SELECT lam FROM pt) * manip::INT AS r
 @query("prevalence_ppi_clustered", _recursive(sql("WITH " + _ARM + _RESIDUALS + """, se AS (SELECT *, lam * um + ym - lam * fm AS value, sqrt(pow((hi - lo) / (2 * 1.959963984540054), 2) + lam * lam * uv / n_unlabelled) AS se FROM pt, ci)
 SELECT n, n_unlabelled, round(lam, 6) AS lam, round(value, 6) AS value, round(se, 6) AS se, round(value - 1.959963984540054 * se, 6) AS lo, round(value + 1.959963984540054 * se, 6) AS hi FROM se""")))
 def prevalence_ppi_clustered(spark, d):
-    r = responses(spark, d).where("status = 'ok' and judge = 'A'")
-    unlabelled = r.join(gold(spark, d).select("frame_id"), "frame_id", "left_anti")
-    e = L.clustered_ppi(ok_pairs(spark, d).where("judge = 'A'"), unlabelled, "gold_manip", "manip", "cluster", "ppi", _B)
+    r, labels = stored(responses(spark, d).where("status = 'ok' and judge = 'A'"), "answers"), gold(spark, d)
+    unlabelled = r.join(labels.select("frame_id"), "frame_id", "left_anti")
+    e = L.clustered_ppi(labels.join(r, "frame_id"), unlabelled, "gold_manip", "manip", "cluster", "ppi", _B)
     return e.select("n", "n_unlabelled", *[R(c) for c in ("lam", "value", "se", "lo", "hi")])
