@@ -9,6 +9,7 @@ from assayer.operators import multinomial as T
 from assayer.operators.reliability import task_outcomes
 from assayer.operators.resample import implications
 from assayer.plans.standins import responses, sql, table
+from assayer.sources.shared import stored
 
 Q, SQL = {}, {}
 _MASK = "4294967295::UBIGINT"
@@ -93,7 +94,7 @@ FROM (SELECT unnest({list(_TASKS)!r}) AS task) LEFT JOIN p USING (task) LEFT JOI
 @query("design_effects_by_task", _EFFECTS)
 def design_effects_by_task(spark, d):
     """Both intervals and the design effect of every task, one that nobody answered included."""
-    rows = task_outcomes(responses(spark, d).where("judge = 'A'"), "cluster")
+    rows = stored(task_outcomes(responses(spark, d).where("judge = 'A'"), "cluster"), "outcomes")
     tasks = spark.createDataFrame([(t,) for t in _TASKS], "task string")
     numbers = ("point", "iid_lo", "iid_hi", "cluster_lo", "cluster_hi", "design_effect", "icc", "width_excess", "understated")
     effects = T.design_effects(rows, tasks, "value", "cluster")

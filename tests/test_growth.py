@@ -66,7 +66,7 @@ def test_letters_of_odd_texts(spark, tmp_path):
     assert "[^" not in plan
 
 
-@pytest.mark.parametrize("name", ["figure_tables", "prevalence_ppi_plus", "gold_and_unlabelled", "prevalence_ppi_clustered", "assembled_in_full", "run_summary"])
+@pytest.mark.parametrize("name", ["figure_tables", "prevalence_ppi_plus", "gold_and_unlabelled", "prevalence_ppi_clustered", "assembled_in_full", "run_summary", "design_effects_by_task"])
 def test_texts_are_judged_once(spark, name):
     """A query that looks at its answers again does not read the texts again."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
