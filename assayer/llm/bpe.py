@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from assayer.llm import kernels as K
 
 #: A worker forgets its encoded words and chunks when it holds so many; it bounds memory, not results.
-CACHED_WORDS, CACHED_CHUNKS = 300_000, 2_000_000
+CACHED_WORDS, CACHED_CHUNKS = 300_000, 1_000_000
+#: Blocks of texts whose new chunks are encoded at once.
+TOGETHER = 8
 #: Words of more bytes are read one by one.
 LONG = 256
 _NEVER = 1 << 60
@@ -299,6 +301,13 @@ class Encoder:
         if max(self.labels) >= 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         self._seen: dict[str, bytes] = {"\n": b""}
+        self._chunks: ChunkTable | None = None
+
+    def chunks(self) -> ChunkTable:
+        """The table of chunks of this process: what one task encoded, the next finds there."""
+        if self._chunks is None:
+            self._chunks = ChunkTable(self)
+        return self._chunks
 
     def encode(self, chunks: list[bytes]) -> list[bytes]:
         """The ids (little-endian uint16) of each run of text without ASCII white space; texts split there encode alike."""
@@ -308,7 +317,7 @@ class Encoder:
 
     def encode_together(self, chunks: list[bytes]) -> tuple[bytes, np.ndarray]:
         """The ids of all chunks one after the other, and how many bytes each has."""
-        marked = [i for i, c in enumerate(chunks) if b"<|" in c]
+        marked = [i for i, c in enumerate(chunks) if b"<|" in c] if b"<|" in b"\n".join(chunks) else []
         if not marked:
             return self._encode_plain(chunks)
         cut = []
@@ -329,13 +338,13 @@ class Encoder:
         items = self._words(text.lower())
         distinct = set(items)
         new = list(distinct.difference(self._seen))
-        if len(self._seen) + len(new) > CACHED_WORDS or any(len(w) > 4 * LONG for w in new):
+        if len(self._seen) + len(new) > CACHED_WORDS or max(map(len, new), default=0) > 4 * LONG:
             self._seen = {w: self._seen[w] for w in distinct.difference(new)} | {"\n": b""}
         self._seen.update(zip(new, self.automaton.encode_words([w.encode() for w in new]), strict=True))
         ids = list(map(self._seen.__getitem__, items))
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        # A chunk's ids lie together; a line feed between two chunks has none.
-        line = np.flatnonzero(np.fromiter(map("\n".__eq__, items), bool, len(items)))
+        # A chunk's ids lie together; a line feed between two chunks has none, and a word has some.
+        line = np.flatnonzero(size == 0)
         total = np.concatenate([[0], np.cumsum(size)])
         ends = np.append(total[line], total[-1])
         return b"".join(ids), np.diff(ends, prepend=0) if chunks else np.zeros(0, np.int64)
@@ -386,36 +395,45 @@ class ChunkTable:
         self.table.add(keys, np.arange(self.count, self.count + n, dtype=np.int32))
         self.count, self.used = self.count + n, self.used + len(more)
 
-    def encode(self, texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each text has."""
-        if self.count > CACHED_CHUNKS or self.used > 8 * CACHED_CHUNKS:
-            self._clear()
+    def _read(self, texts: K.Texts) -> tuple[np.ndarray, ...]:
+        """The place of each chunk of a block (-1 if it is new), the number of chunks of each text, and of the new chunks
+        where they lie in the block, their fingerprints, starts and ends."""
         s, e, counts = K.word_bounds(texts)
         keys = (K.hashes_of(texts, s, e) >> np.uint64(1)).view(np.int64)
         d = texts.data
         marks = np.flatnonzero((d[:-1] == ord("<")) & (d[1:] == ord("|")))
-        marked = np.unique(np.searchsorted(s, marks, side="right") - 1)
-        raw_ = d.tobytes()
-        for w in marked.tolist():  # special tokens are told by case
-            keys[w] = int.from_bytes(hashlib.blake2b(raw_[s[w] : e[w]], digest_size=8).digest(), "little") >> 1
-        distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        entry = self.table.get(distinct)
-        new = np.flatnonzero(entry < 0)
-        if len(new):
-            packed, sizes = self.enc.encode_together([raw_[x:y] for x, y in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)])
-            entry[new] = np.arange(self.count, self.count + len(new))
-            self._add(distinct[new], packed, sizes // 2)
-        which = entry[place]
-        size = self.size[which]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ends = np.cumsum(counts)
-        return self.ids[K.ranges(self.start[which], size)], total[ends] - total[ends - counts]
+        for w in np.unique(np.searchsorted(s, marks, side="right") - 1).tolist():  # special tokens are told by case
+            keys[w] = int.from_bytes(hashlib.blake2b(d[s[w] : e[w]].tobytes(), digest_size=8).digest(), "little") >> 1
+        which = self.table.get(keys)
+        new = np.flatnonzero(which < 0)
+        return which, counts, new, keys[new], s[new], e[new]
+
+    def encode(self, texts: list[K.Texts]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each block the ids of its texts one after the other, and how many each text has. What is new in all the
+        blocks is encoded at once: the automaton's steps are the same few array operations for any number of words."""
+        if self.count > CACHED_CHUNKS or self.used > 8 * CACHED_CHUNKS:
+            self._clear()
+        read = [self._read(t) for t in texts]
+        keys, first = np.unique(np.concatenate([r[3] for r in read]), return_index=True)
+        if len(keys):
+            starts, ends = (np.concatenate([r[c] for r in read])[first].tolist() for c in (4, 5))
+            block = np.repeat(np.arange(len(read)), [len(r[3]) for r in read])[first].tolist()
+            raw_ = [t.data.tobytes() for t in texts]
+            packed, sizes = self.enc.encode_together([raw_[i][x:y] for i, x, y in zip(block, starts, ends, strict=True)])
+            self._add(keys, packed, sizes // 2)
+        for which, counts, new, of_new, _, _ in read:
+            which[new] = self.table.get(of_new)
+            size = self.size[which]
+            total = np.concatenate([[0], np.cumsum(size)])
+            ends = np.cumsum(counts)
+            yield self.ids[K.ranges(self.start[which], size)], total[ends] - total[ends - counts]
 
 
 def packed_ids(cache: ChunkTable, texts: K.Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each block of texts their ids one after the other (uint16), and how many each has."""
-    for part in K.blocks(texts):
-        yield cache.encode(part)
+    blocks = list(K.blocks(texts))
+    for i in range(0, len(blocks), TOGETHER):
+        yield from cache.encode(blocks[i : i + TOGETHER])
 
 
 def runs(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -440,7 +458,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     vocab = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkTable(vocab.value)
+        cache = vocab.value.chunks()
         for b in batches:
             at = 0
             for ids, counts in packed_ids(cache, K.buffers(b.column(1))):
@@ -486,7 +504,7 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = vocab.value
-        cache, n = ChunkTable(enc), max(enc.labels) + 1
+        cache, n = enc.chunks(), max(enc.labels) + 1
         decimal, decoded = Phrases([b"%d" % i for i in range(n)]), Phrases([enc.labels.get(i, "").encode() for i in range(n)])
         digest = lambda parts: pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
         for b in batches:

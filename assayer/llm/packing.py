@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import kernels as K
-from assayer.llm.bpe import ChunkTable, packed_ids, vocabulary
+from assayer.llm.bpe import packed_ids, vocabulary
 from assayer.llm.tables import written
 
 SHARD_BYTES = 8 << 20
@@ -51,7 +51,7 @@ def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     """key, ids (little-endian uint16 with the end token), n."""
     vocab = vocabulary(docs.sparkSession, path)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkTable(vocab.value)
+        cache = vocab.value.chunks()
         for b in batches:
             at = 0
             for ids, counts in packed_ids(cache, K.buffers(b.column(1))):
