@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions import schemas
-from assayer.streaming.state import KEYS, first_answers, keyed_state
+from assayer.streaming.state import KEYS, first_answers, found, keyed_state
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,10 +20,10 @@ def keep_first(stream: DataFrame, path: str, checkpoint: str, arrival: str, keys
     a resumed run neither repeats nor loses a key and no batch reads what earlier ones wrote."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        found(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     with keyed_state(stream.sparkSession):
-        return first_answers(stream, arrival, keys).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return first_answers(stream, arrival, keys).writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_rates(stream: DataFrame) -> DataFrame:
