@@ -1,5 +1,9 @@
 """The keyed state of the answer log: kept by Spark's own aggregation, and a winner is never replaced."""
 
+import pathlib
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from assayer.streaming import log, state
@@ -47,3 +51,17 @@ def test_only_new_winners_are_appended(spark, tmp_path):
     got = spark.read.parquet(out)
     assert sorted((r.frame_id, r.arrived) for r in got.collect()) == [("a", 5), ("b", 6)]
     assert [c for c in got.columns if c != "batch"] == ["frame_id", "prompt_variant", "arrived", "cost"]
+
+
+def test_a_clock_behind_an_earlier_batch_raises(spark, tmp_path):
+    folder, mark = str(tmp_path / "in"), tmp_path / "mark"
+    for i in (5, 1):
+        tracked(spark, put(spark, folder, [("a", "P", i, 1.0)]), str(mark))
+    # The second batch as a run leaves it that stopped within it, on a machine whose clock was behind.
+    for name in ("commits/1", "commits/.1.crc", "offsets/.1.crc"):
+        pathlib.Path(mark, name).unlink(missing_ok=True)
+    offsets = mark / "offsets" / "1"
+    offsets.write_text(re.sub(r'"batchTimestampMs":\d+', '"batchTimestampMs":1000', offsets.read_text()))
+    with pytest.raises(Exception, match="clock is behind"):
+        tracked(spark, put(spark, folder, [("b", "P", 9, 1.0)]), str(mark))
+    assert [r.arrived for r in state.winners(spark, str(mark)).collect()] == [5]
