@@ -10,9 +10,9 @@ Queries are taken in blocks of about QUERY_BYTES, each broadcast to the shards.
 In a shard documents lie in blocks of BLOCK of like ones, and each term's
 largest impact in each block is known. A batch of like queries sums these for
 its terms; blocks are taken by how far that sum exceeds a query's threshold, its
-k-th best score so far, which rises meanwhile, and a block that no query of the
-batch can gain from is skipped. Impacts of common terms are summed for a whole
-batch and block at once in 32 bits; what comes within the error of that of the
+k-th best score so far, which rises meanwhile, and a block is scored only for the
+queries of the batch that can gain from it. Impacts of common terms are summed
+for all of these at once in 32 bits; what comes within the error of that of the
 threshold is scored again in 64 bits, term by term. A few shards go first, and
 their k-th best scores are the thresholds that the others start from.
 
@@ -55,8 +55,9 @@ def _terms(texts: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     codes, tf, n, words = [], [], [], []
     for part in K.blocks(texts):
         h, c = K.word_hashes(part)
-        doc = np.repeat(np.arange(len(c)), c)
-        order = np.lexsort((h, doc))
+        doc = np.repeat(np.arange(len(c), dtype=np.uint16 if len(c) <= 1 << 16 else np.int64), c)
+        order = np.argsort(h)
+        order = order[np.argsort(doc[order], kind="stable")]  # numbers of 16 bits are sorted by digits
         h, doc = h[order], doc[order]
         at, ends = cuts_of_pairs(doc, h)
         codes.append(h[at])
@@ -94,8 +95,9 @@ def _build(key: str):
         move = K.ranges((np.cumsum(n) - n)[by], n[by])
         codes, tf, doc = codes[move], tf[move], np.repeat(np.arange(len(n)), n[by])
         order = np.argsort(codes, kind="stable")
-        vocabulary, starts = np.unique(codes[order], return_index=True)
-        made = {"ids": ids[by], "words": words[by], "vocabulary": vocabulary, "starts": np.append(starts, len(codes)), "docs": doc[order], "tf": tf[order]}
+        codes = codes[order]
+        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)])
+        made = {"ids": ids[by], "words": words[by], "vocabulary": codes[starts], "starts": np.append(starts, len(codes)), "docs": doc[order], "tf": tf[order]}
         columns = {c: pa.array([made[c].astype(kind).tobytes()], pa.binary()) for c, kind in _FIELDS.items()}
         return pa.table({"_shard": group.column("_shard")[:1], "n_docs": pa.array([len(ids)], pa.int64()), "n_words": pa.array([int(words.sum())], pa.int64())} | columns)
 
@@ -122,60 +124,82 @@ class Shard:
         self.doc, tf = row["docs"][spot].astype(np.int64), row["tf"][spot].astype(np.float64)
         term = np.repeat(np.arange(len(terms)), self.size)
         self.impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * row["words"][self.doc] / mean))
-        # Terms that many documents have are whole rows; of the others the few documents.
+        # Terms that many documents have are whole rows, cut into blocks; of the others the few documents.
         common = np.flatnonzero(self.size > n // 32)
         self.row = np.full(len(terms), -1)
         self.row[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), -(-n // BLOCK) * BLOCK), np.float32)
+        self.rows = np.zeros((-(-n // BLOCK), len(common), BLOCK), np.float32)
         often = self.row[term] >= 0
-        self.rows[self.row[term[often]], self.doc[often]] = self.impact[often]
-        self.most = self.rows.reshape(len(common), -(-n // BLOCK), BLOCK).max(axis=2)
+        self.rows[self.doc[often] // BLOCK, self.row[term[often]], self.doc[often] % BLOCK] = self.impact[often]
+        self.most = self.rows.max(axis=2)
         order = np.argsort(self.doc, kind="stable")
         self.own_term, self.own_impact = term[order], self.impact[order]
         self.own_start = np.searchsorted(self.doc[order], np.arange(n + 1))
+        self.few, self.mark, self.numbers = (self.row < 0) & (self.size > 0), np.zeros(len(terms), bool), np.arange(len(self.doc))
 
     def search(self, terms: np.ndarray, counts: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, id, score) of the k best documents of each query of a batch, as far as they reach its least score."""
-        n, width, some = len(counts), self.rows.shape[1], np.repeat(np.arange(len(counts)), counts)
-        row = self.row[terms]
+        n, some, row = len(counts), np.repeat(np.arange(len(counts)), counts), self.row[terms]
         used, place = np.unique(row[row >= 0], return_inverse=True)
         asked = np.zeros((n, len(used)), np.float32)
         asked[some[row >= 0], place] = 1
-        rare, owner = terms[row < 0], some[row < 0]
-        spot = K.ranges(self.start[rare], self.size[rare])
-        score = np.bincount(np.repeat(owner, self.size[rare]) * width + self.doc[spot], self.impact[spot], n * width).reshape(n, width).astype(np.float32)
-        bound = asked @ self.most[used] + score.reshape(n, -1, BLOCK).max(axis=2)
+        score = self._rare(terms, counts)
+        bound = asked @ self.most[:, used].T + score.max(axis=2)
         slack = float((int(counts.max(initial=0)) + 8) * 2.0**-22)
+        floor = lambda v: np.where(v > 0, v * np.float32(1 - slack), np.float32(1e-30))
         least = least.astype(np.float32)
+        need = floor(least)
         best = np.full((n, k), -np.inf, np.float32)
-        open_, rows = np.ones(bound.shape[1], bool), self.rows[used] if len(used) < len(self.rows) else self.rows
+        open_ = np.ones(bound.shape[1], bool)
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while True:
-            gain = (bound - np.where(least > 0, least * (1 - slack), 1e-30)[:, None]).max(axis=0)
+            gain = (bound - need[:, None]).max(axis=0)
             blocks = np.flatnonzero(open_ & (gain >= 0))
             if not len(blocks):
                 break
             blocks = blocks[np.argsort(-gain[blocks], kind="stable")[:STEP]]
             open_[blocks] = False
-            docs = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            got = asked @ rows[:, docs] + score[:, docs]
-            pool = np.concatenate([best, got], axis=1)
-            best = -np.partition(-pool, k - 1, axis=1)[:, :k]
-            least = np.maximum(least, best.min(axis=1))
-            q, d = np.nonzero((got > 0) & (got >= least[:, None] * (1 - slack)))
-            kept.append((q, docs[d], got[q, d]))
+            for b in blocks.tolist():
+                asks = np.flatnonzero(bound[:, b] >= need)
+                got = asked[asks] @ self.rows[b][used] + score[asks, b]
+                q, d = np.nonzero(got >= need[asks, None])
+                if not len(q):
+                    continue
+                kept.append((asks[q], b * BLOCK + d, got[q, d]))
+                hit = np.unique(q)
+                pool = np.concatenate([best[asks[hit]], got[hit]], axis=1)
+                best[asks[hit]] = pool = -np.partition(-pool, k - 1, axis=1)[:, :k]
+                least[asks[hit]] = np.maximum(least[asks[hit]], pool.min(axis=1))
+                need[asks[hit]] = floor(least[asks[hit]])
         q, d, s = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        near = s >= least[q] * (1 - slack)
+        near = s >= need[q]
         return self._exact(terms, counts, q[near], d[near], k)
 
+    def _rare(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Queries x blocks x BLOCK: what the terms that are no rows add. A query at a time, so that its arrays stay in cache."""
+        blocks, end = len(self.rows), 0
+        out = np.zeros((len(counts), blocks, BLOCK), np.float32)
+        for i, c in enumerate(counts.tolist()):
+            rare, end = terms[end : end + c], end + c
+            rare = rare[self.few[rare]]
+            size = self.size[rare]
+            spot = np.repeat(self.start[rare] - np.cumsum(size) + size, size)
+            spot += self.numbers[: len(spot)]
+            out[i] = np.bincount(self.doc.take(spot), self.impact.take(spot), blocks * BLOCK).reshape(blocks, BLOCK)
+        return out
+
     def _exact(self, terms: np.ndarray, counts: np.ndarray, q: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The candidates' scores, summed in the order of the terms, and the k best of each query."""
-        wanted = np.zeros((len(counts), len(self.row)), bool)
-        wanted[np.repeat(np.arange(len(counts)), counts), terms] = True
-        size = self.own_start[d + 1] - self.own_start[d]
-        e, pair = K.ranges(self.own_start[d], size), np.repeat(np.arange(len(d)), size)
-        hit = wanted[q[pair], self.own_term[e]]
-        score = np.bincount(pair[hit], self.own_impact[e[hit]], len(d)).astype(np.float64)  # of nothing it counts in integers
+        order, ends, score = np.argsort(q, kind="stable"), np.cumsum(counts), np.zeros(len(q))
+        q, d = q[order], d[order]
+        first, last, cuts = self.own_start[d].tolist(), self.own_start[d + 1].tolist(), np.searchsorted(q, np.arange(len(counts) + 1)).tolist()
+        for i in np.unique(q).tolist():
+            own = terms[ends[i] - counts[i] : ends[i]]
+            self.mark[own] = True
+            for j in range(cuts[i], cuts[i + 1]):
+                hit = self.mark[self.own_term[first[j] : last[j]]]
+                score[j] = np.cumsum(self.own_impact[first[j] : last[j]][hit])[-1]
+            self.mark[own] = False
         order = np.lexsort((self.ids[d], -score, q))
         q, d, score = q[order], d[order], score[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
