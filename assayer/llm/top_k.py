@@ -55,9 +55,9 @@ def _terms(texts: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     codes, tf, n, words = [], [], [], []
     for part in K.blocks(texts):
         h, c = K.word_hashes(part)
-        doc = np.repeat(np.arange(len(c), dtype=np.uint16 if len(c) <= 1 << 16 else np.int64), c)
+        doc = np.repeat(np.arange(len(c), dtype=_number(len(c))), c)
         order = np.argsort(h)
-        order = order[np.argsort(doc[order], kind="stable")]  # numbers of 16 bits are sorted by digits
+        order = order[np.argsort(doc[order], kind="stable")]
         h, doc = h[order], doc[order]
         at, ends = cuts_of_pairs(doc, h)
         codes.append(h[at])
@@ -68,6 +68,11 @@ def _terms(texts: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return cat(codes, np.uint64), cat(tf, np.int64), cat(n, np.int64), cat(words, np.int64)
 
 
+def _number(n: int) -> type:
+    """What holds the numbers below n: a stable sort of 16 bits goes by digits, which takes a quarter of the time."""
+    return np.uint16 if n <= 1 << 16 else np.int64
+
+
 def cuts_of_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -132,7 +137,7 @@ class Shard:
         often = self.row[term] >= 0
         self.rows[self.doc[often] // BLOCK, self.row[term[often]], self.doc[often] % BLOCK] = self.impact[often]
         self.most = self.rows.max(axis=2)
-        order = np.argsort(self.doc, kind="stable")
+        order = np.argsort(self.doc.astype(_number(n)), kind="stable")
         self.own_term, self.own_impact = term[order], self.impact[order]
         self.own_start = np.searchsorted(self.doc[order], np.arange(n + 1))
         self.few, self.mark, self.numbers = (self.row < 0) & (self.size > 0), np.zeros(len(terms), bool), np.arange(len(self.doc))
