@@ -34,9 +34,11 @@ def responses(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) ->
     hands = {"A": F.when(letters > 0.97, 2).when(letters > 0.9, 1).otherwise(0), "B": F.when(bang, 0).otherwise(F.when(stops >= 20, 2).otherwise(1)), "C": F.least(F.lit(2), F.floor(stops / 10).cast("int"))}
     rows = F.array(*[F.struct(F.lit(j).alias("judge"), status(i).alias("status"), answer[j].alias("manip"), hands[j].cast("int").alias("hands"), (F.pmod(F.col("frame_id") * (7 + i), F.lit(100)) / 100.0).alias("conf")) for i, j in enumerate(JUDGES)])
     # What the rules look at is computed once a text: a generator stands between it and its many uses. Letters are counted by
-    # taking out their runs: taking out all else, mark by mark, costs eight times as much.
+    # taking out their runs: taking out all else, mark by mark, costs eight times as much. The share of an empty text is 0 / 0,
+    # which lies above any bound, as in the SQL; Spark's own division raises there.
     letters_in = F.length(text) - F.length(F.regexp_replace(text, "[A-Za-zÀ-ÿ ]+", ""))
-    features = F.struct((letters_in / F.length(text)).alias("letters"), (F.length(text) - F.length(F.replace(text, F.lit("."), F.lit("")))).alias("stops"), F.contains(text, F.lit("!")).alias("bang"))
+    share = F.when(F.length(text) == 0, float("nan")).otherwise(letters_in / F.length(text))
+    features = F.struct(share.alias("letters"), (F.length(text) - F.length(F.replace(text, F.lit("."), F.lit("")))).alias("stops"), F.contains(text, F.lit("!")).alias("bang"))
     asked = frames(spark, sf_dir) if of is None else frames(spark, sf_dir).join(of.select("frame_id"), "frame_id", "left_semi")
     seen = asked.select("frame_id", "corpus", "cluster", F.explode(F.array(features)).alias("f"))
     flat = seen.select("frame_id", "corpus", "cluster", F.explode(rows).alias("r")).select("frame_id", "corpus", "cluster", "r.*")
