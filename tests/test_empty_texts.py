@@ -13,6 +13,7 @@ from test_oracles import DATA, normal
 NAMES = [
     "answer_matches",
     "cluster_bootstrap",
+    "card_digest",
 ]
 
 
