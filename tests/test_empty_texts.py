@@ -14,6 +14,7 @@ NAMES = [
     "answer_matches",
     "cluster_bootstrap",
     "card_digest",
+    "cluster_sizes",
 ]
 
 
