@@ -15,6 +15,7 @@ NAMES = [
     "cluster_bootstrap",
     "card_digest",
     "cluster_sizes",
+    "dataset_export",
 ]
 
 
