@@ -16,6 +16,7 @@ NAMES = [
     "card_digest",
     "cluster_sizes",
     "dataset_export",
+    "design_effects_by_task",
 ]
 
 
