@@ -17,6 +17,7 @@ NAMES = [
     "cluster_sizes",
     "dataset_export",
     "design_effects_by_task",
+    "design_effect",
 ]
 
 
