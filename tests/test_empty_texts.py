@@ -18,6 +18,7 @@ NAMES = [
     "dataset_export",
     "design_effects_by_task",
     "design_effect",
+    "error_dependence",
 ]
 
 
