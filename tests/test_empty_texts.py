@@ -19,6 +19,7 @@ NAMES = [
     "design_effects_by_task",
     "design_effect",
     "error_dependence",
+    "figure_tables",
 ]
 
 
