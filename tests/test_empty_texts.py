@@ -20,6 +20,7 @@ NAMES = [
     "design_effect",
     "error_dependence",
     "figure_tables",
+    "fleiss_panel",
 ]
 
 
