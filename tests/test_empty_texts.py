@@ -21,6 +21,7 @@ NAMES = [
     "error_dependence",
     "figure_tables",
     "fleiss_panel",
+    "gold_and_unlabelled",
 ]
 
 
