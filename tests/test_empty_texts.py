@@ -22,6 +22,7 @@ NAMES = [
     "figure_tables",
     "fleiss_panel",
     "gold_and_unlabelled",
+    "headline_rates",
 ]
 
 
