@@ -23,6 +23,7 @@ NAMES = [
     "fleiss_panel",
     "gold_and_unlabelled",
     "headline_rates",
+    "gold_needed",
 ]
 
 
