@@ -24,6 +24,7 @@ NAMES = [
     "gold_and_unlabelled",
     "headline_rates",
     "gold_needed",
+    "iid_bootstrap",
 ]
 
 
