@@ -25,6 +25,7 @@ NAMES = [
     "headline_rates",
     "gold_needed",
     "iid_bootstrap",
+    "logprob_answers",
 ]
 
 
