@@ -26,6 +26,7 @@ NAMES = [
     "gold_needed",
     "iid_bootstrap",
     "logprob_answers",
+    "margins",
 ]
 
 
