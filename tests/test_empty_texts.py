@@ -27,6 +27,7 @@ NAMES = [
     "iid_bootstrap",
     "logprob_answers",
     "margins",
+    "ppi_variance_split",
 ]
 
 
