@@ -28,6 +28,7 @@ NAMES = [
     "logprob_answers",
     "margins",
     "ppi_variance_split",
+    "prevalence_naive",
 ]
 
 
