@@ -29,6 +29,7 @@ NAMES = [
     "margins",
     "ppi_variance_split",
     "prevalence_naive",
+    "prevalence_ppi_classical",
 ]
 
 
