@@ -30,6 +30,7 @@ NAMES = [
     "ppi_variance_split",
     "prevalence_naive",
     "prevalence_ppi_classical",
+    "prevalence_ppi_clustered",
 ]
 
 
