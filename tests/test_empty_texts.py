@@ -31,6 +31,7 @@ NAMES = [
     "prevalence_naive",
     "prevalence_ppi_classical",
     "prevalence_ppi_clustered",
+    "prevalence_ppi_plus",
 ]
 
 
