@@ -32,6 +32,7 @@ NAMES = [
     "prevalence_ppi_classical",
     "prevalence_ppi_clustered",
     "prevalence_ppi_plus",
+    "published_comparison",
 ]
 
 
