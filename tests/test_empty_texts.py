@@ -33,6 +33,7 @@ NAMES = [
     "prevalence_ppi_clustered",
     "prevalence_ppi_plus",
     "published_comparison",
+    "replication_verdicts",
 ]
 
 
