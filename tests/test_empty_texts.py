@@ -34,6 +34,7 @@ NAMES = [
     "prevalence_ppi_plus",
     "published_comparison",
     "replication_verdicts",
+    "response_violations",
 ]
 
 
